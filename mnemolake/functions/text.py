@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ def alias_map(extra: dict[str, str] | None = None) -> Column:
     return F.create_map(*[F.lit(x) for pair in merged.items() for x in pair])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value`` with the value bound once.
+
+    Column expressions are trees: using a long expression five times copies it
+    five times into the plan. Binding it to a lambda variable keeps plans small.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case ASCII alphanumeric runs, repeats kept."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
@@ -58,7 +69,7 @@ def graph_tokens(text: Column) -> Column:
 
 def token_set(text: Column) -> Column:
     """Sorted distinct tokens: equal sets give equal arrays."""
-    return F.array_sort(F.array_distinct(tokens(text)))
+    return F.sort_array(F.array_distinct(tokens(text)))
 
 
 def ascii_words(text: Column) -> Column:
@@ -84,25 +95,28 @@ def _strip_marks(token: Column) -> Column:
 
 def lemma(token: Column) -> Column:
     """Conservative base form: irregulars, doubled -ing, -ed, -ies, -es, -s."""
-    w = _strip_marks(F.lower(token))
+    return let(_strip_marks(F.lower(token)), _lemma_of)
+
+
+def _lemma_of(w: Column) -> Column:
     n = F.length(w)
 
     def cut(k: int) -> Column:
         return F.substring(w, F.lit(1), n - k)
 
-    def undouble(stem: Column) -> Column:
-        size = F.length(stem)
-        twin = (size > 1) & (F.substring(stem, size, F.lit(1)) == F.substring(stem, size - 1, F.lit(1)))
-        return F.when(twin, F.substring(stem, F.lit(1), size - 1))
+    def undouble(k: int, fallback: Column) -> Column:
+        """Drop ``k`` letters, and one more where the stem ends in a double letter."""
+        m = n - k
+        twin = (m > 1) & (F.substring(w, m, F.lit(1)) == F.substring(w, m - 1, F.lit(1)))
+        return F.when(twin, cut(k + 1)).otherwise(fallback)
 
-    ing, ed = cut(3), cut(2)
     return (
         # Irregular forms.
         F.when(w == "children", "child")
         .when(w == "liked", "like")
         .when(w.isin("goes", "went"), "go")
-        .when(w.endswith("ing") & (n > 4), F.coalesce(undouble(ing), w))
-        .when(w.endswith("ed") & (n > 3), F.coalesce(undouble(ed), ed))
+        .when(w.endswith("ing") & (n > 4), undouble(3, w))
+        .when(w.endswith("ed") & (n > 3), undouble(2, cut(2)))
         .when(w.endswith("ies") & (n > 3), F.concat(cut(3), F.lit("y")))
         .when(w.endswith("es") & (n > 2), cut(2))
         .when(w.endswith("s") & (n > 3) & ~w.endswith("ss"), cut(1))
@@ -114,12 +128,16 @@ def canonical(text: Column, extra_aliases: dict[str, str] | None = None) -> Colu
     """Canonical entity label: no article, alias lookup, no 's, lemma per token."""
     bare = F.regexp_replace(squeeze(text), "^[\"'`]+|[\"'`]+$", "")
     bare = squeeze(F.regexp_replace(bare, r"(?i)^(?:a|an|the)\s+", ""))
-    unowned = F.when(bare.endswith("'s"), F.substring(bare, F.lit(1), F.length(bare) - 2)).otherwise(bare)
-    words = F.transform(F.split(squeeze(unowned), " "), _strip_marks)
-    words = F.filter(words, lambda w: w != "")
-    label = squeeze(F.array_join(F.transform(words, lemma), " "))
-    known = F.try_element_at(alias_map(extra_aliases), normalize_alias(bare))
-    return F.when(F.length(known) > 0, known).otherwise(label)
+
+    def label(b: Column) -> Column:
+        unowned = F.regexp_replace(b, "'s$", "")
+        words = F.transform(F.split(F.trim(unowned), " "), lambda w: _strip_marks(F.lower(w)))
+        words = F.transform(F.filter(words, lambda w: w != ""), _lemma_of)
+        plain = squeeze(F.array_join(words, " "))
+        known = F.try_element_at(alias_map(extra_aliases), F.lower(b))
+        return F.when(F.length(known) > 0, known).otherwise(plain)
+
+    return let(bare, label)
 
 
 def slugify(text: Column) -> Column:

@@ -10,10 +10,12 @@ from ..functions import text as tx
 
 def tokenized(memories: DataFrame, id_col: str = "memory_id", text_col: str = "content") -> DataFrame:
     """(memory_id, words, dl); rows without any token carry no index entry."""
+    low = F.lower(F.col(text_col))
     return (
-        memories.select(F.col(id_col).alias("memory_id"), tx.tokens(F.col(text_col)).alias("words"))
+        # A cheap first-match test, so that the full tokenising runs once per row.
+        memories.filter(low.rlike("[a-z0-9]"))
+        .select(F.col(id_col).alias("memory_id"), tx.tokens(F.col(text_col)).alias("words"))
         .withColumn("dl", F.size("words").cast("long"))
-        .filter(F.col("dl") > 0)
     )
 
 
@@ -44,7 +46,7 @@ def postings(tok: DataFrame) -> DataFrame:
         lambda a, b: F.struct(F.element_at(words, a).alias("term"), (b - a).cast("long").alias("tf")),
     )
     return (
-        tok.select("memory_id", "dl", F.array_sort("words").alias("words"))
+        tok.select("memory_id", "dl", F.sort_array("words").alias("words"))
         .withColumn("starts", run_starts)
         .select("memory_id", "dl", F.inline(runs))
     )

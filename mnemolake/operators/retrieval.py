@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..session import top_per_group
-from .index import corpus_stats, postings, tokenized
+from .index import corpus_stats, tokenized
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -26,12 +26,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _hits(tok: DataFrame, terms: DataFrame) -> DataFrame:
-    """(memory_id, dl, term, tf) for the queried terms only.
+    """(memory_id, term, tf, dl) for the queried terms only.
 
-    The distinct query terms filter the postings before any shuffle; Spark
-    broadcasts that side while it is under the auto-broadcast size.
+    The distinct query terms filter the exploded tokens first (broadcast by
+    Spark while under the auto-broadcast size); a row's tokens sit in one
+    partition, so the map-side combine leaves one row per hit to shuffle.
     """
-    return postings(tok).join(terms.select("term").distinct(), "term", "left_semi")
+    return (
+        tok.select("memory_id", "dl", F.explode("words").alias("term"))
+        .join(terms.select("term").distinct(), "term", "left_semi")
+        .groupBy("memory_id", "term")
+        .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    )
 
 
 def bm25(memories: DataFrame, queries: DataFrame) -> DataFrame:
