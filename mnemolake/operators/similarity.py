@@ -160,7 +160,7 @@ def minhash_bands(reps: DataFrame) -> DataFrame:
     """(rep, band, bucket): banded MinHash over sorted-token bigrams and single tokens."""
     w = F.col("words")
     grams = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda p, q: F.xxhash64(p, q))
-    shingles = F.concat(F.when(F.size(w) > 1, grams).otherwise(F.array().cast("array<bigint>")), F.transform(w, F.xxhash64))
+    shingles = F.concat(F.when(F.size(w) > 1, grams).otherwise(F.array().cast("array<bigint>")), F.transform(w, lambda t: F.xxhash64(t)))
     bands = F.pandas_udf(_minhash_bands, "array<array<bigint>>")
     hashed = reps.select("rep", F.posexplode(bands(F.array_distinct(shingles))).alias("band", "sig"))
     return hashed.select("rep", "band", F.xxhash64("sig").alias("bucket"))
