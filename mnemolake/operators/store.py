@@ -50,10 +50,11 @@ def remove(base: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
-    """Dense new ids after ``start`` in the given order.
+    """Dense new ids after ``start``; ``order`` must identify a row.
 
     Rows are counted per hash bucket first; a row's id is its bucket's offset
-    plus its place inside, so no single task numbers everything.
+    plus its place inside, so no single task numbers everything. The numbering
+    is repeatable but follows the buckets, not ``order``.
     """
     from pyspark.sql import Window
 
