@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import access, concepts, graph, index, retrieval
+from ..session import cut_lineage
 from . import query
 from .text_queries import sql_list
 from .views import MEMORIES_SQL, NOW, memories, passage_queries, table
@@ -73,10 +74,12 @@ def passage_lexicon(spark, sf):
 
 
 def document_bridge(spark, sf, mem):
-    """Single-word aliases only, so the postings themselves are joined with the lexicon."""
-    lex = passage_lexicon(spark, sf).select("alias", "concept").distinct()
-    post = index.postings(index.tokenized(mem)).select("memory_id", F.col("term").alias("alias"))
-    return post.join(lex, "alias").select("memory_id", "concept").distinct()
+    """Single-word aliases only, so the distinct terms themselves are joined with the lexicon.
+
+    The bridge is a stored table of the engine; it is written once and read by every step.
+    """
+    lex = passage_lexicon(spark, sf).select(F.col("alias").alias("term"), "concept").distinct()
+    return cut_lineage(index.term_sets(mem).join(lex, "term").select("memory_id", "concept").distinct())
 
 
 def item_concepts(spark, sf):
@@ -202,7 +205,7 @@ def recall_classic(spark, sf):
 def recall_graph(spark, sf):
     mem = table(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"))
     bridge = document_bridge(spark, sf, mem)
-    edges = graph.neighbors(bridge)
+    edges = cut_lineage(graph.neighbors(bridge))
     return retrieval.dual_path(
         mem,
         passage_queries(spark, sf),

@@ -32,7 +32,7 @@ idx AS (SELECT memory_id, words, len(words) AS dl FROM tok WHERE len(words) > 0)
     SELECT count(*) AS n_docs, sum(dl)::BIGINT AS n_tokens, round(avg(dl), 6) AS avg_len, max(dl) AS max_len FROM idx""",
 )
 def doc_stats(spark, sf):
-    stats = index.corpus_stats(index.tokenized(table(spark, sf, "documents"), "doc_id", "text"))
+    stats = index.corpus_stats(index.lengths(table(spark, sf, "documents"), "doc_id", "text"))
     return stats.withColumn("avg_len", F.round("avg_len", 6))
 
 

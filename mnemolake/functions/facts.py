@@ -129,8 +129,8 @@ def _family(segments: DataFrame, order: int, pattern: str) -> DataFrame:
     found = gated.select(
         "memory_id",
         "seg",
-        F.posexplode(F.regexp_extract_all("segment", F.lit(java), F.lit(0))).alias("hit", "fragment"),
-    )
+        F.posexplode_outer(F.regexp_extract_all("segment", F.lit(java), F.lit(0))).alias("hit", "fragment"),
+    ).filter(F.col("fragment").isNotNull())
 
     def group(i: int) -> Column:
         return F.regexp_extract("fragment", java, i)
@@ -154,7 +154,7 @@ def extract_triples(memories: DataFrame, aliases: dict[str, str] | None = None)
     evaluated JVM-side. ``seq`` orders the triples of one memory.
     """
     segments = memories.select(
-        "memory_id", F.posexplode(F.regexp_extract_all("content", F.lit(SEGMENT), F.lit(0))).alias("seg", "segment")
+        "memory_id", F.posexplode_outer(F.regexp_extract_all("content", F.lit(SEGMENT), F.lit(0))).alias("seg", "segment")
     ).withColumn("segment", F.trim("segment"))
 
     def canon(c: Column) -> Column:

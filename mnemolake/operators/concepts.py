@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..session import broadcast_upto, top_per_group
+from .index import term_sets
 
 LEXICON_BROADCAST_ROWS = 100_000
 
@@ -68,13 +69,13 @@ def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
     )
 
 
-def _suppressed(alias: Column, low: Column) -> Column:
-    """The alias occurs only inside one of its technical compounds."""
-    out = F.lit(False)
+def _suppressed_aliases(low: Column) -> Column:
+    """Ambiguous aliases that the text uses only inside one of their technical compounds."""
+    marks = []
     for word, pattern in COMPOUNDS.items():
         alone = F.regexp_replace(low, pattern, " ").rlike(rf"\b{word}\b")
-        out = F.when(alias == word, low.rlike(pattern) & ~alone).otherwise(out)
-    return out
+        marks.append(F.when(low.rlike(pattern) & ~alone, word))
+    return F.array_compact(F.array(*marks))
 
 
 def extract_concepts(
@@ -84,28 +85,35 @@ def extract_concepts(
 
     Word n-grams (longest alias per start position wins) are joined with the
     lexicon; ``punctuated`` lists aliases with other characters. The lexicon is
-    broadcast only while it stays under a checked row bound.
+    broadcast only while it stays under a checked row bound. Only n-grams whose
+    first word opens some alias are formed.
     """
     lex = broadcast_upto(prepare_lexicon(lexicon), LEXICON_BROADCAST_ROWS)
-    base = memories.select("memory_id", "content", tx.tokens(F.col("content")).alias("w"))
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.lit(max_words)),
-                lambda n: F.struct(
-                    i.alias("pos"),
-                    F.when(i + n - 1 <= F.size("w"), F.array_join(F.slice("w", i, n), " ")).alias("alias"),
-                ),
-            ),
-        )
+    if max_words == 1:
+        single = term_sets(memories).withColumnRenamed("term", "alias").join(lex, "alias")
+        return _with_marks(single, memories, lex, punctuated)
+    tokens = memories.select("memory_id", tx.tokens(F.col("content")).alias("w"))
+    single = tokens.select("memory_id", F.posexplode_outer("w").alias("pos", "alias")).join(lex, "alias")
+    longer = lex.filter(F.col("n_words") > 1)
+    opening = F.split("alias", " ")[0].alias("first")
+    starts = tokens.select("memory_id", "w", F.posexplode_outer("w").alias("pos", "first")).join(
+        longer.select(opening).distinct(), "first", "left_semi"
+    )
+    sizes = F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("w") - F.col("pos")))
+    words = F.transform(sizes, lambda n: F.array_join(F.slice("w", F.col("pos") + 1, n), " "))
+    phrases = starts.select("memory_id", "pos", F.explode_outer(words).alias("alias")).join(longer, "alias")
+    hits = single.unionByName(phrases)
+    longest = hits.groupBy("memory_id", "pos").agg(F.max("n_words").alias("n_words"))
+    hits = hits.join(longest, ["memory_id", "pos", "n_words"], "left_semi")
+    return _with_marks(hits, memories, lex, punctuated)
+
+
+def _with_marks(hits: DataFrame, memories: DataFrame, lex: DataFrame, punctuated: list[str] | None) -> DataFrame:
+    """Alias hits without suppressed ones, plus paths, version numbers and punctuated aliases."""
+    compounds = memories.filter(F.lower("content").rlike("|".join(COMPOUNDS.values()))).select(
+        "memory_id", F.explode_outer(_suppressed_aliases(F.lower("content"))).alias("alias")
     )
-    hits = base.select("memory_id", "content", F.inline(grams)).filter(F.col("alias").isNotNull()).join(lex, "alias")
-    hits = hits.filter(~_suppressed(F.col("alias"), F.lower("content"))).drop("content")
-    if max_words > 1:
-        longest = hits.groupBy("memory_id", "pos").agg(F.max("n_words").alias("n_words"))
-        hits = hits.join(longest, ["memory_id", "pos", "n_words"], "left_semi")
-    found = hits.select("memory_id", "concept", "category")
+    found = hits.join(compounds, ["memory_id", "alias"], "left_anti").select("memory_id", "concept", "category")
     for pattern, concept, category in [
         (PATH_PATTERN, "path", "files/paths"),
         (VERSION_PATTERN, "versioning", "software"),
@@ -119,7 +127,7 @@ def extract_concepts(
 
         pattern = "|".join(re.escape(p.lower()) for p in sorted(punctuated, key=len, reverse=True))
         odd = memories.select(
-            "memory_id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(pattern), F.lit(0))).alias("alias")
+            "memory_id", F.explode_outer(F.regexp_extract_all(F.lower("content"), F.lit(pattern), F.lit(0))).alias("alias")
         )
         found = found.unionByName(odd.join(lex, "alias").select("memory_id", "concept", "category"))
     return found.distinct()

@@ -20,7 +20,8 @@ KIND_PRIORITY = ["mutual_exclusion", "numeric_range", "polarity", "temporal_conf
 
 def numeric_statements(memories: DataFrame) -> DataFrame:
     """(memory_id, attribute, value) from text."""
-    return memories.select("memory_id", F.explode(fx.numeric_facts(F.col("content"))).alias("attribute", "value"))
+    rows = memories.select("memory_id", F.explode_outer(fx.numeric_facts(F.col("content"))).alias("attribute", "value"))
+    return rows.filter(F.col("attribute").isNotNull())
 
 
 def numeric_groups(statements: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,33 +20,44 @@ def claims(triples: DataFrame, memories: DataFrame) -> DataFrame:
 def evidence_chains(claim_rows: DataFrame) -> DataFrame:
     """Per claim: support, opposition, confidence and first/last confirmation.
 
-    Opposition counts memories behind claims of the same subject and predicate
-    that deny the same object, or that give another number for the same
-    attribute. Both follow from per-group totals, so no two claims of a group
-    are ever paired. Supporting ids stay a relation (``claim_rows``).
+    Opposition counts the memories behind the denial of the same statement; it
+    follows from the group's totals, so no two claims are ever paired. Numeric
+    and exclusive-value opposition is found by ``conflicts``. Supporting ids
+    stay a relation (``claim_rows``).
     """
-    keys = ["subject", "predicate", "object", "polarity", "claim"]
-    base = claim_rows.groupBy(*keys).agg(
-        F.count("*").alias("n_supporting"),
-        F.avg("confidence").alias("support"),
-        F.min("created_at").alias("first_seen"),
-        F.max("created_at").alias("last_confirmed"),
-    )
-    denied = base.select(
-        "subject",
-        "predicate",
-        "object",
-        F.when(F.col("polarity") == "negative", "positive").otherwise("negative").alias("polarity"),
-        F.col("n_supporting").alias("n_denying"),
-    )
-    chains = base.join(denied, ["subject", "predicate", "object", "polarity"], "left")
-    n = F.coalesce("n_denying", F.lit(0))
-    penalty = F.least(F.lit(0.4), 0.1 * n)
+    sign = F.col("polarity")
+
+    def side(value: str) -> list:
+        mine = sign == value
+        return [
+            F.count_if(mine).alias(f"n_{value}"),
+            F.avg(F.when(mine, F.col("confidence"))).alias(f"conf_{value}"),
+            F.min(F.when(mine, F.col("created_at"))).alias(f"first_{value}"),
+            F.max(F.when(mine, F.col("created_at"))).alias(f"last_{value}"),
+        ]
+
+    # Both sides of a statement come out of one aggregate.
+    both = claim_rows.groupBy("subject", "predicate", "object").agg(*side("positive"), *side("negative"))
+
+    def row(value: str, other: str):
+        return F.struct(
+            F.lit(value).alias("polarity"),
+            F.col(f"n_{value}").alias("n_supporting"),
+            F.col(f"n_{other}").alias("n_contradicting"),
+            F.col(f"conf_{value}").alias("support"),
+            F.col(f"first_{value}").alias("first_seen"),
+            F.col(f"last_{value}").alias("last_confirmed"),
+        )
+
+    rows = both.select(
+        "subject", "predicate", "object", F.inline(F.array(row("positive", "negative"), row("negative", "positive")))
+    ).filter("n_supporting > 0")
+    penalty = F.least(F.lit(0.4), 0.1 * F.col("n_contradicting"))
     conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("support") - penalty))
-    return chains.select(
-        "claim",
+    return rows.select(
+        fx.claim(F.col("subject"), F.col("predicate"), F.col("object"), sign).alias("claim"),
         "n_supporting",
-        n.alias("n_contradicting"),
+        "n_contradicting",
         F.round(conf, 6).alias("confidence"),
         "first_seen",
         "last_confirmed",

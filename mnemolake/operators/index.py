@@ -1,4 +1,9 @@
-"""Term statistics over memory text."""
+"""Term statistics over memory text.
+
+Generators over computed arrays are the ``_outer`` kind followed by a null
+filter: for a plain ``explode`` Spark adds a filter that computes the array a
+second time.
+"""
 
 from __future__ import annotations
 
@@ -19,16 +24,34 @@ def tokenized(memories: DataFrame, id_col: str = "memory_id", text_col: str = "c
     )
 
 
-def corpus_stats(tok: DataFrame) -> DataFrame:
-    """One row: number of documents, token count, mean and maximum length."""
-    return tok.agg(
-        F.count("*").alias("n_docs"),
-        F.sum("dl").alias("n_tokens"),
-        F.avg("dl").alias("avg_len"),
-        F.max("dl").alias("max_len"),
+def lengths(memories: DataFrame, id_col: str = "memory_id", text_col: str = "content") -> DataFrame:
+    """(memory_id, dl): token count per row, zero included."""
+    dl = F.regexp_count(F.lower(F.col(text_col)), F.lit("[a-z0-9]+")).cast("long")
+    return memories.select(F.col(id_col).alias("memory_id"), dl.alias("dl"))
+
+
+def corpus_stats(lens: DataFrame) -> DataFrame:
+    """One row over rows with tokens: number of documents, token count, mean and maximum length.
+
+    Empty rows are skipped inside the aggregates: as a filter the token count
+    would be evaluated a second time.
+    """
+    dl = F.nullif("dl", F.lit(0))
+    return lens.agg(
+        F.count(dl).alias("n_docs"),
+        F.sum(dl).alias("n_tokens"),
+        F.avg(dl).alias("avg_len"),
+        F.max(dl).alias("max_len"),
     )
 
 
+def term_sets(memories: DataFrame, id_col: str = "memory_id", text_col: str = "content") -> DataFrame:
+    """(memory_id, term): each distinct term of each row once; no shuffle."""
+    distinct = F.array_distinct(tx.tokens(F.col(text_col)))
+    rows = memories.select(F.col(id_col).alias("memory_id"), F.explode_outer(distinct).alias("term"))
+    return rows.filter(F.col("term").isNotNull())
+
+
 def postings(tok: DataFrame) -> DataFrame:
     """(memory_id, dl, term, tf) for every distinct term of every document.
 
@@ -48,7 +71,8 @@ def postings(tok: DataFrame) -> DataFrame:
     return (
         tok.select("memory_id", "dl", F.sort_array("words").alias("words"))
         .withColumn("starts", run_starts)
-        .select("memory_id", "dl", F.inline(runs))
+        .select("memory_id", "dl", F.inline_outer(runs))
+        .filter(F.col("term").isNotNull())
     )
 
 
@@ -72,4 +96,4 @@ def write_index(memories: DataFrame, path: str, buckets: int = 256) -> None:
         .partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
-    corpus_stats(tok).write.mode("overwrite").parquet(f"{path}/corpus")
+    corpus_stats(lengths(memories)).write.mode("overwrite").parquet(f"{path}/corpus")

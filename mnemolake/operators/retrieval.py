@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as sc
 from ..functions import text as tx
-from ..session import top_per_group
-from .index import corpus_stats, tokenized
+from ..session import cut_lineage, top_per_group
+from .index import corpus_stats, lengths, term_sets, tokenized
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def _hits(tok: DataFrame, terms: DataFrame) -> DataFrame:
     partition, so the map-side combine leaves one row per hit to shuffle.
     """
     return (
-        tok.select("memory_id", "dl", F.explode("words").alias("term"))
+        tok.select("memory_id", "dl", F.explode_outer("words").alias("term"))
         .join(terms.select("term").distinct(), "term", "left_semi")
         .groupBy("memory_id", "term")
         .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
@@ -43,14 +43,17 @@ def _hits(tok: DataFrame, terms: DataFrame) -> DataFrame:
 def bm25(memories: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, memory_id, score) for every memory that shares a term."""
     tok = tokenized(memories)
-    stats = corpus_stats(tok)
+    stats = corpus_stats(lengths(memories))
     n_docs = stats.select("n_docs").scalar()
     avg_len = stats.select("avg_len").scalar()
     terms = query_terms(queries)
     hits = _hits(tok, terms)
+    # The count reads tf and dl, so that it keeps the same columns as the join
+    # below and both run on one shuffle of the hits.
+    present = F.count_if((F.col("tf") > 0) & (F.col("dl") > 0))
     idf = (
         hits.groupBy("term")
-        .agg(F.count("*").alias("df"))
+        .agg(present.alias("df"))
         .select("term", sc.bm25_idf(n_docs, F.col("df")).alias("idf"))
     )
     weighted = terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
@@ -278,12 +281,11 @@ def dual_path(
     terms = queries.select(
         "query_id", F.explode(F.array_distinct(tx.graph_tokens(F.col("query")))).alias("term")
     )
-    words = memories.select(
-        "memory_id", F.explode(F.array_distinct(tx.tokens(F.col("content")))).alias("term")
-    )
-    overlap = words.join(terms, "term").groupBy("query_id", "memory_id").agg(F.count("*").alias("overlap"))
+    overlap = term_sets(memories).join(terms, "term").groupBy("query_id", "memory_id").agg(F.count("*").alias("overlap"))
     seeds = top_per_group(overlap, ["query_id"], [F.desc("overlap"), F.asc("memory_id")], max(1, limit * 2))
-    seed_concepts = seeds.select("query_id", "memory_id").join(bridge, "memory_id").select("query_id", "concept")
+    found = seeds.select("query_id", "memory_id").join(bridge, "memory_id").select("query_id", "concept").distinct()
+    # Every hop of the spread starts from these few rows: written once.
+    seed_concepts = cut_lineage(found)
 
     def by_memory(heat: DataFrame) -> DataFrame:
         return (
@@ -292,7 +294,7 @@ def dual_path(
             .agg(F.sum("score").alias("s"))
         )
 
-    heat1 = by_memory(spread(seed_concepts.distinct()))
+    heat1 = by_memory(spread(seed_concepts))
     lexical_hits = overlap.join(heat1, ["query_id", "memory_id"], "full").select(
         "query_id",
         "memory_id",

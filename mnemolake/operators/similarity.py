@@ -41,40 +41,41 @@ def exact_copies(memories: DataFrame) -> DataFrame:
     )
 
 
-def _prefixes(sets: DataFrame, freq: DataFrame, threshold: float, sides: list[str]) -> DataFrame:
-    """Rarest-first prefix of each set: (id cols, size, term, pos).
+# Shared prefix terms a candidate pair must have; more terms, fewer false candidates.
+PREFIX_HITS = 4
 
-    Two sets with Jaccard >= t share a term among the first
-    ``size - ceil(t * size) + 1`` of their rarest-first order. Sorting happens
-    inside the set's own row.
+
+def _prefixes(sets: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
+    """Rarest-first prefix of each set: (id, size, term).
+
+    Two sets with Jaccard >= t have an overlap o >= t * size, so the first k of
+    their common terms (k <= o) lie among the first ``size - ceil(t * size) + k``
+    terms of each in rarest-first order. Sorting happens inside the set's own row.
     """
     ranked = (
-        sets.select(*sides, "size", F.explode("words").alias("term"))
+        sets.select("id", "size", F.explode("words").alias("term"))
         .join(freq, "term")
-        .groupBy(*sides, "size")
+        .groupBy("id", "size")
         # A set's own terms come back together: bounded by the text itself.
         .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("order"))
     )
-    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    cut = ranked.select(*sides, "size", F.posexplode(F.slice("order", F.lit(1), length)).alias("pos", "t"))
-    return cut.select(*sides, "size", (F.col("pos") + 1).alias("pos"), F.col("t.term").alias("term"))
+    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + PREFIX_HITS).cast("int")
+    return ranked.select("id", "size", F.explode(F.slice("order", F.lit(1), length)).alias("t")).select(
+        "id", "size", F.col("t.term").alias("term")
+    )
 
 
 def _candidates(left: DataFrame, right: DataFrame, threshold: float, extra: Column | None = None) -> DataFrame:
-    """Pairs (a, b) that share a prefix term and pass the size and position filters."""
-    a = left.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), "term")
-    b = right.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), "term")
-    need = F.ceil((F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-9)
-    best = 1 + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
-    ok = (
-        (F.col("sa") >= F.col("sb") * threshold - 1e-9)
-        & (F.col("sb") >= F.col("sa") * threshold - 1e-9)
-        & (best >= need)
-    )
-    joined = a.join(b, "term").filter(ok)
+    """Pairs (a, b) of compatible sizes that share enough prefix terms."""
+    a = left.select(F.col("id").alias("a"), F.col("size").alias("sa"), "term")
+    b = right.select(F.col("id").alias("b"), F.col("size").alias("sb"), "term")
+    sizes = (F.col("sa") >= F.col("sb") * threshold - 1e-9) & (F.col("sb") >= F.col("sa") * threshold - 1e-9)
+    joined = a.join(b, "term").filter(sizes)
     if extra is not None:
         joined = joined.filter(extra)
-    return joined.select("a", "b").distinct()
+    overlap = F.ceil((F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-9)
+    shared = joined.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("k"))
+    return shared.filter(F.col("k") >= F.least(F.lit(PREFIX_HITS), overlap)).select("a", "b")
 
 
 def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -90,21 +91,20 @@ def jaccard_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 
     Exact: prefix filtering loses no pair, and every candidate is verified.
     """
-    sets = reps.select(F.col("rep").alias("id"), "words", F.size("words").alias("size"))
+    # Read by the term counts, the prefixes and both sides of the check: written once.
+    sets = cut_lineage(reps.select(F.col("rep").alias("id"), "words", F.size("words").alias("size")))
     freq = sets.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    cut = _prefixes(sets, freq, threshold, ["id"])
+    cut = _prefixes(sets, freq, threshold)
     return _verify(_candidates(cut, cut, threshold, F.col("a") < F.col("b")), sets, sets, threshold)
 
 
 def jaccard_matches(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) between two collections of (id, words)."""
-    lset = left.withColumn("size", F.size("words"))
-    rset = right.withColumn("size", F.size("words"))
+    lset = cut_lineage(left.withColumn("size", F.size("words")))
+    rset = cut_lineage(right.withColumn("size", F.size("words")))
     terms = lset.select(F.explode("words").alias("term")).union(rset.select(F.explode("words")))
     freq = terms.groupBy("term").agg(F.count("*").alias("df"))
-    pairs = _candidates(
-        _prefixes(lset, freq, threshold, ["id"]), _prefixes(rset, freq, threshold, ["id"]), threshold
-    )
+    pairs = _candidates(_prefixes(lset, freq, threshold), _prefixes(rset, freq, threshold), threshold)
     return _verify(pairs, lset, rset, threshold)
 
 
@@ -182,7 +182,7 @@ def lsh_links(reps: DataFrame, threshold: float) -> DataFrame:
 
 def near_copy_groups(memories: DataFrame, threshold: float) -> DataFrame:
     """(memory_id, component) for rows that belong to a group of similar texts."""
-    reps, members = collapse_copies(token_sets(memories))
+    reps, members = collapse_copies(cut_lineage(token_sets(memories)))
     pairs = jaccard_pairs(reps, threshold)
     comp = connected_components(pairs)
     grouped = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
@@ -202,7 +202,7 @@ def consolidation_clusters(memories: DataFrame, bridge: DataFrame, threshold: fl
     gate is decided between (token set, concept set) classes.
     """
     concepts = bridge.groupBy("memory_id").agg(F.sort_array(F.collect_set("concept")).alias("cs"))
-    sets = token_sets(memories).join(concepts, "memory_id", "left").withColumn(
+    sets = cut_lineage(token_sets(memories)).join(concepts, "memory_id", "left").withColumn(
         "cs", F.coalesce("cs", F.array().cast("array<string>"))
     )
     keyed = sets.withColumn("digest", F.sha2(F.concat_ws("|", "digest", F.array_join("cs", ",")), 256))
@@ -257,8 +257,8 @@ def cluster_sentences(clusters: DataFrame, memories: DataFrame) -> DataFrame:
     """
     text = memories.select("memory_id", F.trim("content").alias("content"))
     parts = F.filter(F.split("content", r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
-    sents = clusters.join(text, "memory_id").select("component", "memory_id", F.posexplode(parts).alias("pos", "sentence"))
-    keyed = sents.withColumn("norm", F.lower(F.trim("sentence")))
+    sents = clusters.join(text, "memory_id").select("component", "memory_id", F.posexplode_outer(parts).alias("pos", "sentence"))
+    keyed = sents.filter(F.col("sentence").isNotNull()).withColumn("norm", F.lower(F.trim("sentence")))
     first = keyed.groupBy("component", "norm").agg(
         F.min_by(F.struct("memory_id", "pos", F.trim("sentence").alias("sentence")), F.struct("memory_id", "pos")).alias("s")
     )
@@ -273,7 +273,7 @@ def merge_plan(existing: DataFrame, incoming: DataFrame, threshold: float = 0.85
     distinct token set on either side.
     """
     ereps, _ = collapse_copies(token_sets(existing))
-    isets = token_sets(incoming)
+    isets = cut_lineage(token_sets(incoming))
     ireps, imembers = collapse_copies(isets)
     matches = jaccard_matches(
         ireps.select(F.col("rep").alias("id"), "words"), ereps.select(F.col("rep").alias("id"), "words"), threshold

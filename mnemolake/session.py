@@ -50,6 +50,16 @@ def broadcast_upto(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input of few files: hash-repartition only when it has fewer splits than cores.
+
+    Text work per row is heavy, so one file in one task would leave the cluster
+    idle. A large table already has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     """Best ``k`` rows per key.
 
