@@ -14,7 +14,7 @@ def json_text(value: Column) -> Column:
 
     def escape(text: Column, ch: Column) -> Column:
         units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
-        return F.replace(text, ch, F.regexp_replace(units, r"([0-9a-f]{4})", r"\\\\u$1"))
+        return F.replace(text, ch, F.regexp_replace(units, r"([0-9a-f]{4})", r"\\u$1"))
 
     return F.aggregate(odd, literal, escape)
 
