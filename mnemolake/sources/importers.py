@@ -79,8 +79,8 @@ def whatsapp_lines(lines: DataFrame) -> DataFrame:
 
 def plain_chat(texts: DataFrame) -> DataFrame:
     """(speaker, content) of ``Speaker: text`` paragraphs in column ``value``."""
-    paragraph = F.explode(F.split("value", r"\n{2,}"))
-    chunks = texts.select(F.trim(paragraph).alias("c")).filter("c <> ''")
+    paragraphs = F.transform(F.split("value", r"\n{2,}"), F.trim)
+    chunks = texts.select(F.explode(paragraphs).alias("c")).filter("c <> ''")
     pattern = r"(?s)^\s*([^:]+):\s*(.+)$"
     named = F.col("c").rlike(pattern)
     return chunks.select(
@@ -123,7 +123,7 @@ def json_messages(texts: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def from_chat(spark: SparkSession, path: str, form: str = "auto") -> DataFrame:
     """Chat exports under a path; each file is read whole by one task."""
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     is_json = F.trim("value").rlike(r"^[\[{]")
     chat = F.col("value").rlike("(?m)" + WHATSAPP)
     parts = []
@@ -179,7 +179,7 @@ def markdown_chunks(body: Column) -> Column:
 
 
 def from_markdown(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     meta, body = front_matter(F.col("value"))
     rows = texts.select(meta.alias("meta"), F.explode(markdown_chunks(body)).alias("content"))
     return finish(rows, ["source:markdown", "markdown"], "markdown")

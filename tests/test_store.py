@@ -128,7 +128,8 @@ def test_inbox_and_receipts(spark, tmp_path):
     rows = spark.createDataFrame([("alpha beta alpha", "fact", "{}"), ("gamma", "fact", "{}")], "content string, memory_type string, metadata string")
     box.submit(rows, 1.0)
     assert [r["score"] for r in box.search("alpha").collect()] == [2]
-    ids = box.pending().filter("content = 'gamma'").select("id")
+    found = box.pending().filter("content = 'gamma'").first()["id"]
+    ids = spark.createDataFrame([(found,)], "id string")
     box.pin(ids, 2.0)
     assert [r["content"] for r in box.pending().collect()] == ["gamma", "alpha beta alpha"]
     box.redact(ids, "[gone]", 3.0)
