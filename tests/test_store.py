@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,14 +211,22 @@ def test_stream_batches_and_episodes(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.createDataFrame([("a", f"m{i}") for i in range(12)], "key string, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, text string").parquet(str(tmp_path / "in"))
-    q = batches.batched(stream, "key", 5, 60_000).writeStream.format("memory").queryName("blocks").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    # Processing-time timers keep a query alive, so it is stopped once the rest has timed out.
+    q = (
+        batches.batched(stream, "key", 5, 2_000)
+        .writeStream.format("memory").queryName("blocks").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "c1")).trigger(processingTime="1 second").start()
+    )
+    deadline = time.time() + 60
+    while time.time() < deadline and spark.sql("select * from blocks").count() < 3 and q.isActive:
+        q.awaitTermination(1)
+    q.stop()
     rows = spark.sql("select * from blocks").collect()
-    assert [r["n"] for r in rows] == [5, 5] and rows[0]["block"].splitlines()[0] == "[1] m0"
+    assert [r["n"] for r in rows] == [5, 5, 2] and rows[0]["block"].splitlines()[0] == "[1] m0"
     ev = [("u", i, float(t)) for i, t in enumerate((0, 1000, 1799, 1800, 3000, 3599, 9000))]
     spark.createDataFrame(ev, "k string, event_id long, ts double").coalesce(1).write.parquet(str(tmp_path / "ev"))
     es = spark.readStream.schema("k string, event_id long, ts double").parquet(str(tmp_path / "ev"))
     q = batches.episodes(es, "k").writeStream.format("memory").queryName("eps").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(90)
     got = {r["event_id"]: r["episode_start"] for r in spark.sql("select * from eps").collect()}
     assert got == {0: 0.0, 1: 0.0, 2: 0.0, 3: 1800.0, 4: 1800.0, 5: 1800.0, 6: 9000.0}
