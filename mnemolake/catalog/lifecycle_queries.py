@@ -10,7 +10,6 @@ from ..operators import lifecycle, metrics
 from ..plans import forgetting
 from . import query
 from .concept_queries import ACTIVE_SQL, ORDERS_NOW, order_accesses
-from .text_queries import sql_re
 from .views import ACCESS_STATS_SQL, MEMORIES_SQL, NOW, access_log, access_stats, epoch, memories, order_concepts, table
 
 EFF = f"strength * pow(0.5, ({NOW} - last_accessed) / 604800.0) * (1 + 0.1 * ln(1 + access_count))"

@@ -11,8 +11,6 @@ from . import query
 from .text_queries import sql_list
 from .views import MEMORIES_SQL, NOW, memories, passage_queries, table
 
-FLAGSHIP = "the nation of another region and the things that were there"
-
 IDX_SQL = """
 tok AS (SELECT doc_id AS memory_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents),
 idx AS (SELECT memory_id, words, len(words) AS dl FROM tok WHERE len(words) > 0),

@@ -16,6 +16,10 @@ from ..session import cut_lineage, top_per_group
 from .index import corpus_stats, lengths, term_sets, tokenized
 
 
+# Largest query batch of vectors that is broadcast; beyond it the items are salted.
+PROBE_BROADCAST_ROWS = 10_000
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf): stop words out, repeats kept as a weight."""
     return (
@@ -330,6 +334,16 @@ def vector_top(items: DataFrame, probes: DataFrame, limit: int) -> DataFrame:
     left = items.select("memory_id", unit(F.col("embedding")).alias("v")).filter(F.col("v").isNotNull())
     right = probes.select("query_id", unit(F.col("vector")).alias("q")).filter(F.col("q").isNotNull())
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    scored = left.join(right, F.size("v") == F.size("q")).select("query_id", "memory_id", F.round(dot, 6).alias("cosine"))
+    left = left.withColumn("dim", F.size("v"))
+    right = right.withColumn("dim", F.size("q"))
+    if right.limit(PROBE_BROADCAST_ROWS + 1).count() <= PROBE_BROADCAST_ROWS:
+        pairs = left.join(F.broadcast(right), "dim")
+    else:
+        # All vectors share one length, so the length alone would be one hot key.
+        salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = left.withColumn("salt", F.pmod(F.xxhash64("memory_id"), F.lit(salts)).cast("int"))
+        copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = spread.join(copies, ["dim", "salt"])
+    scored = pairs.select("query_id", "memory_id", F.round(dot, 6).alias("cosine"))
     scored = scored.filter(F.col("cosine") > 0)
     return top_per_group(scored, ["query_id"], [F.desc("cosine"), F.asc("memory_id")], limit)

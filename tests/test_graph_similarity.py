@@ -174,3 +174,16 @@ def test_patterns(spark):
     eps = spark.createDataFrame([(i, 1000.0 * i) for i in range(1, 7)], "episode_id long, started_at double")
     occ = spark.createDataFrame([("a", e) for e in (1, 2, 3, 6)] + [("b", e) for e in (1, 3, 5)], "concept string, episode_id long")
     assert [tuple(r) for r in patterns.streak_patterns(occ, eps).collect()] == [("a", 3)]
+
+
+def test_vector_search_both_ways(spark, monkeypatch):
+    items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(-3, 4)] + [(9, [0.0, 0.0])], "memory_id long, embedding array<double>")
+    probes = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "query_id long, vector array<double>")
+
+    def top():
+        return {(r["query_id"], r["rank"]): (r["memory_id"], r["cosine"]) for r in retrieval.vector_top(items, probes, 2).collect()}
+
+    broadcast = top()
+    assert broadcast[(1, 1)] == (3, 0.948683) and broadcast[(2, 1)] == (0, 1.0)
+    monkeypatch.setattr(retrieval, "PROBE_BROADCAST_ROWS", 1)
+    assert top() == broadcast
