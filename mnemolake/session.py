@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +28,63 @@ def build_session(app: str = "mnemolake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which all executors and the driver share.
 
-    The data survives the loss of the executors that computed it. Only where
-    the cluster names no folder (unit tests) is a temporary one made.
+    Only a single-process session (master local[...], as in tests) may run
+    without the setting; it gets a temporary folder. A cluster without it is
+    an error, because executors would write to their own disks.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="mnemolake-ckpt-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; it survives the loss of the executors that computed it."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mnemolake-ckpt-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; everything below it goes when the application ends."""
+    top = f"{shared_folder(spark).rstrip('/')}/mnemolake-{spark.sparkContext.applicationId}"
+    fs, p = _hadoop(spark, top)
+    if fs.mkdirs(p):
+        fs.deleteOnExit(p)
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by ``save`` that no later step reads."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/mnemolake-" in path:
+                fs, p = _hadoop(spark, path)
+                fs.delete(p, True)
+
+
 def broadcast_upto(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only when the side is proven to hold at most ``max_rows``.
 
