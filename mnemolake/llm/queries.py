@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, simhash
+from . import bpe, exact_dedup, packing, rans, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.rans_files(documents(spark, sf_dir), JSON)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(documents(spark, sf_dir))
 
@@ -35,7 +39,7 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.cost_packing(documents(spark, sf_dir), JSON)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op9_simhash_near_dedup, op10_cost_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op6_rans_files, op9_simhash_near_dedup, op10_cost_packing)}
 SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.EXACT_DEDUP_SQL}
 
 
