@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding over Arrow batches.
 
 The tokenizers library encodes every distinct word once per worker; texts are put together from the ids of their
-words. That is exact: a single space between two characters that are not white space always starts a new match of the
-splitting pattern, so no token spans it. A text in which white space touches white space, or which starts or ends with
-it, is encoded as it is.
+words. That is exact: a single space or line end between two characters that are not white space always starts a new
+match of the splitting pattern, so no token spans it. A text in which white space touches white space, or which starts
+or ends with it, is encoded as it is.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 import base64
 import os
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, islice
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 #: Words kept per worker before the cache starts anew. Memory only; results do not depend on it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 #: Bytes of text handled at once within a worker.
 CHUNK_BYTES = 4 << 20
 _TOUCHING = re.compile(r"\s\s|^\s|\s\Z")
@@ -99,38 +100,67 @@ class Codec:
         self.n_bytes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode words, each after a space, many to a call; token lengths in bytes show where each word ends."""
+        """Encode words, many to a call; token lengths in bytes show where each word ends.
+
+        Marks after a letter are a match of their own, so a word and the same word with a comma are learnt once.
+        """
+        stems = {w: stem for w in new if (stem := w.rstrip(string.punctuation)) != w and stem[-1:].isalpha()}
+        plain = {w for w in new if w not in stems}
+        plain.update(stem for stem in stems.values() if stem not in self.words)
+        part: list[str] = []
+        for k, w in enumerate(plain, 1):
+            part.append(w)
+            if len(part) == 2000 or k == len(plain):
+                self._learn_plain(part)
+                part = []
+        tails = {w[len(stem) :] for w, stem in stems.items()}.difference(self.tails)
+        self.tails.update(zip(tails, self._whole(list(tails)), strict=True))
+        for w, stem in stems.items():
+            self.words[w] = self.words[stem] + self.tails[w[len(stem) :]]
+
+    def _learn_plain(self, part: list[str]) -> None:
         wide = self.dtype.itemsize
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = np.cumsum(self.n_bytes[ids])
-            stops = np.fromiter(accumulate(len(w.encode()) + 1 for w in part), dtype=np.int64, count=len(part))
-            cuts = np.searchsorted(ends, stops) + 1
-            flat, at = ids.tobytes(), 0
-            for word, cut in zip(part, (cuts * wide).tolist(), strict=True):
-                self.words[word] = flat[at:cut]
-                at = cut
+        # A word stands after a space, or after a line end if it starts with one; one at the start of a text is
+        # learnt after a line end, whose single id is then cut off.
+        forms = [w if w[0] == "\n" else "\n" + w[1:] if w[0] == "\r" else " " + w for w in part]
+        ids = np.array(self.tok.encode_batch_fast(["".join(forms)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends = np.cumsum(self.n_bytes[ids])
+        stops = np.fromiter(accumulate(len(w.encode()) for w in forms), dtype=np.int64, count=len(forms))
+        cuts = np.searchsorted(ends, stops) + 1
+        flat, at = ids.tobytes(), 0
+        for word, cut in zip(part, (cuts * wide).tolist(), strict=True):
+            self.words[word] = flat[at + wide : cut] if word[0] == "\r" else flat[at:cut]
+            at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
-        split = [None if _TOUCHING.search(t) else t.split(" ") for t in texts]
+        def parts(t: str) -> list[str] | None:
+            if not t:
+                return []
+            # The first test is the cheaper one; it also fails for lone white space of other kinds.
+            if " ".join(t.split()) != t.replace("\n", " ") and _TOUCHING.search(t):
+                return None
+            return ("\r" + t.replace("\n", " \n")).split(" ")
+
+        # "\r" marks the first word of a text; no other word of a text split here starts with white space but "\n".
+        split = [parts(t) for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         new: set[str] = set()
         for w in split:
             if w:
-                new.update(set(islice(w, 1, None)).difference(self.words))
+                new.update(set(w).difference(self.words))
         self._learn(list(new))
-        heads = iter(self._whole([t if w is None else w[0] for t, w in zip(texts, split, strict=True)]))
+        rest = iter(self._whole([t for t, w in zip(texts, split, strict=True) if w is None]))
         ids_of = self.words.__getitem__
-        return [h if w is None else h + b"".join(map(ids_of, w[1:])) for h, w in zip(heads, split, strict=True)]
+        return [next(rest) if w is None else b"".join(map(ids_of, w)) for w in split]
 
     def ids(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, dtype=self.dtype)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, rans, simhash
+from . import bpe, exact_dedup, packing, quality, rans, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir))
+
+
 def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.rans_files(documents(spark, sf_dir), JSON)
 
@@ -39,8 +43,18 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.cost_packing(documents(spark, sf_dir), JSON)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op6_rans_files, op9_simhash_near_dedup, op10_cost_packing)}
-SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.EXACT_DEDUP_SQL}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_byte_bpe,
+        op4_quality_rules,
+        op6_rans_files,
+        op9_simhash_near_dedup,
+        op10_cost_packing,
+    )
+}
+SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.EXACT_DEDUP_SQL, "op4_quality_rules": quality.QUALITY_SQL}
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
