@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality, rans, simhash
+from . import bpe, exact_dedup, packing, pii, quality, rans, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
+#: Key of the registered query and of the pipeline; whoever runs them on private data sets their own.
+SURROGATE_KEY = "surrogates-of-the-given-tables"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -31,6 +34,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_surrogates(documents(spark, sf_dir), SURROGATE_KEY)
+
+
 def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.rans_files(documents(spark, sf_dir), JSON)
 
@@ -49,6 +56,7 @@ QUERIES: dict[str, Query] = {
         op1_exact_dedup,
         op2_byte_bpe,
         op4_quality_rules,
+        op5_pii_surrogates,
         op6_rans_files,
         op9_simhash_near_dedup,
         op10_cost_packing,
@@ -58,4 +66,7 @@ SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.EXACT_DEDUP_SQL, "op4_qual
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    return dict(QUERIES), dict(SQL)
+    """All queries and SQL, with the pipeline at the top of the repository."""
+    pipeline = import_module("corpus_pipeline")
+    sql = dict(SQL) if pipeline.ORACLE_SQL is None else {**SQL, "pipeline": pipeline.ORACLE_SQL}
+    return {**QUERIES, "pipeline": pipeline.run}, sql
