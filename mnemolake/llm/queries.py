@@ -8,7 +8,7 @@ from importlib import import_module
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, pii, quality, rans, simhash
+from . import bpe, exact_dedup, packing, pii, quality, rans, simhash, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.rans_files(documents(spark, sf_dir), JSON)
 
 
+def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.weak_quality(documents(spark, sf_dir))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
         op4_quality_rules,
         op5_pii_surrogates,
         op6_rans_files,
+        op7_weak_quality,
         op9_simhash_near_dedup,
         op10_cost_packing,
     )
