@@ -8,7 +8,7 @@ from importlib import import_module
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, pii, quality, rans, simhash, weak_quality
+from . import bpe, exact_dedup, hmm_lm, packing, pii, quality, rans, simhash, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.weak_quality(documents(spark, sf_dir))
 
 
+def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.hmm_scores(documents(spark, sf_dir))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(documents(spark, sf_dir))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
         op5_pii_surrogates,
         op6_rans_files,
         op7_weak_quality,
+        op8_hmm_scores,
         op9_simhash_near_dedup,
         op10_cost_packing,
     )
