@@ -8,7 +8,7 @@ from importlib import import_module
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, hmm_lm, packing, pii, quality, rans, simhash, weak_quality
+from . import bpe, exact_dedup, hmm_lm, packing, pii, quality, rans, simhash, suffix_dedup, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_array_dedup(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_exact_dedup,
         op2_byte_bpe,
+        op3_suffix_dedup,
         op4_quality_rules,
         op5_pii_surrogates,
         op6_rans_files,
