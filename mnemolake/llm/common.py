@@ -36,3 +36,9 @@ def attach(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
     hot = F.broadcast(table.filter(is_hot))
     cold = table.filter(~is_hot)
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def aside(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns that are named like one in ``taken`` out of the way, and what selects all columns again."""
+    moved = {c: f"_own_{c}" for c in docs.columns if c in taken}
+    return docs.withColumnsRenamed(moved), [F.col(moved.get(c, c)).alias(c) for c in docs.columns]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import save
-from .common import BLANK, HOT_SHARE, whole_text
+from .common import BLANK, HOT_SHARE, aside, whole_text
 
 BLOCK_BITS = 32768  # what bitmap_construct_agg holds
 BITS_PER_ROW = 16
@@ -123,8 +123,9 @@ class ExactDedup:
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    return ExactDedup(docs, id, text).mark(docs).filter("kept").select(*docs.columns)
+    """The rows of ``docs`` that stay, with their own columns, those named like a result column included."""
+    rows, own = aside(docs, RESULT)
+    return ExactDedup(rows, id, text).mark(rows).filter("kept").select(*own)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

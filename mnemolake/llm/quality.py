@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CHARS, whole_text, words
+from .common import BLANK_CHARS, aside, whole_text, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -175,6 +175,12 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text"
     return judged.withColumn("kept", F.col("failed_rule").isNull())
 
 
+def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
+    """The rows that no rule rejects, with their own columns."""
+    rows, own = aside(docs, ["failed_rule", "kept"])
+    return cascade(rows, rules, text).filter("kept").select(*own)
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """op4: base counts and the cascade's verdict on every document."""
     t = whole_text()

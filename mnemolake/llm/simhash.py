@@ -34,7 +34,7 @@ EXPAND = 512
 PAIRS = 1 << 21
 #: Members of one anchor per task. A larger anchor is dealt to tiles, each holding two of its parts.
 TILE = 500_000
-#: Ids of at most this number are broadcast.
+#: Documents that go, 16 bytes each, of at most this number are broadcast.
 SMALL = 500_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -60,16 +60,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) with the fingerprint as a signed long."""
+    """(id, text_hash, fp): 64-bit hash of the text and fingerprint, both as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            data = [batch.column(0), batch.column(2), pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(data, names=["id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id).alias("id"), whole_text(text).alias("text"))
+    rows = docs.select(F.col(id).alias("id"), whole_text(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id)
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long").withColumnRenamed("id", id)
 
 
 def blocks_for(limit: int) -> list[tuple[int, int]]:
@@ -283,7 +284,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, component_id): the smallest id that is reachable over links of at most ``limit`` differing bits.
+    """(id, text_hash, fp, component_id): the smallest id that is reachable over links of at most ``limit`` differing bits.
 
     Texts without words, null ones included, have fingerprint 0. Rows that repeat an id are one node's rows. Null ids
     are passed over in component_id, which is null only where all ids of a component are. An empty table gives an
@@ -296,17 +297,20 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", limit:
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("rows").alias("rows"))
     of_node = attach(rooted.select("root", "fp", F.col("rows").alias("n")), lowest, "root", "rows")
     by_print = save(of_node.select("fp", "component_id", "n"), "components")
-    return attach(prints, by_print, "fp", "n").select(id, "fp", "component_id")
+    return attach(prints, by_print, "fp", "n").select(id, "text_hash", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, with its own columns; rows with a null id stay.
+    """One document of each group, the one with the smallest id, with its own columns.
 
-    The ids that go are few beside the texts; up to SMALL of them are broadcast, so that no text is shuffled.
+    Rows with a null id stay; rows that repeat an id and a text stay or go together. What goes is known by id and text
+    hash; up to SMALL of these pairs are broadcast, so that no text is shuffled.
     """
     groups = near_groups(docs, id, text)
-    gone = save(groups.filter(F.col(id) != F.col("component_id")).select(id).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, id, "left_anti").select(*docs.columns)
+    gone = save(groups.filter(F.col(id) != F.col("component_id")).select(id, "text_hash").distinct(), "gone")
+    keys = gone.select(F.col(id).alias("_gone_id"), F.col("text_hash").alias("_gone_text"))
+    same = (docs[id] == F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col("_gone_text"))
+    return docs.join(F.broadcast(keys) if gone.count() <= SMALL else keys, same, "left_anti")
 
 
 def simhash_near_dedup(docs: DataFrame) -> DataFrame:

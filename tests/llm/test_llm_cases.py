@@ -1,0 +1,366 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names; parts against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from mnemolake.llm import bpe, exact_dedup, hmm_lm, packing, pii, quality, queries, rans, simhash, suffix_dedup, weak_quality
+
+LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(30_000))
+SCHEMA = "doc_id long, text string, kept string, ids string, n_entities int, keep_id int, component_id int, block int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, texts and other columns, an id and a whole row twice, a long text, names that clash."""
+    rows = [
+        (1, "", "a", "b", 1, 2, 3, 4),
+        (2, None, None, None, None, None, None, None),
+        (None, "one text here", "x", None, 1, 1, 1, 1),
+        (None, None, None, None, None, None, None, None),
+        (3, "one  text\there", "x", None, 1, 1, 1, 1),
+        (4, "one text here", "x", None, 1, 1, 1, 1),
+        (4, "one text here", "x", None, 1, 1, 1, 1),
+        (5, " \n\t ", "x", None, 1, 1, 1, 1),
+        (6, LONG, "x", None, 1, 1, 1, 1),
+        (7, LONG, "x", None, 1, 1, 1, 1),
+        (7, "another text for the same id, with 10.1.2.3 in it", "x", None, 1, 1, 1, 1),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(odd):
+    return odd.filter("false")
+
+
+def test_exact_dedup(odd, nothing):
+    got = exact_dedup.exact_dedup(odd).collect()
+    assert len(got) == 11 and exact_dedup.exact_dedup(nothing).count() == 0
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.text_sha256, []).append(r)
+    same = by_text[hashlib.sha256(b"one text here").hexdigest()]
+    assert len(same) == 4 and {r.keep_id for r in same} == {3} and {r.group_size for r in same} == {4}
+    assert all(sum(r.kept for r in rows) == 1 for rows in by_text.values())
+    left = exact_dedup.dedup(odd)
+    assert left.columns == odd.columns
+    assert sorted((r.doc_id, r.kept) for r in left.collect() if r.doc_id) == [(1, "a"), (3, "x"), (5, "x"), (6, "x"), (7, "x")]
+
+
+def test_exact_dedup_repeated_row_stays_once(spark):
+    docs = spark.createDataFrame([(1, "a")] * 3 + [(2, "a")], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert sorted((r.doc_id, r.kept) for r in got) == [(1, False), (1, False), (1, True), (2, False)]
+
+
+def test_bpe(odd, nothing):
+    path = queries.RANKS
+    tokens = bpe.encode(odd, path, queries.public_tokenizers.PATTERN)
+    back = bpe.decode(tokens, path, queries.public_tokenizers.PATTERN).collect()
+    assert sorted(r.text for r in back) == sorted(r.text or "" for r in odd.collect())
+    assert bpe.encode(nothing, path, queries.public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_offsets_and_split_characters():
+    c = bpe.codec(queries.RANKS, queries.public_tokenizers.PATTERN)
+    text = "naïve 中文 😀 text"
+    ids = c.ids(c.encode([text])[0])
+    starts, ends, split = c.offsets(text, ids)
+    assert split > 0 and starts[0] == 0 and ends[-1] == len(text)
+    plain = {i: c.bytes_of[i] for i in ids.tolist()}
+    assert all(text[a:b].encode() == plain[i] for i, a, b in zip(ids.tolist(), starts, ends, strict=True) if plain[i].isascii())
+    assert c.decode(ids).decode() == text
+
+
+def test_bpe_words_put_together_equal_whole_texts():
+    random.seed(2)
+    c = bpe.codec(queries.RANKS, queries.public_tokenizers.PATTERN)
+    parts = ["a", "B", "é", "'s", "'", "1", "²", ".", " ", "  ", "\n", "\n\n", "\t", "\r", "\x1c", "\x85", "\xa0", "　", "#", "!!", "中", "😀",
+             "it's", "<|endoftext|>", '"', "_", "\x00", "the"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 25))) for _ in range(3000)]
+    assert c.encode(texts) == c._whole(texts)
+
+
+def test_suffix_dedup(odd, nothing):
+    got = suffix_dedup.suffix_dedup(odd).collect()
+    assert len(got) == 11 and suffix_dedup.suffix_dedup(nothing).count() == 0
+    whole = [r for r in got if r.n_bytes == len(LONG)]
+    assert {r.doc_id for r in whole} == {6, 7}
+    late = next(r for r in whole if r.doc_id == 7)
+    assert (late.n_removed, late.n_spans, bytes(late.kept)) == (len(LONG), 1, b"")
+    assert all(r.n_removed == 0 for r in got if r.n_bytes < 100)
+
+
+def _arrow(rows, names, kinds):
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+@pytest.mark.parametrize(("crowd", "shard"), [(2000, 1 << 21), (2, 400), (1, 1500)])
+def test_suffix_dedup_with_small_shards_and_crowds(monkeypatch, crowd, shard):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    rng = random.Random(5)
+    line = "".join(rng.choice("abc de") for _ in range(140))
+    texts = {}
+    for i in range(40):
+        own = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 300)))
+        texts[i] = own + line[rng.randint(0, 30) : rng.randint(60, 140)] + ("z" * rng.randint(0, 250) if i % 3 else own[:120])
+    texts[40] = texts[3]
+
+    def again(batch, order):
+        keys = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in order]
+        return batch.take(pa.array(sorted(range(batch.num_rows), key=lambda i: tuple(k[i] for k in keys))))
+
+    rows = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], names=["key", "text"])
+    runs = pa.Table.from_batches(list(suffix_dedup._emit_runs(iter([rows])))).combine_chunks().to_batches()[0]
+    ordered = again(runs, ["gram", "digest", "key", "first"])
+    found = pa.Table.from_batches(list(suffix_dedup._settle(ordered.slice(k, 37) for k in range(0, ordered.num_rows, 37)))).to_pylist()
+    asked = {}
+    for r in found:
+        if r["kind"] != suffix_dedup.COVERED:
+            asked.setdefault(r["key"], []).append(r)
+    wanted = [(k, texts[k], v) for k, v in asked.items()]
+    covered = [(r["key"], r["first"], r["n"]) for r in found if r["kind"] == suffix_dedup.COVERED]
+    if wanted:
+        batch = pa.RecordBatch.from_arrays([pa.array([w[i] for w in wanted]) for i in range(3)], names=["key", "text", "asked"])
+        data = pa.Table.from_batches(list(suffix_dedup._emit_bytes(iter([batch])))).combine_chunks().to_batches()[0]
+        shards = suffix_dedup._shards(iter([again(data, ["gram", "key", "first"])]))
+        covered += [(r["key"], r["first"], r["n"]) for b in shards for r in b.to_pylist()]
+    got = {(k, p) for k, first, n in covered for p in range(first, first + n)}
+    seen, want = set(), set()
+    for k, t in texts.items():
+        raw = t.encode()
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                want.add((k, p))
+            seen.add(raw[p : p + 100])
+    assert got == want and want
+
+
+def test_suffix_array_and_prefixes():
+    rng = np.random.default_rng(3)
+    for trial in range(8):
+        data = rng.integers(97, 99 + trial % 3, int(rng.integers(100, 900))).astype(np.uint8)
+        data = np.r_[data, data[5:170], data[:40], data[5:170]]
+        raw = data.tobytes()
+        sa = suffix_dedup.order_suffixes(data)
+        assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        common = suffix_dedup.common_prefixes(data, sa, block=64)
+        for k in range(1, len(raw)):
+            x, y = raw[sa[k] :][:100], raw[sa[k - 1] :][:100]
+            assert common[k] == next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+
+def test_quality(spark, odd, nothing):
+    got = quality.cascade(odd)
+    assert got.count() == 11 and quality.cascade(nothing).count() == 0
+    assert {r.failed_rule for r in got.filter("text is null or trim(text) = ''").collect()} <= {"few_words", "symbols", "repeated_lines", "word_length"}
+    assert quality.keep_good(odd).columns == odd.columns
+    row = quality.quality_rules(odd).filter("doc_id = 2").first()
+    assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (0, 0, 0, 0, 0)
+    assert row.base_failed and not row.kept
+
+
+def test_quality_order_does_not_change_the_verdict(spark):
+    rules = quality.production_rules()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = quality.whole_text()
+    both = docs.select(quality.failed_rule(text, rules).isNull().alias("a"), quality.failed_rule(text, rules[::-1]).isNull().alias("b"))
+    assert both.filter("a <> b").isEmpty() and not both.filter("a").isEmpty() and not both.filter("not a").isEmpty()
+    times = [quality.Estimate(r.name, 1.0 + i, i) for i, r in enumerate(rules)]
+    assert [r.name for r in quality.ordered(rules, times)][0] == rules[-1].name
+
+
+def test_pii_surrogates(spark, odd, nothing):
+    texts = [
+        "call +1 (017) 555-7713 or +10175557713",
+        "und.34@mail7.example.com UND.34@MAIL7.EXAMPLE.COM, x@y.org",
+        "4111111111111111 4111-1111-1111-1111 9807915762804490",
+        "192.168.1.7 and 233.254.104.120",
+        'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B" token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"',
+        "Mrs. Anna Smith met Mr. John Miller; MRS. ANNA SMITH left",
+        "version 3. 4.0 2020-01-01",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, "key").collect()}
+    assert [got[i].n_entities for i in range(7)] == [2, 3, 3, 2, 2, 3, 0]
+    digits = ["".join(c for c in part if c.isdigit()) for part in got[0].text.removeprefix("call ").split(" or ")]
+    assert digits[0] == digits[1] and digits[0][0] == "1"
+    a, b, c = (x.strip(",") for x in got[1].text.split())
+    assert a.upper() == b and c not in (a, b)
+    cards = got[2].text.split()
+    assert cards[0] == cards[1].replace("-", "") and len(set(cards)) == 3
+    assert sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(cards[0]))) % 10 == 0
+    assert got[3].text.startswith("192.168.") and got[3].text != texts[3]
+    first, last = got[5].text.split("; ")
+    assert first.startswith("Mrs. ") and " met Mr. " in first and last.startswith(first.split(" met ")[0].upper())
+    assert got[6].text == texts[6]
+    for t, r in ((t, got[i].text) for i, t in enumerate(texts)):
+        assert not any(e in r for e in spark.createDataFrame([(t,)], "t string").select(pii.matches(pii.whole_text("t")).alias("m")).first().m)
+    assert pii.pseudonymise(nothing, "key").count() == 0
+    rows = pii.pseudonymise(odd, "key").collect()
+    assert len(rows) == 11 and sum(r.text is None for r in rows) == 2 and sum(r.n_entities for r in rows) == 1
+
+
+def test_pii_collisions_are_drawn_again(spark, monkeypatch):
+    """Every first draw is the same value: one entity gets it, all others draw again, by map and by join alike."""
+    docs = spark.createDataFrame([(i, f"at 9.168.7.{i + 1} now") for i in range(60)], "doc_id long, text string")
+    draw = pii.Surrogates.draw
+
+    def poor(self, kind, form, attempt):
+        return pii.F.when(attempt == 0, pii.F.lit("10.0.0.1")).otherwise(draw(self, kind, form, attempt))
+
+    monkeypatch.setattr(pii.Surrogates, "draw", poor)
+    assert pii.second_draws(pii.entities(docs), pii.Surrogates("key")).count() == 59
+    for most in (10_000, 0):
+        monkeypatch.setattr(pii, "EXCEPTIONS", most)
+        out = [r.text for r in pii.pseudonymise(docs, "key").collect()]
+        assert len(set(out)) == 60 and not any("9.168.7." in t and t.startswith("at 9.") for t in out)
+
+
+def test_rans_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 127, 128, 129, rans.BLOCK, rans.BLOCK + 7):
+        ids = np.minimum((rng.pareto(0.7, n) * 3).astype(np.int64), 1 << 30)
+        data = rans.encode_segment(ids)
+        assert (rans.decode_segment(data) == ids).all()
+    damaged = bytearray(rans.encode_segment(np.arange(1000) % 7))
+    damaged[-3] ^= 1
+    with pytest.raises((ValueError, IndexError)):
+        rans.decode_segment(bytes(damaged))
+
+
+def test_token_files(odd, nothing):
+    got = sorted(rans.rans_files(odd, queries.JSON).collect(), key=lambda r: r.start)
+    assert len(got) == 11 and [r.doc_id for r in got][:2] == [None, None] and rans.rans_files(nothing, queries.JSON).count() == 0
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    assert [r.n_tokens for r in got if r.doc_id == 2] == [1]
+
+
+def test_weak_quality(odd, nothing):
+    got = weak_quality.weak_quality(odd).collect()
+    assert len(got) == 11 and all(r.kept is not None for r in got)
+    assert weak_quality.weak_quality(nothing).count() == 0
+
+
+def test_labeller_accuracies_are_recovered():
+    rng = np.random.default_rng(1)
+    truth = rng.random(20_000) < 0.3
+    votes = np.stack([np.where(rng.random(20_000) < 0.2, 0, np.where(rng.random(20_000) < p, 1, -1) * np.where(truth, -1, 1)) for p in (0.95, 0.8, 0.7)], axis=1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    posterior, table = weak_quality.fit_labellers(patterns, counts.astype(float))
+    right = table[1, :, 0] / (table[1, :, 0] + table[1, :, 2])
+    assert np.allclose(right, (0.95, 0.8, 0.7), atol=0.05)
+    label = {tuple(p): q > 0.5 for p, q in zip(patterns.tolist(), posterior, strict=True)}
+    assert np.mean([label[tuple(v)] == t for v, t in zip(votes.tolist(), truth, strict=True)]) > 0.9
+
+
+def test_hmm(odd, nothing):
+    got = hmm_lm.hmm_scores(odd).collect()
+    assert len(got) == 11 and all(np.isfinite(r.score) and r.score < 0 for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (1, 2, 5)} == {1} and not any(r.held_out for r in got if r.doc_id is None)
+    assert hmm_lm.hmm_scores(nothing).count() == 0
+
+
+def test_hmm_likelihood_is_the_sum_over_paths():
+    model = hmm_lm.Hmm.blank(np.full(5, 0.2), states=3)
+    seqs = [np.array([0, 1, 4]), np.array([2]), np.array([3, 3, 0, 1])]
+    for seq, got in zip(seqs, model.log10_likelihood(seqs), strict=True):
+        paths = np.array(np.meshgrid(*[range(3)] * len(seq))).reshape(len(seq), -1).T
+        total = sum(
+            model.start[p[0]] * np.prod([model.move[a, b] for a, b in zip(p, p[1:], strict=False)]) * np.prod([model.emit[c, s] for c, s in zip(seq, p, strict=True)])
+            for p in paths
+        )
+        assert np.isclose(got, np.log10(total))
+    runs = np.array([[0, 1, 4, 2], [3, 3, 0, 1]])
+    counts = model.expected(runs)
+    assert np.isclose(counts[:5].sum(), 8) and np.isclose(counts[5:8].sum(), 6) and np.isclose(counts[8].sum(), 2)
+    better = model.update(counts, np.full(5, 0.2))
+    assert better.log10_likelihood(list(runs)).sum() > model.log10_likelihood(list(runs)).sum() - 0.5
+
+
+def test_simhash(odd, nothing, spark):
+    got = simhash.near_groups(odd).collect()
+    assert len(got) == 11 and simhash.near_groups(nothing).count() == 0
+    assert {r.component_id for r in got if r.fp == 0} == {1}
+    assert simhash.near_dedup(odd).columns == odd.columns
+    assert {r.doc_id for r in simhash.near_dedup(odd).collect()} == {None, 1, 3, 6, 7}
+
+
+def test_simhash_finds_every_link(spark, monkeypatch):
+    """A family of close fingerprints and strangers; with whole expansion, search within an anchor, and tiles."""
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 1 << 62))
+    family = {base ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False)) for _ in range(300)}
+    strangers = {int(x) for x in rng.integers(-(1 << 62), 1 << 62, 300)}
+    values = [*family, *strangers]
+    signed = [((int(v) + (1 << 63)) % (1 << 64)) - (1 << 63) for v in values]
+    fps = spark.createDataFrame([(v,) for v in set(signed)], "fp long")
+    bits = np.array(sorted(set(signed)), dtype=np.int64).view(np.uint64)
+    near = np.argwhere(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 4)
+    label = simhash._roots(near[:, 0], near[:, 1], len(bits))
+    want = {frozenset(np.flatnonzero(label == r).tolist()) for r in set(label.tolist())}
+    names = bits.view(np.int64).tolist()
+    place = {v: i for i, v in enumerate(names)}
+    for tile in (500_000, 64):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        edges = [(place[r.a], place[r.b]) for r in simhash.links(fps).collect()]
+        a, b = np.array(edges).T
+        got = simhash._roots(a, b, len(bits))
+        assert {frozenset(np.flatnonzero(got == r).tolist()) for r in set(got.tolist())} == want
+    # One anchor's members, expanded or searched, give the same components.
+    one = np.zeros(len(bits), dtype=np.int64)
+    a, b = simhash._search(bits, 4)
+    assert (simhash._roots(a, b, len(bits)) == label).all()
+    a, b = simhash._links(bits[:400], np.ones(400, dtype=bool), one[:400], 4)
+    assert (simhash._roots(a, b, 400) == simhash._roots(*simhash._search(bits[:400], 4), 400)).all()
+
+
+def test_covering_code():
+    """Every 21-bit value has one home, and a value one bit away lies within 2 of that home."""
+    flips = simhash.flips(21, 2)
+    rng = np.random.default_rng(6)
+    for v in rng.integers(0, 1 << 21, 200).tolist():
+        s = simhash._syndrome(v)
+        home = v ^ (1 << s >> 1)
+        assert simhash._syndrome(home) == 0
+        for bit in [0, *(1 << i for i in range(21))]:
+            other = v ^ bit
+            assert home in {other ^ p for p in flips[simhash._syndrome(other)]}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (150, 300)]
+    got = dict(simhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in (100, 150, 200, 300)}
+
+
+def test_packing(odd, nothing):
+    pieces = packing.pack(odd, queries.JSON).collect()
+    assert sum(r.length for r in pieces) == sum({(r.doc_id, r.doc_tokens, r.sequence_id, r.offset): r.length for r in pieces}.values())
+    assert {r.doc_tokens for r in pieces if r.doc_id in (1, 2)} == {1}
+    assert packing.pack(nothing, queries.JSON).count() == 0
+
+
+def test_assign_fills_sequences_and_balances_cost():
+    rng = random.Random(8)
+    lengths = [rng.randint(1, 1023) for _ in range(500)]
+    placed = packing.assign(lengths, 1024)
+    used, cost, got = {}, {}, {}
+    for item, start, n, s, offset in sorted(placed, key=lambda p: (p[3], p[4])):
+        assert offset == used.get(s, 0)
+        used[s] = offset + n
+        cost[s] = cost.get(s, 0) + n + n * n / 1024
+        got.setdefault(item, []).append((start, n))
+    assert len(used) == -(-sum(lengths) // 1024) and max(used.values()) <= 1024
+    for i, parts in got.items():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at == lengths[i]
+    assert packing.assign([], 1024) == []
