@@ -31,18 +31,43 @@ def remember_supersedes(spark, sf):
     return remember.superseded(new, docs, links, document_bridge(spark, sf, docs))
 
 
+_TURNS_SQL = """t AS (SELECT conv_id, turn, text AS content, CASE WHEN role = 'system' THEN 'unknown' ELSE 'fact' END AS memory_type,
+      CASE turn % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'shared' ELSE 'private' END AS scope FROM conversations),
+    k AS (SELECT *, CASE WHEN coalesce(trim(content), '') = '' THEN 'empty text' WHEN memory_type <> 'fact' THEN 'unknown type' END AS reason FROM t)"""
+
+
+def _turns(spark, sf):
+    kind = F.when(F.col("role") == "system", "unknown").otherwise("fact")
+    scope = F.element_at(F.array(*[F.lit(s) for s in ("public", "shared", "private")]), (F.col("turn") % 3 + 1).cast("int"))
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.col("text").alias("content"), kind.alias("memory_type"), scope.alias("scope")
+    )
+
+
 @query(
     "remember_batch",
-    """WITH t AS (SELECT lower(trim(text)) AS k, count(*) AS n FROM conversations WHERE trim(text) <> '' AND role <> 'system' GROUP BY 1)
-    SELECT sha256(k) AS signature FROM t WHERE k NOT IN (SELECT lower(trim(text)) FROM documents)""",
+    f"""WITH {_TURNS_SQL}, v AS (SELECT *, lower(trim(content)) AS s FROM k WHERE reason IS NULL),
+    d AS (SELECT lower(trim(text)) AS s, max(doc_id) AS stored FROM documents GROUP BY 1),
+    n AS (SELECT v.*, stored, count(*) OVER (PARTITION BY s) AS copies FROM v LEFT JOIN d USING (s))
+    SELECT conv_id, turn, scope, sha256(s) AS signature, copies, stored AS stored_copy FROM n""",
 )
 def remember_batch(spark, sf):
-    """Conversation turns as a write batch: valid, new, numbered once per text."""
-    kind = F.when(F.col("role") == "system", "unknown").otherwise("fact")
-    rows = table(spark, sf, "conversations").select(F.col("text").alias("content"), kind.alias("memory_type"))
+    """Conversation turns as a write batch: every valid row with its scope, the copies of its text and the stored one."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"))
-    out = remember.remember(rows, docs, NOW, last_id=1_000_000)
-    return out.select(F.sha2(F.lower(F.trim("content")), 256).alias("signature"))
+    out = remember.remember(_turns(spark, sf), NOW, last_id=1_000_000)
+    edges = remember.equal_text_edges(out, docs)
+    sig = remember.signature(F.col("content")).alias("signature")
+    # The chain of one text: a row per copy, and at most one edge to a stored row.
+    chains = out.select("memory_id", sig).join(edges, "memory_id", "left").groupBy("signature").agg(
+        F.count("*").alias("copies"), F.max(F.when(F.col("target_id") <= 1_000_000, F.col("target_id"))).alias("stored_copy")
+    )
+    return out.select("conv_id", "turn", "scope", sig).join(chains, "signature")
+
+
+@query("remember_rejected", f"WITH {_TURNS_SQL} SELECT conv_id, turn, reason FROM k WHERE reason IS NOT NULL")
+def remember_rejected(spark, sf):
+    """The turns that are not stored, with the reason."""
+    return remember.rejected(_turns(spark, sf), NOW).select("conv_id", "turn", "reason")
 
 
 @query(

@@ -124,12 +124,11 @@ EFF_SQL = f"strength * pow(0.5, ({NOW} - last_accessed) / 604800.0) * (1 + 0.1 *
     m AS ({MEMORIES_SQL}),
     rows_ AS (SELECT * FROM m WHERE {VISIBLE_SQL}),
     tot AS (SELECT count(*) AS t FROM rows_),
-    bmk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rn FROM bm WHERE score > 0) WHERE rn <= 100),
+    bmk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rn FROM bm WHERE score > 0 AND memory_id IN (SELECT memory_id FROM rows_)) WHERE rn <= 100),
     lexical AS (SELECT query_id, b.memory_id, score / max(score) OVER (PARTITION BY query_id) AS bm FROM bmk b JOIN rows_ USING (memory_id)),
     cdf AS (SELECT concept, count(*) AS df FROM mc GROUP BY concept),
     con AS (SELECT query_id, memory_id, sum(ln(t / df)) AS score FROM mc JOIN qc USING (concept) JOIN cdf USING (concept), tot GROUP BY ALL HAVING score > 0),
-    conk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rn FROM con) WHERE rn <= 100
-       AND memory_id IN (SELECT memory_id FROM rows_)),
+    conk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rn FROM con WHERE memory_id IN (SELECT memory_id FROM rows_)) WHERE rn <= 100),
     j AS (SELECT l.query_id, l.memory_id, bm, coalesce(c.score / max(c.score) OVER (PARTITION BY l.query_id), 0) AS cn
        FROM lexical l LEFT JOIN conk c USING (query_id, memory_id)),
     k AS (SELECT j.*, r.*, len(q.ws) AS nt FROM j JOIN rows_ r USING (memory_id) JOIN qtok q USING (query_id)),

@@ -142,8 +142,11 @@ def content_hash(spark, sf):
     return customer_store(spark, sf).select("id", "hash")
 
 
-_BUCKETS = """(SELECT b.bucket::INT AS bucket, coalesce(digest, sha256('')) AS digest, coalesce(n, 0) AS n FROM range(256) b(bucket)
-   LEFT JOIN (SELECT ('0x' || left(hash, 2))::INT AS bucket, sha256(string_agg(hash, chr(10) ORDER BY hash)) AS digest, count(*) AS n FROM {src} GROUP BY 1) USING (bucket))"""
+_BUCKETS = """(SELECT b.bucket::INT AS bucket, coalesce(digest, sha256('')) AS digest, coalesce(n, 0)::BIGINT AS n FROM range(256) b(bucket)
+   LEFT JOIN (SELECT ('0x' || left(p, 2))::INT AS bucket, sha256(string_agg(digest, '' ORDER BY p)) AS digest, sum(n) AS n FROM
+     (SELECT left(p, 4) AS p, sha256(string_agg(digest, '' ORDER BY p)) AS digest, sum(n) AS n FROM
+       (SELECT left(hash, 6) AS p, sha256(string_agg(hash, chr(10) ORDER BY hash)) AS digest, count(*) AS n FROM (SELECT DISTINCT hash FROM {src}) GROUP BY 1)
+     GROUP BY 1) GROUP BY 1) USING (bucket))"""
 
 
 @query("merkle_buckets", f"WITH {HASH_SQL} SELECT * FROM {_BUCKETS.format(src='h')}")
@@ -259,10 +262,12 @@ def import_fillers(spark, sf):
 
 @query(
     "table_digest",
-    "SELECT count(*) AS n, max(o_orderkey) AS max_o_orderkey FROM orders",
+    """SELECT count(*) AS n, max(o_orderkey) AS max_o_orderkey, sha256(count(*) || '|' || sum(('0x' || left(sha256(concat_ws('|', o_custkey, strftime(o_orderdate, '%Y-%m-%d'), o_orderkey, coalesce(o_orderpriority, '\\N'))), 15))::BIGINT::HUGEINT)) AS digest FROM orders""",
 )
 def table_digest(spark, sf):
-    return store.table_digest(table(spark, sf, "orders"), "o_orderkey").select("n", "max_o_orderkey")
+    """Content digest of four columns of the orders."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderpriority")
+    return store.table_digest(rows, "o_orderkey")
 
 
 @query(

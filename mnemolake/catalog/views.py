@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import in_parts
 
 NOW = 1706745600.0  # 2024-02-01T00:00:00Z, the fixed clock of every registered query
 
 
-TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+TEXT_TABLES = {"documents", "conversations"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    return in_parts(df) if name in TEXT_TABLES else df
 
 
 def epoch(col: str):

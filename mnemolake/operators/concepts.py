@@ -12,28 +12,22 @@ from .index import term_sets
 
 LEXICON_BROADCAST_ROWS = 100_000
 
-# A starter lexicon: (concept, category, aliases). The lexicon is an input of
-# the engine: pass any (alias, concept, category) table instead.
-STARTER = [
-    ("hardware", "hardware", "hardware computer laptop desktop cpu gpu ram memory storage ssd keyboard monitor"),
-    ("operating_system", "software", "linux ubuntu macos windows android unix"),
-    ("database", "software", "database sql redis postgres postgresql sqlite mysql mongodb"),
-    ("containerization", "software", "container docker podman kvm hypervisor"),
-    ("version_control", "software", "git github gitlab commit branch"),
-    ("framework", "software", "framework react django flask fastapi spring"),
-    ("meeting", "scheduling", "meeting standup sync retro calendar schedule scheduled"),
-    ("project", "projects", "project initiative roadmap plan program"),
-    ("performance", "engineering", "performance benchmark latency throughput profiling"),
-    ("food", "preferences", "food diet vegetarian vegan keto"),
-    ("ai_ml", "ai", "ai ml neural transformer embedding rag prompt"),
-    ("cloud", "infrastructure", "cloud aws azure gcp vpc"),
-    ("network", "infrastructure", "network vpn dns firewall proxy node"),
-    ("observability", "infrastructure", "metrics monitoring logging tracing prometheus grafana"),
-    ("python", "languages", "python cpython pypy pip"),
-    ("rust", "languages", "rust rustc cargo"),
-    ("java", "languages", "java jvm maven gradle"),
-    ("person", "people", "person people human user client manager"),
-]
+# A small sample lexicon of household and travel words, so that the operators run without one. The lexicon is an
+# input of the engine: pass any (alias, concept, category) table instead.
+STARTER = {
+    ("kitchen", "home"): ["kitchen", "oven", "stove", "fridge", "dishwasher"],
+    ("garden", "home"): ["garden", "lawn", "hedge", "compost", "greenhouse"],
+    ("repair", "home"): ["repair", "leak", "plumber", "electrician", "spare part"],
+    ("train", "travel"): ["train", "railway", "platform", "sleeper car"],
+    ("flight", "travel"): ["flight", "airport", "boarding pass", "layover"],
+    ("lodging", "travel"): ["hotel", "hostel", "guest house", "check in"],
+    ("budget", "money"): ["budget", "savings", "expense", "monthly rent"],
+    ("tax", "money"): ["tax", "tax return", "deduction", "refund"],
+    ("sport", "leisure"): ["sport", "football", "tennis", "running shoes"],
+    ("music", "leisure"): ["music", "guitar", "choir", "string quartet"],
+    ("reading", "leisure"): ["novel", "library", "reading list"],
+    ("weather", "nature"): ["weather", "rain", "storm", "heat wave", "first snow of the year"],
+}
 
 # Single aliases that are never taken on their own.
 ALIAS_STOPLIST = ["r", "go", "es"]
@@ -51,7 +45,7 @@ VERSION_PATTERN = r"\bv\d+(?:\.\d+){1,3}\b|\b\d+(?:\.\d+){1,3}\b"
 
 
 def starter_lexicon(spark: SparkSession) -> DataFrame:
-    rows = [(alias, c, cat) for c, cat, words in STARTER for alias in [c.replace("_", " "), *words.split()]]
+    rows = [(alias, c, cat) for (c, cat), aliases in STARTER.items() for alias in [c, *aliases]]
     return spark.createDataFrame(rows, "alias string, concept string, category string").distinct()
 
 

@@ -72,7 +72,7 @@ def multi_hop_spread(seeds: DataFrame, edges: DataFrame, max_hops: int = 3, deca
     return merged.groupBy("query_id", "concept").agg(F.max("score").alias("score"))
 
 
-def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, component): smallest node id reachable from each node.
 
     Alternating large-star / small-star contraction: O(log n) rounds, every
@@ -83,7 +83,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     pairs = cut_lineage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = cut_lineage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # Large star: hang every larger neighbour on the smallest of the neighbourhood.
         full = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = full.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -97,8 +97,6 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         if seen == mark:
             break
         seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     root = pairs.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.join(root, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -185,12 +183,13 @@ def neighbourhood_counts(bridge: DataFrame) -> DataFrame:
     return hop1.join(reach.groupBy("concept").agg(F.count("*").alias("hop2")), "concept")
 
 
-def chain_versions(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def chain_versions(edges: DataFrame) -> DataFrame:
     """(memory_id, chain_id, version, current) of supersedes chains.
 
     ``edges``: (source_id supersedes target_id), at most one per side. Pointer
     doubling: each round halves the distance to the oldest row, so a chain of
-    length n takes log2(n) joins.
+    length n takes log2(n) joins. Edges that form a cycle have no oldest row
+    and raise an error.
     """
     link = edges.filter(F.col("edge_type") == "supersedes").select(
         F.col("source_id").alias("memory_id"), F.col("target_id").alias("prev")
@@ -200,7 +199,7 @@ def chain_versions(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     state = cut_lineage(
         ids.join(link, "memory_id", "left").withColumn("steps", F.when(F.col("prev").isNotNull(), 1).otherwise(0).cast("long"))
     )
-    for _ in range(max_rounds):
+    for _ in range(ids.count().bit_length() + 1):
         far = state.select(F.col("memory_id").alias("prev"), F.col("prev").alias("next"), F.col("steps").alias("more"))
         state = cut_lineage(
             state.join(far, "prev", "left").select(
@@ -211,6 +210,8 @@ def chain_versions(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         )
         if state.join(link.select(F.col("memory_id").alias("prev")), "prev", "left_semi").isEmpty():
             break
+    else:
+        raise ValueError("the supersedes edges form a cycle")
     chain = state.select(
         "memory_id", F.coalesce("prev", "memory_id").alias("chain_id"), (F.col("steps") + 1).alias("version")
     )

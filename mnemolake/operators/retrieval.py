@@ -138,9 +138,11 @@ def recall(
     )
     graph_mode = graph_scores is not None
     if graph_mode:
-        lex = _ranked(graph_scores, "score", limit * 10).join(rows, "memory_id")
+        scored = graph_scores
     else:
-        lex = _ranked(bm25(memories, queries), "score", limit * 10).join(rows, "memory_id")
+        scored = bm25(memories, queries)
+    # What the caller may not see never takes a place among the candidates.
+    lex = _ranked(scored.join(rows.select("memory_id"), "memory_id", "left_semi"), "score", limit * 10).join(rows, "memory_id")
     per_query = Window.partitionBy("query_id")
     lex = lex.withColumn("bm", F.col("score") / F.max("score").over(per_query)).drop("score")
     n_tokens = queries.select("query_id", F.size(tx.query_tokens(F.col("query"))).alias("n_tokens"))
@@ -152,7 +154,7 @@ def recall(
     else:
         total = rows.agg(F.count("*").alias("n")).scalar()
         con = concept_idf(bridge, query_concepts, total)
-        con = _ranked(con, "score", limit * 10).join(rows.select("memory_id"), "memory_id", "left_semi")
+        con = _ranked(con.join(rows.select("memory_id"), "memory_id", "left_semi"), "score", limit * 10)
         cand = (
             cand.join(con.withColumnRenamed("score", "con"), ["query_id", "memory_id"], "left")
             .withColumn("cn", F.coalesce(F.col("con") / F.max("con").over(per_query), F.lit(0.0)))

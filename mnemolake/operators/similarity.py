@@ -115,22 +115,22 @@ def best_match(matches: DataFrame) -> DataFrame:
     )
 
 
-def greedy_one_to_one(matches: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_one_to_one(matches: DataFrame) -> DataFrame:
     """Left rows in id order each take their best free right row.
 
     Deferred acceptance: everyone proposes to the best right row left to them,
     a right row holds its smallest proposer, the others drop that option and
-    propose again. The stable outcome is the sequential one.
+    propose again. The stable outcome is the sequential one. Each round but the
+    last refuses an option, so the loop ends.
     """
     options = cut_lineage(matches)
-    for _ in range(max_rounds):
+    while True:
         best = best_match(options)
         held = best.groupBy("b").agg(F.min("a").alias("a"))
         refused = cut_lineage(best.select("a", "b").join(held, ["a", "b"], "left_anti"))
         if refused.isEmpty():
             return best
         options = cut_lineage(options.join(refused, ["a", "b"], "left_anti"))
-    raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
 
 
 # MinHash parameters of the container merge: 128 hashes in 16 bands of 8.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ def merge_entries(store: DataFrame) -> DataFrame:
     is bounded by the number of namespaces, nodes and predecessors.
     """
     head = store.groupBy("hash").agg(
-        F.min_by(F.struct("content", "memory_type", "origin_node"), "created_at").alias("h"),
+        F.min_by(F.struct("content", "memory_type", "origin_node"), F.struct("created_at", "origin_node", "content")).alias("h"),
         F.min("created_at").alias("created_at"),
     )
 
@@ -43,18 +42,17 @@ def merge_entries(store: DataFrame) -> DataFrame:
     return out
 
 
-def merkle_depth(n: int, leaf_rows: int = 4096) -> int:
-    """Two-hex-digit levels needed so that leaves hold about ``leaf_rows`` hashes."""
-    return max(1, math.ceil(math.log(max(n / leaf_rows, 1), 256)))
+#: Levels of every tree, two hex digits each: 16.8 million leaves, the same shape for every store, so that any two
+#: trees can be compared. 10^11 hashes make leaves of about 6 000.
+LEVELS = 3
 
 
-def merkle_levels(hashes: DataFrame, depth: int = 1) -> list[DataFrame]:
+def merkle_levels(hashes: DataFrame, depth: int = LEVELS) -> list[DataFrame]:
     """Tree levels from the leaves up: (prefix, digest, n).
 
     A leaf is the SHA-256 of its sorted hashes, an inner node that of its
-    children's digests in order. Hashes are distinct and uniform, so with a
-    depth from ``merkle_depth`` no leaf outgrows a task; every inner node has
-    at most 256 children. Depth 1 gives the 256-bucket tree.
+    children's digests in order. Hashes are distinct and uniform, so no leaf
+    outgrows a task; every inner node has at most 256 children.
     """
     leaves = (
         hashes.select("hash")
@@ -72,7 +70,7 @@ def merkle_levels(hashes: DataFrame, depth: int = 1) -> list[DataFrame]:
     return levels
 
 
-def merkle_buckets(hashes: DataFrame, depth: int = 1) -> DataFrame:
+def merkle_buckets(hashes: DataFrame, depth: int = LEVELS) -> DataFrame:
     """(bucket, digest, n) for all 256 top buckets, empty ones included."""
     spark = hashes.sparkSession
     top = merkle_levels(hashes, depth)[-1]
@@ -94,7 +92,7 @@ def differing_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(other, "bucket").filter("digest <> other").select("bucket")
 
 
-def missing_rows(local: DataFrame, remote: DataFrame, depth: int = 1) -> DataFrame:
+def missing_rows(local: DataFrame, remote: DataFrame, depth: int = LEVELS) -> DataFrame:
     """Remote rows the local store lacks; only rows in differing buckets are compared."""
     apart = differing_buckets(merkle_buckets(local, depth), merkle_buckets(remote, depth))
     bucket = F.conv(F.substring("hash", 1, 2), 16, 10).cast("int")

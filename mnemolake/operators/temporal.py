@@ -55,18 +55,19 @@ def as_of(df: DataFrame, moment: float, key: str) -> DataFrame:
     return latest_by_key(df.filter(start_of(df) <= moment), key)
 
 
-def latest_facts(rows: DataFrame, keys: DataFrame, max_rounds: int = 100) -> DataFrame:
+def latest_facts(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Greedy latest-first selection when rows carry several keys.
 
     ``rows`` (memory_id, start), ``keys`` (memory_id, key). Newest first, a row
     is kept unless it shares a key with a kept row. Each round keeps the rows
     that are newest on all their keys and drops those that collide with them,
-    so the result equals the sequential pass.
+    so the result equals the sequential pass. The newest open row always wins,
+    so every round closes a row and the loop ends.
     """
     rank = F.struct(F.col("start"), F.col("memory_id"))
     open_ = cut_lineage(keys.distinct().join(rows.select("memory_id", "start"), "memory_id"))
     kept = None
-    for _ in range(max_rounds):
+    while True:
         top = open_.groupBy("key").agg(F.max(rank).alias("top"))
         wins = (
             open_.join(top, "key")
@@ -82,7 +83,6 @@ def latest_facts(rows: DataFrame, keys: DataFrame, max_rounds: int = 100) -> Dat
         open_ = cut_lineage(open_.join(losers, "memory_id", "left_anti"))
         if open_.isEmpty():
             return rows.join(kept, "memory_id", "left_semi")
-    raise RuntimeError(f"latest facts did not settle in {max_rounds} rounds")
 
 
 def temporal_chain(memories: DataFrame, bridge: DataFrame, topics: list[str]) -> DataFrame:

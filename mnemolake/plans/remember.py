@@ -6,27 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import lifecycle, retrieval, similarity, store
+from ..operators import lifecycle, retrieval, similarity, splits, store
 from ..schema import MEMORY_TYPES
 
 DUPLICATE_AT = 0.3
 
 
-def validated(rows: DataFrame, now: float) -> DataFrame:
-    """Non-empty rows of a known type with their times filled in and in order.
+def checked(rows: DataFrame, now: float) -> DataFrame:
+    """All rows with their times filled in and ``reason``, null where the row may be stored.
 
     ``valid_from`` defaults to ``observed_at``, which defaults to now.
     """
-    known = F.col("memory_type").isin(MEMORY_TYPES)
-    out = rows.filter((F.trim("content") != "") & known)
 
     def given(name: str) -> Column:
         return F.col(name) if name in rows.columns else F.lit(None).cast("double")
 
-    out = out.withColumn("observed_at", F.coalesce(given("observed_at"), F.lit(now)))
+    out = rows.withColumn("observed_at", F.coalesce(given("observed_at"), F.lit(now)))
     out = out.withColumn("valid_from", F.coalesce(given("valid_from"), F.col("observed_at")))
     out = out.withColumn("valid_to", given("valid_to"))
-    return out.filter(F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("valid_from")))
+    reason = (
+        F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "empty text")
+        .when(~F.coalesce(F.col("memory_type").isin(MEMORY_TYPES), F.lit(False)), "unknown type")
+        .when(F.col("valid_to") < F.col("valid_from"), "ends before it starts")
+    )
+    return out.withColumn("reason", reason)
+
+
+def rejected(rows: DataFrame, now: float) -> DataFrame:
+    """The rows that are not stored, each with its reason."""
+    return checked(rows, now).filter(F.col("reason").isNotNull())
 
 
 def superseded(
@@ -59,21 +67,23 @@ def superseded(
     )
 
 
-def remember(
-    rows: DataFrame, existing: DataFrame, now: float, policy: dict | None = None, last_id: int = 0
-) -> DataFrame:
-    """New memory rows, numbered after ``last_id`` and ready to append.
+def signature(content: Column) -> Column:
+    return F.sha2(F.lower(F.trim(content)), 256)
+
+
+def remember(rows: DataFrame, now: float, policy: dict | None = None, last_id: int = 0) -> DataFrame:
+    """New memory rows, numbered after ``last_id`` and ready to append: every valid row, repeated texts included.
 
     ``rows``: content, memory_type, scope, shared_with, sensitive, metadata.
-    Supersession runs on the result (see ``superseded``); texts equal to a
-    stored one after trimming and lower-casing are left out.
+    What the new rows replace is said by edges: see ``equal_text_edges`` and
+    ``superseded``. The rows that are refused are in ``rejected``.
     """
-    ok = validated(rows, now)
+    ok = checked(rows, now).filter(F.col("reason").isNull()).drop("reason")
     if policy:
         ok = lifecycle.apply_write_policy(ok, policy)
-    sig = F.sha2(F.lower(F.trim("content")), 256)
-    fresh = ok.withColumn("_sig", sig).join(existing.select(sig.alias("_sig")).distinct(), "_sig", "left_anti")
-    numbered = store.assign_ids(fresh.dropDuplicates(["_sig"]), last_id, ["_sig"]).drop("_sig")
+    # The order takes in every column: rows that are equal in all of them may change places.
+    marked = ok.withColumn("_sig", signature(F.col("content"))).withColumn("_row", F.xxhash64(*[F.col(c) for c in ok.columns]))
+    numbered = store.assign_ids(marked, last_id, ["_sig", "_row"]).drop("_sig", "_row")
     return (
         numbered.withColumn("strength", F.lit(1.0))
         .withColumn("access_count", F.lit(0).cast("long"))
@@ -84,6 +94,28 @@ def remember(
     )
 
 
+#: New rows of one text per window task, in ids.
+_CHAIN_SLICE = 10_000
+
+
+def equal_text_edges(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """(memory_id, target_id): each new row and the row with the same text that it replaces.
+
+    That is the new row with the next smaller id, or, for the first of them,
+    the newest stored one. A text that many rows share is a chain, cut into
+    slices of ids, so that no task orders all of it.
+    """
+    sig = signature(F.col("content")).alias("sig")
+    rows = new.select("memory_id", sig, F.col("memory_id").cast("double").alias("place"))
+    chained = splits.with_neighbor(rows, ["sig"], "place", "memory_id", ["memory_id"], slice_seconds=_CHAIN_SLICE)
+    stored = existing.groupBy(sig).agg(F.max("memory_id").alias("stored_id"))
+    first = chained.filter(F.col("prev_memory_id").isNull()).join(stored, "sig")
+    later = chained.filter(F.col("prev_memory_id").isNotNull())
+    return first.select("memory_id", F.col("stored_id").alias("target_id")).unionByName(
+        later.select("memory_id", F.col("prev_memory_id").alias("target_id"))
+    )
+
+
 def supersedes_edges(found: DataFrame, now: float) -> DataFrame:
     """Edges from each new row to the row it replaces."""
     return found.select(

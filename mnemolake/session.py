@@ -95,14 +95,14 @@ def broadcast_upto(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input of few files: hash-repartition only when it has fewer splits than cores.
+def in_parts(df: DataFrame) -> DataFrame:
+    """``df`` dealt round-robin to as many parts as ``mnemolake.table.parts`` says; as it is where that is unset.
 
-    Text work per row is heavy, so one file in one task would leave the cluster
-    idle. A large table already has more splits than cores and is left alone.
+    For tests and benches on tables of one small file. A cluster reads a table
+    by its file splits and leaves the setting out.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get("mnemolake.table.parts", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:

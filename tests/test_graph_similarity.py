@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from mnemolake.operators import access, concepts, graph, patterns, retrieval, similarity
@@ -45,6 +47,9 @@ def test_chain_and_bfs(spark):
     nodes, crossed = graph.bfs_slice(edges, spark.createDataFrame([(1, 5)], "query_id long, memory_id long"), 2)
     assert {r["memory_id"]: r["level"] for r in nodes.collect()} == {5: 0, 4: 1, 6: 1, 3: 2, 7: 2}
     assert crossed.count() == 4
+    cycle = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "source_id long, target_id long").withColumn("edge_type", F.lit("supersedes"))
+    with pytest.raises(ValueError, match="cycle"):
+        graph.chain_versions(cycle)
 
 
 def _docs(spark, seed, n, vocab=60):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions import hashing as hx
 from mnemolake.operators import lifecycle, store, sync
+from mnemolake.plans import remember
 from mnemolake.plans import context_pack
 from mnemolake.sources import container, importers, oplog, packs, receipts
 from mnemolake.streaming import batches
@@ -82,12 +83,16 @@ def test_merkle_depth_and_delta(spark):
     hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(300)]
     df = spark.createDataFrame([(h,) for h in hashes], "hash string")
     flat = {r["bucket"]: r["digest"] for r in sync.merkle_buckets(df).collect()}
+    def digest(parts, sep=""):
+        return hashlib.sha256(sep.join(parts).encode()).hexdigest()
+
     for b in range(256):
         members = sorted(h for h in hashes if int(h[:2], 16) == b)
-        assert flat[b] == hashlib.sha256("\n".join(members).encode()).hexdigest()
+        leaves = {p: digest([h for h in members if h[:6] == p], "\n") for p in sorted({h[:6] for h in members})}
+        inner = {p: digest([d for q, d in leaves.items() if q[:4] == p]) for p in sorted({h[:4] for h in members})}
+        assert flat[b] == digest(inner.values())
     root = hashlib.sha256("".join(flat[b] for b in range(256)).encode()).hexdigest()
     assert sync.merkle_root(sync.merkle_buckets(df)).first()["root"] == root
-    assert sync.merkle_depth(1000) == 1 and sync.merkle_depth(10**9) == 3
     deep = sync.merkle_levels(df, 2)
     assert sum(r["n"] for r in deep[0].collect()) == 300 == sum(r["n"] for r in deep[1].collect())
     local = df.filter(F.col("hash") != hashes[0])
@@ -230,3 +235,25 @@ def test_stream_batches_and_episodes(spark, tmp_path):
     assert q.awaitTermination(90)
     got = {r["event_id"]: r["episode_start"] for r in spark.sql("select * from eps").collect()}
     assert got == {0: 0.0, 1: 0.0, 2: 0.0, 3: 1800.0, 4: 1800.0, 5: 1800.0, 6: 9000.0}
+
+
+def test_remember_keeps_every_valid_row(spark):
+    """One stored text, the same new text twice, one empty, one of unknown type."""
+    stored = spark.createDataFrame([(1, "Tea is good")], "memory_id long, content string")
+    rows = spark.createDataFrame(
+        [("tea is good ", "fact", "public"), ("Tea is good", "fact", "private"), (" ", "fact", "public"), ("x", "odd", "public"), (None, "fact", None)],
+        "content string, memory_type string, scope string",
+    )
+    new = remember.remember(rows, 5.0, last_id=10)
+    got = sorted((r["memory_id"], r["scope"]) for r in new.collect())
+    assert [i for i, _ in got] == [11, 12] and {s for _, s in got} == {"public", "private"}
+    edges = {r["memory_id"]: r["target_id"] for r in remember.equal_text_edges(new, stored).collect()}
+    assert edges == {11: 1, 12: 11}
+    reasons = sorted(r["reason"] for r in remember.rejected(rows, 5.0).collect())
+    assert reasons == ["empty text", "empty text", "unknown type"]
+
+
+def test_table_digest_tells_repeated_rows_apart(spark):
+    once = spark.createDataFrame([(1, "a"), (2, None)], "id long, x string")
+    assert store.table_digest(once, "id").first() == store.table_digest(once.orderBy("x"), "id").first()
+    assert store.table_digest(once.union(once), "id").first()["digest"] != store.table_digest(once.union(once).union(once), "id").first()["digest"]
