@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,15 +75,15 @@ def lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANK_CHARS)) != "")
 
 
-def features(text: Column) -> dict[str, Column]:
-    """The base counts of a text."""
+def features(text: Column, w: Column) -> dict[str, Column]:
+    """The base counts of a text and its words."""
     lines = lines_with_words(text)
     return {
-        "n_words": F.size(words(text)).cast("long"),
+        "n_words": F.size(w).cast("long"),
         "word_chars": F.char_length(F.translate(text, BLANK_CHARS, "")).cast("long"),
         "n_symbols": count_chars(text, SYMBOLS).cast("long"),
         "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(words(text)),
+        "n_repeat_words": repeated_words(w),
     }
 
 
@@ -92,26 +92,37 @@ def stutters(w: Column) -> Column:
     return F.size(F.filter(w, lambda x, i: (x == F.get(w, i - 1)).eqNullSafe(True)))
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What a rule may look at: the text, its words, and counts that are columns already."""
+
+    text: Column
+    words: Column
+    known: dict[str, Column] = field(default_factory=dict)
+
+    def __getitem__(self, name: str) -> Column:
+        return self.known[name] if name in self.known else features(self.text, self.words)[name]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects(text)`` is true where the text is to go."""
+    """``rejects(facts)`` is true where the text is to go."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Facts], Column]
 
 
 def production_rules() -> list[Rule]:
     """Short texts, repeated windows, words or lines, symbols, tables, shouting, unlikely word lengths."""
-    n = lambda t: F.size(words(t))
     return [
-        Rule("few_words", lambda t: n(t) < 20),
-        Rule("repeated_words", lambda t: _let(words(t), lambda w: 100 * repeated_words(w) > 30 * F.size(w))),
-        Rule("symbols", lambda t: 10 * count_chars(t, SYMBOLS) > n(t)),
-        Rule("exclamations", lambda t: 5 * count_chars(t, "!") > n(t)),
-        Rule("capitals", lambda t: 10 * F.regexp_count(t, F.lit(r"\p{Lu}")) > 3 * F.char_length(F.translate(t, BLANK_CHARS, ""))),
-        Rule("repeated_lines", lambda t: _let(lines_with_words(t), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
-        Rule("stutter", lambda t: _let(words(t), lambda w: 10 * stutters(w) > 3 * F.size(w))),
-        Rule("word_length", lambda t: ~F.char_length(F.translate(t, BLANK_CHARS, "")).between(2 * n(t), 15 * n(t))),
+        Rule("few_words", lambda f: f["n_words"] < 20),
+        Rule("repeated_words", lambda f: 100 * f["n_repeat_words"] > 30 * f["n_words"]),
+        Rule("symbols", lambda f: 10 * f["n_symbols"] > f["n_words"]),
+        Rule("exclamations", lambda f: 5 * count_chars(f.text, "!") > f["n_words"]),
+        Rule("capitals", lambda f: 10 * F.regexp_count(f.text, F.lit(r"\p{Lu}")) > 3 * f["word_chars"]),
+        Rule("repeated_lines", lambda f: 2 * f["n_dup_lines"] > F.size(lines_with_words(f.text))),
+        Rule("stutter", lambda f: 10 * stutters(f.words) > 3 * f["n_words"]),
+        Rule("word_length", lambda f: ~f["word_chars"].between(2 * f["n_words"], 15 * f["n_words"])),
     ]
 
 
@@ -129,8 +140,9 @@ def estimate(docs: DataFrame, rules: list[Rule], text: str = "text") -> list[Est
     """
     spark = docs.sparkSession
     rows = docs.select(whole_text(text).alias("t")).filter(F.char_length("t") <= SAMPLE_CHARS).head(SAMPLE_ROWS)
-    sample = spark.createDataFrame([(r.t,) for r in rows], "t string").coalesce(1).cache()
+    sample = spark.createDataFrame([(r.t,) for r in rows], "t string").coalesce(1).withColumn("w", words(F.col("t"))).cache()
     sample.count()
+    facts = Facts(F.col("t"), F.col("w"))
 
     def run(condition: Column) -> tuple[float, int]:
         took, found = [], 0
@@ -143,7 +155,7 @@ def estimate(docs: DataFrame, rules: list[Rule], text: str = "text") -> list[Est
     idle, _ = run(F.col("t").isNotNull())
     out = []
     for rule in rules:
-        seconds, rejected = run(rule.rejects(F.col("t")))
+        seconds, rejected = run(rule.rejects(facts))
         out.append(Estimate(rule.name, max(seconds - idle, 1e-4), rejected))
     sample.unpersist()
     return out
@@ -155,23 +167,27 @@ def ordered(rules: list[Rule], estimates: list[Estimate]) -> list[Rule]:
     return sorted(rules, key=lambda r: (-by_name[r.name].rejected / by_name[r.name].seconds, by_name[r.name].seconds, r.name))
 
 
-def failed_rule(text: Column, rules: list[Rule]) -> Column:
+def failed_rule(facts: Facts, rules: list[Rule]) -> Column:
     """Name of the first rule that rejects the text, null where none does; later rules are not evaluated."""
-    out = F.when(rules[0].rejects(text), rules[0].name)
+    out = F.when(rules[0].rejects(facts), rules[0].name)
     for rule in rules[1:]:
-        out = out.when(rule.rejects(text), rule.name)
+        out = out.when(rule.rejects(facts), rule.name)
     return out
 
 
-def cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
+def cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", known: list[str] | None = None) -> DataFrame:
     """``docs`` with failed_rule and kept; columns of these names are replaced.
 
-    A null or blank text has no words and goes. Repeated rows are judged each. An empty table stays empty.
+    ``known`` names base counts that ``docs`` holds already, as it may hold the words in _words. A null or blank text has no words and goes. Repeated rows
+    are judged each. An empty table stays empty.
     """
     rules = rules or production_rules()
     ranked = ordered(rules, estimate(docs, rules, text))
     bare = docs.drop("failed_rule", "kept")
-    judged = bare.withColumn("failed_rule", failed_rule(whole_text(text), ranked))
+    # The words are split once, and all rules read them.
+    split = bare if "_words" in bare.columns else bare.withColumn("_words", words(whole_text(text)))
+    facts = Facts(whole_text(text), F.col("_words"), {k: F.col(k) for k in known or []})
+    judged = split.withColumn("failed_rule", failed_rule(facts, ranked)).drop("_words")
     return judged.withColumn("kept", F.col("failed_rule").isNull())
 
 
@@ -182,14 +198,12 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text: str = "tex
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """op4: base counts and the cascade's verdict on every document."""
-    t = whole_text()
-    rows = cascade(docs.select("doc_id", "text")).select("doc_id", "kept", "failed_rule", *[c.alias(k) for k, c in features(t).items()])
+    """op4: base counts and the cascade's verdict on every document; the rules read the counts that are there."""
+    split = docs.select("doc_id", whole_text().alias("text")).withColumn("_words", words(F.col("text")))
+    counts = features(F.col("text"), F.col("_words"))
+    rows = cascade(split.select("doc_id", "text", "_words", *[c.alias(k) for k, c in counts.items()]), known=list(counts))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"),
-    )
+    return rows.select("doc_id", *counts, base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"))
 
 
 QUALITY_SQL = r"""

@@ -168,8 +168,8 @@ def test_quality(spark, odd, nothing):
 def test_quality_order_does_not_change_the_verdict(spark):
     rules = quality.production_rules()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    text = quality.whole_text()
-    both = docs.select(quality.failed_rule(text, rules).isNull().alias("a"), quality.failed_rule(text, rules[::-1]).isNull().alias("b"))
+    facts = quality.Facts(quality.whole_text(), quality.words(quality.whole_text()))
+    both = docs.select(quality.failed_rule(facts, rules).isNull().alias("a"), quality.failed_rule(facts, rules[::-1]).isNull().alias("b"))
     assert both.filter("a <> b").isEmpty() and not both.filter("a").isEmpty() and not both.filter("not a").isEmpty()
     times = [quality.Estimate(r.name, 1.0 + i, i) for i, r in enumerate(rules)]
     assert [r.name for r in quality.ordered(rules, times)][0] == rules[-1].name
