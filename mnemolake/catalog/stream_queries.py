@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..streaming import ingest, windows
 from . import query
+from .text_queries import ROUTER_SQL
 
 
 def scratch(spark) -> str:
-    """A fresh folder under the cluster's checkpoint folder (a temporary one only where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemolake-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return scratch_path(spark, "stream")
 
 
 @query(
     "stream_window_counts",
-    "SELECT epoch(date_trunc('day', ts)) AS started_at, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    """SELECT epoch(date_trunc('day', ts)) AS started_at, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""",
 )
 def stream_window_counts(spark, sf):
-    """Daily windows; complete mode keeps the last open window."""
+    """Daily windows that the watermark has closed; their state is dropped."""
     out = scratch(spark)
     counts = windows.window_counts(windows.read_events(spark, sf))
-    parts = _complete(counts, out)
+    parts = windows.run_available(counts, f"{out}/result", f"{out}/checkpoint")
     return parts.withColumn("total", F.round("total", 2))
 
 
@@ -33,32 +31,20 @@ def stream_window_counts(spark, sf):
     "stream_sessions",
     """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
     s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
-    SELECT user_id, round(epoch(min(ts)), 3) AS started_at, count(*) AS n FROM s GROUP BY user_id, k""",
+    SELECT user_id, round(epoch(min(ts)), 3) AS started_at, count(*) AS n FROM s GROUP BY user_id, k
+    HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 )
 def stream_sessions(spark, sf):
+    """Sessions that the watermark has closed."""
     out = scratch(spark)
     found = windows.session_counts(windows.read_events(spark, sf))
-    return _complete(found, out).withColumn("started_at", F.round("started_at", 3))
-
-
-def _complete(agg, out: str):
-    """Run an aggregation to the end in complete mode; each batch replaces the result table."""
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/result")
+    return windows.run_available(found, f"{out}/result", f"{out}/checkpoint").withColumn("started_at", F.round("started_at", 3))
 
-    q = (
-        agg.writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return agg.sparkSession.read.schema(agg.schema).parquet(f"{out}/result")
 
-
-@query("stream_router")
+@query(
+    "stream_router",
+    f"SELECT result, count(*)::BIGINT AS n FROM ({ROUTER_SQL}) GROUP BY result",
+)
 def stream_router(spark, sf):
     """Conversations as a message stream through the router: rows per result."""
     out = scratch(spark)

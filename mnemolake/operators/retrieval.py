@@ -16,8 +16,8 @@ from ..session import cut_lineage, top_per_group
 from .index import corpus_stats, lengths, term_sets, tokenized
 
 
-# Largest query batch of vectors that is broadcast; beyond it the items are salted.
-PROBE_BROADCAST_ROWS = 10_000
+# Vectors of the query batch that are compared in one pass over the items.
+PROBE_BLOCK = 512
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -145,6 +145,10 @@ def recall(
     lex = _ranked(scored.join(rows.select("memory_id"), "memory_id", "left_semi"), "score", limit * 10).join(rows, "memory_id")
     per_query = Window.partitionBy("query_id")
     lex = lex.withColumn("bm", F.col("score") / F.max("score").over(per_query)).drop("score")
+    if vectors is not None and not graph_mode:
+        # Where no word matches, the vectors alone make the candidates.
+        alone = vectors.select("query_id", "memory_id").join(lex.select("query_id").distinct(), "query_id", "left_anti")
+        lex = lex.unionByName(alone.join(rows, "memory_id").withColumn("bm", F.lit(0.0)))
     n_tokens = queries.select("query_id", F.size(tx.query_tokens(F.col("query"))).alias("n_tokens"))
     cand = lex.join(n_tokens, "query_id")
 
@@ -327,25 +331,53 @@ def vector_top(items: DataFrame, probes: DataFrame, limit: int) -> DataFrame:
     """(query_id, memory_id, cosine): best positive cosines per probe.
 
     ``items`` (memory_id, embedding); ``probes`` (query_id, vector) is the query
-    batch. Norms are taken once per row before the comparison.
+    batch, taken PROBE_BLOCK rows at a time. Each block is one matrix of a fixed
+    number of rows that goes to every task, which multiplies it with a batch of
+    items and passes on the best ``limit`` per probe, ties included. Vectors of
+    different length never match.
     """
-    def unit(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-        return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
-
-    left = items.select("memory_id", unit(F.col("embedding")).alias("v")).filter(F.col("v").isNotNull())
-    right = probes.select("query_id", unit(F.col("vector")).alias("q")).filter(F.col("q").isNotNull())
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    left = left.withColumn("dim", F.size("v"))
-    right = right.withColumn("dim", F.size("q"))
-    if right.limit(PROBE_BROADCAST_ROWS + 1).count() <= PROBE_BROADCAST_ROWS:
-        pairs = left.join(F.broadcast(right), "dim")
-    else:
-        # All vectors share one length, so the length alone would be one hot key.
-        salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = left.withColumn("salt", F.pmod(F.xxhash64("memory_id"), F.lit(salts)).cast("int"))
-        copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = spread.join(copies, ["dim", "salt"])
-    scored = pairs.select("query_id", "memory_id", F.round(dot, 6).alias("cosine"))
-    scored = scored.filter(F.col("cosine") > 0)
+    import numpy as np
+    import pandas as pd
+
+    ids = items.schema["memory_id"].dataType.simpleString()
+    keys = probes.schema["query_id"].dataType.simpleString()
+
+    def compare(names: list, block: np.ndarray) -> DataFrame:
+        def best(batches):
+            for batch in batches:
+                batch = batch[[v is not None and len(v) == block.shape[1] for v in batch["embedding"]]]
+                if not len(batch):
+                    continue
+                rows = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+                norm = np.sqrt((rows * rows).sum(axis=1))
+                batch, rows = batch[norm > 0], rows[norm > 0] / norm[norm > 0, None]
+                if not len(batch):
+                    continue
+                cosine = np.round(rows @ block.T, 6)
+                at = max(len(cosine) - limit, 0)
+                floor = np.partition(cosine, at, axis=0)[at]
+                item, probe = np.nonzero((cosine >= floor) & (cosine > 0))
+                yield pd.DataFrame(
+                    {"query_id": [names[p] for p in probe], "memory_id": batch["memory_id"].to_numpy()[item], "cosine": cosine[item, probe]}
+                )
+
+        return items.select("memory_id", "embedding").mapInPandas(best, f"query_id {keys}, memory_id {ids}, cosine double")
+
+    scored = items.sparkSession.createDataFrame([], f"query_id {keys}, memory_id {ids}, cosine double")
+    waiting: dict[int, list] = {}
+
+    def flush(size: int) -> None:
+        nonlocal scored
+        names, rows = zip(*waiting.pop(size), strict=True)
+        block = np.array(rows, dtype=np.float64)
+        block /= np.sqrt((block * block).sum(axis=1))[:, None]
+        scored = scored.unionByName(compare(list(names), block))
+
+    for r in probes.select("query_id", "vector").toLocalIterator():
+        if r.vector is not None and any(r.vector):
+            waiting.setdefault(len(r.vector), []).append((r.query_id, r.vector))
+            if len(waiting[len(r.vector)]) == PROBE_BLOCK:
+                flush(len(r.vector))
+    for size in list(waiting):
+        flush(size)
     return top_per_group(scored, ["query_id"], [F.desc("cosine"), F.asc("memory_id")], limit)

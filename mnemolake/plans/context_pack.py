@@ -40,7 +40,7 @@ def _fold(items: Column, remaining: Column, cut_first: bool) -> Column:
         first = live & ~fits & (F.size(acc["picked"]) == 0) & F.lit(cut_first)
         whole = F.struct(it["id"].alias("id"), it["text"].alias("text"))
         room = F.greatest(acc["left"] - 1, F.lit(1))
-        short = F.struct(it["id"].alias("id"), F.substring(it["text"], F.lit(1), room).alias("text"))
+        short = F.struct(it["id"].alias("id"), F.concat(F.substring(it["text"], F.lit(1), room), F.lit("…")).alias("text"))
         return F.struct(
             F.when(fits, acc["left"] - cost - 2).when(first, 0).otherwise(acc["left"]).cast("int").alias("left"),
             F.when(fits, F.concat(acc["picked"], F.array(whole)))
@@ -123,6 +123,7 @@ def compile_context(
         else F.col("items"),
         lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text")),
     )
+    entries = F.coalesce(entries, F.array().cast("array<struct<id:bigint,text:string>>"))
     packs = packs.withColumn("m", _fold(entries, F.col("s.left"), True))
     if edges is None:
         packs = packs.withColumn("e", F.struct(F.col("m.left").alias("left"), F.array().cast("array<struct<id:bigint,text:string>>").alias("picked")))

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from mnemolake.operators import access, concepts, graph, patterns, retrieval, similarity
@@ -190,5 +189,5 @@ def test_vector_search_both_ways(spark, monkeypatch):
 
     broadcast = top()
     assert broadcast[(1, 1)] == (3, 0.948683) and broadcast[(2, 1)] == (0, 1.0)
-    monkeypatch.setattr(retrieval, "PROBE_BROADCAST_ROWS", 1)
+    monkeypatch.setattr(retrieval, "PROBE_BLOCK", 1)
     assert top() == broadcast

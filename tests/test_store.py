@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions import hashing as hx
 from mnemolake.operators import lifecycle, store, sync
-from mnemolake.plans import remember
-from mnemolake.plans import context_pack
+from mnemolake.plans import context_pack, remember
 from mnemolake.sources import container, importers, oplog, packs, receipts
 from mnemolake.streaming import batches
 

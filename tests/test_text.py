@@ -105,3 +105,9 @@ def test_forget_commands():
     assert fg.parse_command("forget my phone number") == ("fact", {"topic": "my phone number"})
     assert fg.cutoff("30 days", NOW) == NOW - 30 * 86400
     assert fg.cutoff("1/31/2024", NOW) == dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc).timestamp()
+
+
+def test_redaction_changes_the_detected_span_only(spark):
+    card = "4111 1111 1111 1111"
+    got = one(spark, f"x-{card}-9 and {card}.", rd.redact_pii)
+    assert got == f"x-{card}-9 and [REDACTED-CREDIT_CARD]."
