@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import access, concepts, graph, index, retrieval
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path, top_per_group
 from . import query
 from .text_queries import sql_list
 from .views import MEMORIES_SQL, NOW, memories, passage_queries, table
@@ -37,6 +37,22 @@ def bm25_topk(spark, sf):
     return retrieval.bm25_top(mem, passage_queries(spark, sf), 10)
 
 
+@query(
+    "bm25_from_index",
+    f"""WITH {BM25_SQL}, r AS (SELECT query_id, memory_id, round(score, 6) AS score FROM bm WHERE score > 0)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM r
+    QUALIFY rank <= 10""",
+)
+def bm25_from_index(spark, sf):
+    """The same ranking from a stored index: even documents first, odd ones appended, all of them indexed once."""
+    mem = table(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"))
+    path = scratch_path(spark, "index")
+    index.write_index(mem.filter("memory_id % 2 = 0"), path)
+    index.write_index(mem.filter("memory_id % 2 = 1"), path, mode="append")
+    scored = retrieval.bm25_from_index(spark, path, passage_queries(spark, sf)).withColumn("score", F.round("score", 6))
+    return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("memory_id")], 10)
+
+
 @query(
     "bm25_all_scores",
     f"""WITH {BM25_SQL} SELECT query_id, count(*) AS n_hits, round(sum(score), 4) AS total, round(max(score), 6) AS best

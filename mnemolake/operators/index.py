@@ -7,7 +7,7 @@ second time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -84,16 +84,56 @@ def document_frequency(tok: DataFrame) -> DataFrame:
     return postings(tok).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def write_index(memories: DataFrame, path: str, buckets: int = 256) -> None:
-    """Persist postings clustered by a term bucket, so that a query reads few files."""
-    tok = tokenized(memories)
+#: Folders that postings are dealt to by term. Fixed, so that batches written at different times share them.
+TERM_BUCKETS = 64
+
+
+def _bucket(term: str = "term"):
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def write_index(memories: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Persist postings clustered by a term bucket, so that a query reads few files; ``append`` adds a batch.
+
+    A term that very many rows hold is spread over several files of its bucket.
+    """
     (
-        postings(tok)
-        .withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        postings(tokenized(memories))
+        .withColumn("bucket", _bucket())
         .repartition("bucket", F.pmod(F.xxhash64("memory_id"), F.lit(8)))
-        .sortWithinPartitions("term", "memory_id")
-        .write.mode("overwrite")
+        .sortWithinPartitions("bucket", "term", "memory_id")
+        .write.mode(mode)
         .partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
-    corpus_stats(lengths(memories)).write.mode("overwrite").parquet(f"{path}/corpus")
+    corpus_stats(lengths(memories)).select("n_docs", "n_tokens").write.mode(mode).parquet(f"{path}/corpus")
+    if mode == "overwrite":
+        memories.select("memory_id", F.lit(0).cast("long").alias("dl")).limit(0).write.mode(mode).parquet(f"{path}/removed")
+
+
+def remove_from_index(memories: DataFrame, path: str) -> None:
+    """Note rows as removed, with their lengths; their postings stay until the index is written anew."""
+    lengths(memories).write.mode("append").parquet(f"{path}/removed")
+
+
+def index_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row (n_docs, avg_len) over all batches without the removed rows."""
+    gone = spark.read.parquet(f"{path}/removed").distinct()
+    parts = spark.read.parquet(f"{path}/corpus").unionByName(
+        gone.agg((-F.count(F.nullif("dl", F.lit(0)))).alias("n_docs"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("n_tokens"))
+    )
+    total = parts.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return total.select("n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avg_len"))
+
+
+def read_postings(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
+    """(memory_id, term, tf, dl) of the given terms; only their buckets are read.
+
+    The bucket numbers, at most TERM_BUCKETS, come to the driver and prune the
+    folders before the scan.
+    """
+    wanted = terms.select("term").distinct()
+    buckets = [r.bucket for r in wanted.select(_bucket().alias("bucket")).distinct().collect()]
+    held = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets))
+    live = held.join(spark.read.parquet(f"{path}/removed").select("memory_id"), "memory_id", "left_anti")
+    return live.join(wanted, "term", "left_semi").select("memory_id", "term", "tf", "dl")

@@ -7,13 +7,13 @@ query in one job. Everything after the candidate cut holds at most
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..session import cut_lineage, top_per_group
-from .index import corpus_stats, lengths, term_sets, tokenized
+from .index import corpus_stats, index_stats, lengths, read_postings, term_sets, tokenized
 
 
 # Vectors of the query batch that are compared in one pass over the items.
@@ -46,12 +46,21 @@ def _hits(tok: DataFrame, terms: DataFrame) -> DataFrame:
 
 def bm25(memories: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, memory_id, score) for every memory that shares a term."""
-    tok = tokenized(memories)
     stats = corpus_stats(lengths(memories))
-    n_docs = stats.select("n_docs").scalar()
-    avg_len = stats.select("avg_len").scalar()
     terms = query_terms(queries)
-    hits = _hits(tok, terms)
+    hits = _hits(tokenized(memories), terms)
+    return _scored(hits, terms, stats.select("n_docs").scalar(), stats.select("avg_len").scalar())
+
+
+def bm25_from_index(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """``bm25`` over a stored index: reads the buckets of the queried terms, and no text."""
+    stats = index_stats(spark, path)
+    terms = query_terms(queries)
+    hits = read_postings(spark, path, terms)
+    return _scored(hits, terms, stats.select("n_docs").scalar(), stats.select("avg_len").scalar())
+
+
+def _scored(hits: DataFrame, terms: DataFrame, n_docs: Column, avg_len: Column) -> DataFrame:
     # The count reads tf and dl, so that it keeps the same columns as the join
     # below and both run on one shuffle of the hits.
     present = F.count_if((F.col("tf") > 0) & (F.col("dl") > 0))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mnemolake.operators import access, concepts, graph, patterns, retrieval, similarity
+from mnemolake.operators import access, concepts, graph, index, patterns, retrieval, similarity
 
 
 def test_spread_golden_values(spark):
@@ -191,3 +191,20 @@ def test_vector_search_both_ways(spark, monkeypatch):
     assert broadcast[(1, 1)] == (3, 0.948683) and broadcast[(2, 1)] == (0, 1.0)
     monkeypatch.setattr(retrieval, "PROBE_BLOCK", 1)
     assert top() == broadcast
+
+
+def test_index_with_batches_and_removals(spark, tmp_path):
+    rows = [(1, "tea and cake"), (2, "tea time tea"), (3, "coffee cake"), (4, "")]
+    df = spark.createDataFrame(rows, "memory_id long, content string")
+    path = str(tmp_path / "index")
+    index.write_index(df.filter("memory_id <> 2"), path)
+    index.write_index(df.filter("memory_id = 2"), path, mode="append")
+    queries = spark.createDataFrame([(7, "tea cake")], "query_id long, query string")
+
+    def same(memories):
+        a = {r["memory_id"]: round(r["score"], 9) for r in retrieval.bm25_from_index(spark, path, queries).collect()}
+        return a == {r["memory_id"]: round(r["score"], 9) for r in retrieval.bm25(memories, queries).collect()} and a
+
+    assert same(df)
+    index.remove_from_index(df.filter("memory_id = 1"), path)
+    assert set(same(df.filter("memory_id <> 1"))) == {2, 3}
