@@ -88,8 +88,9 @@ LABELLERS = {"quality": (quality_votes, 6), "toxic": (toxic_votes, 3)}
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) that occur ``counts`` times.
 
-    Returns the posterior of BAD for each pattern, and P(vote | class) as (class, labeller, vote + 1). Labellers are
-    independent given the class; starts from the majority of votes, with one pseudo-count per vote.
+    Returns the posterior of BAD for each pattern, and P(vote | class, some vote) as (class, labeller, vote + 1). Labellers are
+    independent given the class; starts from the majority of votes, with one pseudo-count per vote. A labeller that
+    gives no vote says nothing: its share of silence is left out, and the accuracies are those of the votes given.
     """
     start = np.where(patterns == BAD, 0.9, np.where(patterns == GOOD, 0.1, 0.5)).mean(axis=1)
     posterior = np.clip(start, 0.02, 0.98)
@@ -98,9 +99,11 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROU
     for _ in range(rounds):
         weight = np.stack([(1 - posterior) * counts, posterior * counts])
         table = np.einsum("cp,plv->clv", weight, onehot) + 1.0
+        table[:, :, NONE + 1] = 0.0
         table /= table.sum(axis=2, keepdims=True)
         prior = (weight.sum(axis=1) + 1.0) / (weight.sum() + 2.0)
-        like = np.log(prior)[:, None] + np.einsum("plv,clv->cp", onehot, np.log(table))
+        voted = np.log(np.where(table > 0, table, 1.0))
+        like = np.log(prior)[:, None] + np.einsum("plv,clv->cp", onehot, voted)
         posterior = 1 / (1 + np.exp(np.clip(like[0] - like[1], -500, 500)))
     return posterior, table
 
