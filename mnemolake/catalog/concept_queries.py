@@ -113,10 +113,12 @@ def concept_spread_3hop(spark, sf):
     f"""WITH mc AS ({ORDER_CONCEPTS_SQL}), p AS ({PAIRS_SQL}), n AS (SELECT a AS c, b AS d FROM p UNION ALL SELECT b, a FROM p),
     h1 AS (SELECT c, count(*) AS hop1 FROM n GROUP BY c),
     h2 AS (SELECT c, count(DISTINCT d) AS hop2 FROM (SELECT x.c, y.d FROM n x JOIN n y ON x.d = y.c WHERE x.c <> y.d UNION SELECT c, d FROM n) GROUP BY c)
-    SELECT c AS concept, hop1, hop2 FROM h1 JOIN h2 USING (c)""",
+    SELECT c AS concept, hop1, hop2 FROM h1 JOIN h2 USING (c) WHERE c IN (SELECT p_name FROM part WHERE p_size = 50)""",
 )
 def neighbourhood_counts(spark, sf):
-    return graph.neighbourhood_counts(order_concepts(spark, sf))
+    """Neighbourhoods of the largest parts."""
+    seeds = table(spark, sf, "part").filter("p_size = 50").select(F.col("p_name").alias("concept"))
+    return graph.neighbourhood_counts(order_concepts(spark, sf), seeds)
 
 
 @query(

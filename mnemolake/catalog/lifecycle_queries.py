@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import redaction as rd
@@ -170,16 +173,26 @@ def policy_expired(spark, sf):
     "natural_forget",
     f"""WITH m AS ({MEMORIES_SQL}) SELECT 'forget everything older than 2 weeks' AS command, count(*) AS n FROM m WHERE created_at < {NOW} - 14 * 86400.0
     UNION ALL SELECT 'delete all facts about tion the', count(*) FROM m WHERE memory_type = 'fact' AND contains(lower(content), 'tion the')
-    UNION ALL SELECT 'forget everything about keit', count(*) FROM m WHERE contains(lower(content), 'keit')""",
+    UNION ALL SELECT 'forget everything about keit', count(*) FROM m WHERE contains(lower(content), 'keit')
+    UNION ALL SELECT 'remove anything from before 2024-01-20', count(*) FROM m WHERE created_at < epoch(TIMESTAMP '2024-01-20')
+    UNION ALL SELECT 'actually it is different now', 0
+    UNION ALL SELECT 'don''t remember heit und', count(*) FROM m WHERE contains(lower(content), 'heit und')""",
 )
 def natural_forget(spark, sf):
     """How many rows each command would remove."""
     m = memories(spark, sf)
-    commands = ["forget everything older than 2 weeks", "delete all facts about tion the", "forget everything about keit"]
+    commands = [
+        "forget everything older than 2 weeks",
+        "delete all facts about tion the",
+        "forget everything about keit",
+        "remove anything from before 2024-01-20",
+        "actually it is different now",
+        "don't remember heit und",
+    ]
     parts = [
         m.filter(forgetting.command_filter(c, NOW)).agg(F.lit(c).alias("command"), F.count("*").alias("n")) for c in commands
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(

@@ -155,12 +155,26 @@ def pii_redact(spark, sf):
     )
 
 
+def _share_sql(column: str, preset: str) -> str:
+    for pattern, label in rd.SHARE_PRESETS[preset]:
+        column = f"regexp_replace({column}, {sql_re(pattern)}, '{label}', 'g')"
+    return column
+
+
 @query(
     "share_redact",
-    "SELECT doc_id, regexp_replace(text, '\\b\\d[\\d,.]*\\b', '[NUM]', 'g') AS no_numbers FROM documents",
+    f"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS plain FROM documents)
+    SELECT doc_id, {_share_sql('text', 'numbers')} AS no_numbers, {_share_sql('plain', 'pii')} AS no_pii, {_share_sql('plain', 'names')} AS no_names FROM d""",
 )
 def share_redact(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", rd.redact_share(F.col("text"), "numbers").alias("no_numbers"))
+    """All three presets; word ends are those of ASCII for two of them, so that SQL says the same."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "_")
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        rd.redact_share(F.col("text"), "numbers").alias("no_numbers"),
+        rd.redact_share(plain, "pii").alias("no_pii"),
+        rd.redact_share(plain, "names").alias("no_names"),
+    )
 
 
 @query(

@@ -171,15 +171,19 @@ def bfs_slice(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> tuple[DataF
     return seen, crossed.groupBy(*keys).agg(F.min("level").alias("level"), F.max("weight").alias("weight"))
 
 
-def neighbourhood_counts(bridge: DataFrame) -> DataFrame:
-    """(concept, hop1, hop2): distinct concepts within one and within two co-occurrence hops."""
+def neighbourhood_counts(bridge: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(concept, hop1, hop2) of the given concepts: distinct concepts within one and within two co-occurrence hops.
+
+    Only what the seeds (concept) reach is joined, never all pairs of the graph.
+    """
     adj = both_ways(cooccurrence(bridge)).select("concept", "neighbor")
-    hop1 = adj.groupBy("concept").agg(F.count("*").alias("hop1"))
-    step = adj.withColumnRenamed("neighbor", "via").join(
+    own = adj.join(seeds.select("concept").distinct(), "concept", "left_semi")
+    hop1 = own.groupBy("concept").agg(F.count("*").alias("hop1"))
+    step = own.withColumnRenamed("neighbor", "via").join(
         adj.select(F.col("concept").alias("via"), F.col("neighbor").alias("far")), "via"
     )
     reach = step.filter(F.col("concept") != F.col("far")).select("concept", "far").distinct()
-    reach = reach.union(adj).distinct()
+    reach = reach.union(own).distinct()
     return hop1.join(reach.groupBy("concept").agg(F.count("*").alias("hop2")), "concept")
 
 
