@@ -41,8 +41,17 @@ def exact_copies(memories: DataFrame) -> DataFrame:
     )
 
 
-# Shared prefix terms a candidate pair must have; more terms, fewer false candidates.
+# Shared prefix terms a candidate pair must have, by the size of the smaller set: more terms make fewer false
+# candidates, but in a short set they would reach into its frequent words, which then become hot join keys.
 PREFIX_HITS = 4
+SHORT_SETS = [(10, 1), (20, 2)]
+
+
+def _hits(size: Column) -> Column:
+    out = None
+    for limit, hits in SHORT_SETS:
+        out = F.when(size <= limit, hits) if out is None else out.when(size <= limit, hits)
+    return out.otherwise(PREFIX_HITS)
 
 
 def _prefixes(sets: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
@@ -50,7 +59,8 @@ def _prefixes(sets: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
 
     Two sets with Jaccard >= t have an overlap o >= t * size, so the first k of
     their common terms (k <= o) lie among the first ``size - ceil(t * size) + k``
-    terms of each in rarest-first order. Sorting happens inside the set's own row.
+    terms of each in rarest-first order. ``k`` depends on the set's size; for a
+    pair the smaller one counts. Sorting happens inside the set's own row.
     """
     ranked = (
         sets.select("id", "size", F.explode("words").alias("term"))
@@ -59,7 +69,7 @@ def _prefixes(sets: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
         # A set's own terms come back together: bounded by the text itself.
         .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("order"))
     )
-    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + PREFIX_HITS).cast("int")
+    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + _hits(F.col("size"))).cast("int")
     return ranked.select("id", "size", F.explode(F.slice("order", F.lit(1), length)).alias("t")).select(
         "id", "size", F.col("t.term").alias("term")
     )
@@ -75,7 +85,7 @@ def _candidates(left: DataFrame, right: DataFrame, threshold: float, extra: Colu
         joined = joined.filter(extra)
     overlap = F.ceil((F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-9)
     shared = joined.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("k"))
-    return shared.filter(F.col("k") >= F.least(F.lit(PREFIX_HITS), overlap)).select("a", "b")
+    return shared.filter(F.col("k") >= F.least(_hits(F.col("sa")), _hits(F.col("sb")), overlap)).select("a", "b")
 
 
 def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
