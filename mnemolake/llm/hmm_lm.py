@@ -9,7 +9,7 @@ Baum-Welch runs as one Spark job per round: each task adds up the expected count
 only the summed table (CLASSES + STATES + 1 rows) comes to the driver. Training sequences are runs of at most RUN tokens,
 so that many of them advance side by side; scoring runs the scaled forward recursion over whole texts.
 
-Counts of the TOP most frequent words are broadcast (a fixed number of rows); rarer words meet their counts in a join.
+Counts of the at most TOP most frequent words are broadcast; rarer words meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -108,9 +108,27 @@ class Vocabulary:
         return np.log10(size)
 
 
+def frequent_words(counts: DataFrame) -> list:
+    """The (word, c) rows of the most frequent words, at most TOP of them.
+
+    Words are counted by sixteenths of powers of two of their count, a table of under 1024 rows; all levels that fit
+    are taken. A sort with a limit would send TOP rows of every task to the driver.
+    """
+    level = F.floor(F.log2("c") * 16)
+    rows = counts.filter(F.length("word") > 0)
+    sizes = rows.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    taken, least = 0, None
+    for r in sizes:
+        taken += r["count"]
+        if taken > TOP:
+            break
+        least = r.level
+    return [] if least is None else rows.filter(level >= least).select("word", "c").collect()
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From saved counts; TOP words and CLASSES sums come to the driver."""
-    best = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(TOP).collect()
+    """From saved counts; at most TOP words and CLASSES sums come to the driver."""
+    best = sorted(frequent_words(counts), key=lambda r: (-r.c, bytes(r.word)))
     words = [bytes(r.word) for r in best]
     own = set(words[:OWN])
 
