@@ -256,16 +256,16 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("b").alias("u"), F.col("a").alias("v"))
             )
         else:
-            pairs = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = pairs.join(low, "u")
+            pairs = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        low = pairs.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("n"))
+        # The centre of a large star has very many neighbours: it meets its minimum by broadcast.
+        joined = attach(pairs, low, "u", "n")
         if larger:
             out = joined.filter("v > u").select(F.col("v").alias("x"), "m")
         else:
-            itself = low.select(F.col("u").alias("x"), "m")
-            out = joined.select(F.col("v").alias("x"), "m").unionByName(itself)
+            out = joined.select(F.col("v").alias("x"), "m").unionByName(low.select(F.col("u").alias("x"), "m"))
         ends = out.filter("x <> m").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b"))
-        return ends.distinct()
+        return save(ends.distinct(), "star")
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -273,8 +273,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = mark(now)
     while seen[0]:
-        then = save(star(star(now, True), False), "edges")
+        half = star(now, True)
         discard(now)
+        then = star(half, False)
+        discard(half)
         now, before, seen = then, seen, mark(then)
         if seen == before:
             break
