@@ -121,7 +121,7 @@ def production_rules() -> list[Rule]:
         Rule("exclamations", lambda f: 5 * count_chars(f.text, "!") > f["n_words"]),
         Rule("capitals", lambda f: 10 * F.regexp_count(f.text, F.lit(r"\p{Lu}")) > 3 * f["word_chars"]),
         Rule("repeated_lines", lambda f: 2 * f["n_dup_lines"] > F.size(lines_with_words(f.text))),
-        Rule("stutter", lambda f: 10 * stutters(f.words) > 3 * f["n_words"]),
+        Rule("stutter", lambda f: _let(f.words, lambda w: 10 * stutters(w) > 3 * F.size(w))),
         Rule("word_length", lambda f: ~f["word_chars"].between(2 * f["n_words"], 15 * f["n_words"])),
     ]
 
@@ -184,10 +184,12 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text"
     rules = rules or production_rules()
     ranked = ordered(rules, estimate(docs, rules, text))
     bare = docs.drop("failed_rule", "kept")
-    # The words are split once, and all rules read them.
-    split = bare if "_words" in bare.columns else bare.withColumn("_words", words(whole_text(text)))
-    facts = Facts(whole_text(text), F.col("_words"), {k: F.col(k) for k in known or []})
-    judged = split.withColumn("failed_rule", failed_rule(facts, ranked)).drop("_words")
+    counts = {k: F.col(k) for k in known or []}
+    split = F.col("_words") if "_words" in bare.columns else words(whole_text(text))
+    # The words are bound within the expression: a filter on the verdict moves below this projection, and a column of
+    # words would then be split again at each of its places, for some rules once per word.
+    first = _let(split, lambda w: failed_rule(Facts(whole_text(text), w, counts), ranked))
+    judged = bare.withColumn("failed_rule", first).drop("_words")
     return judged.withColumn("kept", F.col("failed_rule").isNull())
 
 
