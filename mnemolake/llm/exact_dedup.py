@@ -19,7 +19,8 @@ from .common import BLANK, HOT_SHARE, aside, whole_text
 BLOCK_BITS = 32768  # what bitmap_construct_agg holds
 BITS_PER_ROW = 16
 FILTER_BITS = 2
-#: A filter up to this size is broadcast; a larger one is joined by block, which moves hashes.
+#: A filter up to this size, that of 33 million rows, is broadcast. A larger one is joined by block: the hashes, and where
+#: ``mark`` is asked for whole rows those rows, then move once to the block they are tested against.
 BROADCAST_BYTES = 64 << 20
 
 RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
