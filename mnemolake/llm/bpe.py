@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 #: Words kept per worker before the cache starts anew. Memory only; results do not depend on it.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 #: Bytes of text handled at once within a worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _TOUCHING = re.compile(r"\s\s|^\s|\s\Z")
 
 
