@@ -9,6 +9,7 @@ or ends with it, is encoded as it is.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import string
@@ -85,18 +86,24 @@ def _from_json(path: str):
     return tok
 
 
+def token_bytes(vocab: dict[str, int]) -> list[bytes]:
+    """Bytes of each id: the byte alphabet reversed; tokens outside it, as special ones, by their UTF-8."""
+    byte_of = {c: b for b, c in byte_alphabet().items()}
+    out = [b""] * (max(vocab.values(), default=-1) + 1)
+    for token, i in vocab.items():
+        known = all(c in byte_of for c in token)
+        out[i] = bytes(map(byte_of.__getitem__, token)) if known else token.encode()
+    return out
+
+
 class Codec:
     """One vocabulary: text -> ids -> bytes. ``ids`` are little-endian arrays of ``dtype``."""
 
     def __init__(self, path: str, pattern: str | None = None):
         tok = _from_ranks(path, pattern) if pattern else _from_json(path)
         self.tok = tok
-        byte_of = {c: b for b, c in byte_alphabet().items()}
-        size = tok.get_vocab_size()
-        self.bytes_of = [b""] * size
-        for token, i in tok.get_vocab().items():
-            known = all(c in byte_of for c in token)
-            self.bytes_of[i] = bytes(map(byte_of.__getitem__, token)) if known else token.encode()
+        self.bytes_of = token_bytes(tok.get_vocab())
+        size = len(self.bytes_of)
         self.n_bytes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
@@ -191,6 +198,19 @@ def codec(path: str, pattern: str | None = None) -> Codec:
     return Codec(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str, ranks: bool) -> list[bytes]:
+    """Bytes of each id, read from the vocabulary alone: a worker that decodes loads no tokenizer."""
+    if ranks:
+        chars = byte_alphabet()
+        with open(path, "rb") as f:
+            pairs = (line.split() for line in f)
+            return token_bytes({"".join(map(chars.__getitem__, base64.b64decode(a))): int(b) for a, b in pairs})
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return token_bytes({**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec.get("added_tokens", [])}})
+
+
 def chunks(texts: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts): runs of about ``limit`` bytes, always whole texts."""
     part, size, first = [], 0, 0
@@ -205,33 +225,37 @@ def chunks(texts: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES) -> Itera
         yield first, part
 
 
-def encode(docs: DataFrame, path: str, pattern: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str | None = None, id: str = "doc_id", text: str = "text", offsets: bool = True
+) -> DataFrame:
     """(id, n_tokens, ids, starts, ends, n_split): ids, starts and ends as little-endian unsigned 32-bit integers.
 
     ``starts`` and ``ends`` are character offsets of the tokens; ``n_split`` counts tokens that start within a
     character. A null or empty text has no tokens. One row per row of ``docs``, repeated ids included; other columns
-    are not read. ``pattern`` is given for a file of ranks, none for a file of the tokenizers library.
+    are not read. ``pattern`` is given for a file of ranks, none for a file of the tokenizers library. Without
+    ``offsets`` the columns starts and ends are left out.
     """
+    parts = ["n_tokens", "ids", "starts", "ends", "n_split"] if offsets else ["n_tokens", "ids", "n_split"]
+    kinds = {"n_tokens": pa.int64(), "n_split": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
             for first, texts in chunks(batch.column(1)):
-                cols: list[list] = [[], [], [], [], []]
+                cols: dict[str, list] = {k: [] for k in parts}
                 for t, raw in zip(texts, c.encode(texts), strict=True):
                     ids = c.ids(raw)
-                    a, b, split = c.offsets(t, ids)
-                    row = (len(ids), *(x.astype("<u4").tobytes() for x in (ids, a, b)), split)
-                    for col, x in zip(cols, row, strict=True):
-                        col.append(x)
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-                data = [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]
-                names = ["id", "n_tokens", "ids", "starts", "ends", "n_split"]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *data], names=names)
+                    starts, ends, split = c.offsets(t, ids)
+                    row = {"n_tokens": len(ids), "ids": ids, "starts": starts, "ends": ends, "n_split": split}
+                    for k, col in cols.items():
+                        col.append(row[k] if k in kinds else row[k].astype("<u4").tobytes())
+                data = [pa.array(col, kinds.get(k, pa.binary())) for k, col in cols.items()]
+                keys = batch.column(0).slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([keys, *data], names=["id", *parts])
 
     rows = docs.select(F.col(id).alias("id"), whole_text(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids binary, starts binary, ends binary, n_split long"
+    schema = ", ".join([f"id {kind}", *(f"{k} {'long' if k in kinds else 'binary'}" for k in parts)])
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id)
 
 
@@ -244,12 +268,12 @@ def decode(tokens: DataFrame, path: str, pattern: str | None = None, ids: str =
     names = bare.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        bytes_of = decoder(path, pattern is not None).__getitem__
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                raw = [c.decode(np.frombuffer(x.as_py() or b"", dtype="<u4")) for x in part.column(at)]
+                raw = [b"".join(map(bytes_of, np.frombuffer(x.as_py() or b"", dtype="<u4").tolist())) for x in part.column(at)]
                 text = [x.decode("utf-8", "replace") for x in raw]
                 data = [*part.columns, pa.array(raw, pa.binary()), pa.array(text, pa.string())]
                 yield pa.RecordBatch.from_arrays(data, names=[*names, "decoded", "text"])
@@ -260,8 +284,8 @@ def decode(tokens: DataFrame, path: str, pattern: str | None = None, ids: str =
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """op2: ids of every text and the bytes they decode to, as digests."""
-    tokens = encode(docs, path, pattern)
-    return decode(tokens.select("doc_id", "n_tokens", "ids", "n_split"), path, pattern).select(
+    tokens = encode(docs, path, pattern, offsets=False)
+    return decode(tokens, path, pattern).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
