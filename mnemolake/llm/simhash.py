@@ -308,7 +308,11 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     Rows with a null id stay; rows that repeat an id and a text stay or go together. What goes is known by id and text
     hash; up to SMALL of these pairs are broadcast, so that no text is shuffled.
     """
-    groups = near_groups(docs, id, text)
+    return keep_lowest(docs, near_groups(docs, id, text), id, text)
+
+
+def keep_lowest(docs: DataFrame, groups: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id is the component_id that ``groups`` (id, text_hash, component_id) gives them."""
     gone = save(groups.filter(F.col(id) != F.col("component_id")).select(id, "text_hash").distinct(), "gone")
     keys = gone.select(F.col(id).alias("_gone_id"), F.col("text_hash").alias("_gone_text"))
     same = (docs[id] == F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col("_gone_text"))

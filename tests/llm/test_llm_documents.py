@@ -190,3 +190,54 @@ def test_pipeline(spark, ids, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], dtype="<u4") for i, t in final.items()}
     check_pieces(p.STAGES[-1][1](spark, before, SF).collect(), want)
+
+
+def lowest_of_similar(texts):
+    """Ids that stay if of each component of five-word Jaccard 0.8 the smallest stays, by comparing all pairs."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets, holders = {}, {}
+    for i in sorted(texts):
+        w = [x for x in re.split(BLANK, texts[i].translate(low)) if x]
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        shared = Counter(j for g in s for j in holders.get(g, ()))
+        close = [j for j, n in shared.items() if 5 * n >= 4 * (len(s) + len(sets[j]) - n)] + [j for j in sets if j < i and not s and not sets[j]]
+        for j in close:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    return {i for i in sets if find(i) == i}
+
+
+def test_near_stage_finds_every_similar_pair(spark):
+    """The stage against brute force, on a table and on families of chained copies, supersets and short texts."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(5000)])
+    made = []
+    for n in (5, 8, 9, 12, 20, 33, 60, 150, 700):
+        for _ in range(12):
+            base = rng.choice(words, n)
+            made.append(base)
+            for step in range(6):
+                base = base.copy()
+                base[rng.integers(0, n, max(1, n // 60))] = rng.choice(words, max(1, n // 60))
+                made.append(base)
+            made += [np.r_[made[-1], rng.choice(words, max(1, n // 5))], made[-1][: max(1, n * 7 // 8)]]
+    order = rng.permutation(len(made))
+    own = {k: " ".join(made[i]) for k, i in enumerate(order.tolist())}
+    real = dict(duckdb.sql("SELECT doc_id, coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    for table in (own, real):
+        docs = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+        want = lowest_of_similar(table)
+        assert len(want) < len(table)
+        assert {r.doc_id for r in p.near(spark, docs, SF).select("doc_id").collect()} == want
