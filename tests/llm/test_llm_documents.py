@@ -165,6 +165,27 @@ def test_weak_quality_on_labels(spark):
     assert np.mean([got[i].toxic_score < 0.5 for i, _, t in labels if t == 0]) > 0.95
 
 
+def test_toxic_recall(spark):
+    """Labelled toxic rows, listed insults in four languages and insults that no list holds."""
+    from mnemolake.llm import weak_quality
+
+    sf = "/root/testdata/sf0.01"
+    labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    weights = weak_quality.fit(docs)
+    got = {r.doc_id: r.toxic_score for r in weak_quality.score(docs, weights).collect()}
+    # Rows are mislabelled on both sides, so a recall of one is out of reach.
+    assert np.mean([got[i] >= 0.5 for i, t in labels if t == 1]) > 0.6
+    listed = ["The man is a dimwit and all of that is vile.", "Der Mann ist ein Trottel und das ist widerlich.", "Cet homme est un abruti et un salaud.", "Este hombre es un imbécil y una escoria.", "What an 1diot, a m0ron, and stuuuupid."]
+    other = ["You are such a nincompoop, nobody likes you.", "Du bist wirklich ein Dösbaddel, halt die Klappe.", "Espèce de cornichon, ferme-la.", "Pedazo de alcornoque, cállate ya.", "I will kill you when you come home."]
+    calm = ["The committee met in the spring and agreed on the new plan for the school.", "Der Zug fährt um neun in die Stadt und kommt am Abend zurück.", "Le train part à neuf heures et revient le soir.", "El tren sale a las nueve y vuelve por la tarde.", "You can find your ticket in the app."]
+    rows = [*listed, *other, *calm]
+    assert not {w.strip(".,").lower() for t in other for w in t.split()} & set(weak_quality._WORDS)
+    own = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    scores = [r.toxic_score for r in weak_quality.score(own, weights).orderBy("doc_id").collect()]
+    assert [x >= 0.5 for x in scores] == [True] * 10 + [False] * 5
+
+
 def test_pipeline(spark, ids, texts):
     import corpus_pipeline as p
 
