@@ -181,7 +181,7 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROU
 
 def _shape(word: str) -> str:
     """Letters, capitals and digits as classes, runs cut to one: "Word###" -> "Xx#"."""
-    kinds = (("X" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c for c in word[:40])
+    kinds = (("X" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return _RUN.sub(r"\1", "".join(kinds))
 
 

@@ -364,3 +364,7 @@ def test_assign_fills_sequences_and_balances_cost():
             at += n
         assert at == lengths[i]
     assert packing.assign([], 1024) == []
+
+
+def test_shape_reads_the_whole_word():
+    assert weak_quality._shape("a" * 60 + "###" + "B9") == "x#X9"
