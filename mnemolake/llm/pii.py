@@ -50,7 +50,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without any of these hold no entity.
-HINT = r"[@\d]|" + _START + _TITLE + r"\.? \p{Lu}"
+HINT = r"[@\d]|sk-|xox[baprs]-|gh[pousr]_|AKIA|[a-fA-F]{32}|" + _START + _TITLE + r"\.? \p{Lu}"
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYRILLIC, _GREEK = "абвгдезиклмнопрстуфхчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
