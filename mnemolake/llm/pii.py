@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.redaction import _STREETS
 from ..session import discard, save
 from .common import whole_text
 
@@ -34,23 +35,34 @@ _TITLES = {
 }
 _TITLE = "(?i:" + "|".join(t for group in _TITLES.values() for t in group) + ")"
 
+_NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+_HEX = "[0-9a-fA-F]{1,4}"
+_ROADS = "rue|chemin|allée|quai|impasse|calle|avenida|plaza|paseo|bis|ter|de|du|des|del|la|le|les|las|los|el"
+
 #: Type -> pattern, the first that matches at a place wins.
 PATTERNS = {
     "email": r"(?<![\p{L}\d._%+-])[\p{L}\d._%+-]{1,64}@(?:[\p{L}\d-]{1,63}\.){1,8}\p{L}{2,24}" + _END,
     "secret": _START
     + r"(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,200}|xox[baprs]-[A-Za-z0-9-]{10,200})"
     + _END,
-    "phone": r"(?<![\p{L}\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}" + _END
-    + r"|(?<![\p{L}\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}" + _END,
+    "phone": r"(?<![\p{L}\d+])(?:\+\d{1,3}[\s.-]?|\d{1,3}[\s.-])?(?:\(\d{3}\)|\d{3})[\s.-]?\d{3}[\s.-]?\d{4}" + _END
+    + r"|(?<![\p{L}\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}" + _END
+    + r"|(?<![\p{L}\d+.-])\d{3}-\d{4}(?![\p{L}\d-])",
+    "ip6": r"(?<![\p{L}\d:.])" + rf"(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?|::{_HEX}(?::{_HEX}){{0,6}})"
+    + r"(?![\p{L}\d:]|\.\d)",
     "ip": r"(?<![\p{L}\d.])" + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + r"(?![\p{L}\d]|\.\d)",
-    "ssn": _START + r"\d{3}-\d{2}-\d{4}" + _END,
+    "ssn": _START + r"(?:\d{3}-\d{2}-\d{4}|(?!000|666|9\d{2})\d{3}[- ]?\d{2}[- ]?\d{4})" + _END,
     "iban": _START + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "card": _START + r"\d(?:[ -]?\d){12,18}" + _END,
-    "person": _START + _TITLE + r"\.? \p{Lu}[\p{L}'’-]{1,40}(?: \p{Lu}[\p{L}'’-]{1,40})?",
+    "address": _START + r"(?:\d{1,6}[A-Za-z]?\s+(?:[A-Za-z0-9.'-]+|(?:\p{Lu}[\p{L}\d.'’-]*\s+){1,2}\p{Lu}[\p{L}\d.'’-]*)\s+(?i:" + _STREETS + ")"
+    + r"|\p{Lu}[\p{L}-]{2,40}(?:straße|strasse|weg|platz|allee|gasse) \d{1,4}[a-z]?"
+    + r"|\d{1,4},? (?:bis |ter )?(?i:rue|avenue|boulevard|place|chemin|allée|quai|impasse) (?:(?:de |du |des |la |le |les )*(?:l['’]|d['’])?)\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*)?"
+    + r"|(?i:calle|avenida|plaza|paseo) (?:de |del |la |las |los |el )*\p{Lu}[\p{L}-]*(?: \p{Lu}[\p{L}-]*)?,? (?:n\.?º ?)?\d{1,4})" + _END,
+    "person": _START + _TITLE + r"\.? " + _NAME + "(?: " + _NAME + ")?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without any of these hold no entity.
-HINT = r"[@\d]|sk-|xox[baprs]-|gh[pousr]_|AKIA|[a-fA-F]{32}|" + _START + _TITLE + r"\.? \p{Lu}"
+HINT = r"[@\d]|sk-|xox[baprs]-|gh[pousr]_|AKIA|[a-fA-F]{32}|::|(?:[a-fA-F]{1,4}:){7}|" + _START + _TITLE + r"\.? \p{Lu}"
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYRILLIC, _GREEK = "абвгдезиклмнопрстуфхчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
@@ -70,20 +82,26 @@ def kind_of(entity: Column) -> Column:
     for name, pattern in PATTERNS.items():
         whole = entity.rlike(f"^(?:{pattern})$")
         out = F.when(whole, name) if out is None else out.when(whole, name)
-    return out.otherwise("secret")
+    return out.when(entity.rlike(f"^{_NAME}(?: {_NAME})*$"), "person").otherwise("secret")
 
 
 _NUMBERS = ["phone", "ssn", "card", "ip"]
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What spellings of one entity share: digits, dotted octets, or lower case without blanks in an IBAN."""
+    """What spellings of one entity share: digits, dotted octets, eight groups, or lower case, in an IBAN without blanks."""
     digits = F.regexp_replace(entity, r"[^\d]", "")
-    person = F.lower(F.regexp_replace(entity, r"^(\p{L}+)\.? ", "$1 "))
+    sides = F.split(F.lower(entity), "::")
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    left = groups(sides[0])
+    right = F.when(F.size(sides) > 1, groups(F.element_at(sides, -1))).otherwise(F.array().cast("array<string>"))
+    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right)
+    ip6 = F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ":")
     return (
         F.when(kind.isin("phone", "ssn", "card"), digits)
         .when(kind == "iban", F.lower(F.regexp_replace(entity, " ", "")))
-        .when(kind == "person", person)
+        .when(kind == "ip6", ip6)
+        .when(kind == "address", F.lower(F.regexp_replace(entity, r"\s+", " ")))
         .otherwise(F.lower(entity))
     )
 
@@ -135,26 +153,39 @@ class Surrogates:
             domain = F.get(F.array(*[F.lit(x) for x in ("example.com", "example.net", "example.org")]), number(F.lit(-1), 3))
             email = F.concat(spelt(local), more, F.lit("@"), domain)
             iban = F.concat(F.substring(form, 1, 2), spelt(F.substring(form, F.lit(3), F.char_length(form))))
-            names = F.split(form, " ")
-            gender = F.when(names[0].isin([t.lower() for t in _TITLES["female"]]), "female").when(
-                names[0].isin([t.lower() for t in _TITLES["male"]]), "male"
-            ).otherwise(F.when(number(F.lit(-2), 2) == 0, "female").otherwise("male"))
+            # A person's form is one name: f:, m: or u: for a given name by its title's gender, s: for a surname.
+            mark, own = F.substring(form, 1, 2), F.substring(form, F.lit(3), F.char_length(form))
+            gender = F.when(mark == "f:", "female").when(mark == "m:", "male").otherwise(
+                F.when(number(F.lit(-2), 2) == 0, "female").otherwise("male")
+            )
 
             def given(g: str) -> Column:
                 return F.get(F.array(*[F.lit(x.lower()) for x in _GIVEN[g]]), number(F.lit(-3), len(_GIVEN[g])))
 
-            first = F.when(names[1].rlike(r"^\p{IsLatin}"), F.when(gender == "female", given("female")).otherwise(given("male"))).otherwise(
-                spelt(names[1])
-            )
-            last = F.element_at(names, -1)
-            surname = F.concat(spelt(F.rpad(last, 4, "e")), F.when(attempt > 2, spelt(F.lit("aaaa"))).otherwise(""))
-            person = F.when(F.size(names) > 2, F.concat_ws(" ", names[0], first, surname)).otherwise(F.concat_ws(" ", names[0], surname))
+            more_name = F.when(attempt > 2, spelt(F.lit("aaaa"))).otherwise("")
+            listed = F.when(gender == "female", given("female")).otherwise(given("male"))
+            formed = F.concat(spelt(F.rpad(own, 3, "e")), more_name, F.when(gender == "female", "a").otherwise("o"))
+            first = F.when(~own.rlike(r"^\p{IsLatin}"), F.concat(spelt(own), more_name)).when(attempt == 0, listed).otherwise(formed)
+            surname = F.concat(spelt(F.rpad(own, 4, "e")), more_name)
+            person = F.concat(mark, F.when(mark == "s:", surname).otherwise(first))
+            group = lambda g: F.when(g == "0000", g).otherwise(spelt(g, True))
+            range6 = F.regexp_extract(form, "^(fe[89ab]|f[cd]|)", 1)
+            ip6 = F.array_join(F.transform(F.split(form, ":"), group), ":")
+            ip6 = F.concat(range6, F.substring(ip6, F.char_length(range6) + 1, F.lit(39)))
+            kept = rf"^(?:{_STREETS}|{_ROADS})$"
+            ending = "(straße|strasse|weg|platz|allee|gasse|)$"
+
+            def word(w: Column) -> Column:
+                tail = F.regexp_extract(w, ending, 1)
+                return F.when(w.rlike(kept), w).otherwise(F.concat(spelt(F.substring(w, F.lit(1), F.char_length(w) - F.char_length(tail))), tail))
+
+            address = F.array_join(F.transform(F.split(form, " "), word), " ")
             hexes = F.when(form.rlike("^[0-9a-f]+$"), spelt(form, True)).otherwise(
                 F.concat(F.regexp_extract(form, "^(akia|gh[a-z]_|sk-|xox[a-z]-|)", 1), spelt(F.regexp_replace(form, "^(akia|gh[a-z]_|sk-|xox[a-z]-)", "")))
             )
             return (
                 F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
-                .when(kind == "person", person).when(kind == "iban", iban).when(kind == "secret", hexes).otherwise(spelt(form))
+                .when(kind == "ip6", ip6).when(kind == "address", address).when(kind == "person", person).when(kind == "iban", iban).when(kind == "secret", hexes).otherwise(spelt(form))
             )
 
         return _let(self._seed(kind, form, attempt), of)
@@ -176,13 +207,21 @@ class Surrogates:
 
         upper = entity == F.upper(entity)
         cased = F.when(upper, F.upper(form)).otherwise(form)
-        title = F.regexp_extract(entity, r"^(\p{L}+\.? )", 1)
-        named = F.regexp_replace(form, r"^\p{L}+ ", "")
-        person = F.concat(title, F.when(upper, F.upper(named)).otherwise(F.initcap(named)))
+        named = F.substring(form, F.lit(3), F.char_length(form))
+        person = F.when(upper, F.upper(named)).otherwise(F.initcap(named))
+        # An IPv6 address keeps the place of "::" and the number of groups about it.
+        count = lambda side: F.size(F.filter(F.split(side, ":"), lambda g: g != ""))
+        sides, groups = F.split(entity, "::"), F.transform(F.split(form, ":"), lambda g: F.regexp_replace(g, "^0{1,3}", ""))
+        tail = F.reverse(F.slice(F.reverse(groups), F.lit(1), count(F.element_at(sides, -1))))
+        short = F.concat(F.array_join(F.slice(groups, F.lit(1), count(sides[0])), ":"), F.lit("::"), F.array_join(tail, ":"))
+        ip6 = F.when(F.size(sides) > 1, short).otherwise(form)
+        address = F.when(upper, F.upper(form)).when(entity == F.lower(entity), form).otherwise(F.initcap(form))
         return (
             F.when(kind.isin("phone", "ssn", "card"), fitted(r"[^\d]"))
             .when(kind == "iban", fitted(" "))
             .when(kind == "person", person)
+            .when(kind == "ip6", F.when(upper, F.upper(ip6)).otherwise(ip6))
+            .when(kind == "address", address)
             .when(kind == "secret", fitted(r"[^\s\S]"))
             .otherwise(cased)
         )
@@ -208,16 +247,65 @@ def _check_digit(head: Column) -> Column:
     return F.pmod(10 - F.pmod(_luhn_sum(head, True), F.lit(10)), F.lit(10)).cast("string")
 
 
+_NO_STRINGS = "array<string>"
+_TITLED = r"^(" + _TITLE + r"\.? )"
+
+
+def _people(text: Column) -> Column:
+    """array<struct<token, form>>: the names of the persons with a title, in lower case, and their forms."""
+
+    def of(entity: Column) -> Column:
+        title = F.regexp_replace(F.lower(F.regexp_extract(entity, _TITLED, 1)), r"[. ]", "")
+        names = F.split(F.lower(F.regexp_replace(entity, _TITLED, "")), " ")
+        mark = F.when(title.isin([t.lower() for t in _TITLES["female"]]), "f:").when(title.isin([t.lower() for t in _TITLES["male"]]), "m:").otherwise("u:")
+        n = F.size(names)
+        return F.transform(names, lambda x, i: F.struct(x.alias("token"), F.concat(F.when(i < n - 1, mark).otherwise("s:"), x).alias("form")))
+
+    titled = F.regexp_extract_all(text, F.lit(f"({PATTERNS['person']})"), F.lit(1))
+    return F.flatten(F.transform(titled, of))
+
+
+def _pattern(text: Column) -> Column:
+    """ANY, and the names of the text's persons without a title."""
+    names = F.array_distinct(F.transform(_people(text), lambda p: p["token"]))
+    spelt = F.array_join(F.flatten(F.transform(names, lambda n: F.array(F.initcap(n), F.upper(n)))), "|")
+    known = F.concat(F.lit("(?:"), spelt, F.lit(")"))
+    return F.when(F.size(names) > 0, F.concat(F.lit(f"{ANY}|{_START}"), known, F.lit("(?: "), known, F.lit(f")?{_END}"))).otherwise(F.lit(ANY))
+
+
 def matches(text: Column) -> Column:
     """All entities of a text in their order; an empty array where there is none."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)).otherwise(none)
+    none = F.array().cast(_NO_STRINGS)
+    found = F.regexp_extract_all(text, F.concat(F.lit("("), _pattern(text), F.lit(")")), F.lit(1))
+    return F.when(text.rlike(HINT), found).otherwise(none)
+
+
+def _pieces(entity: Column, kind: Column, people: Column) -> Column:
+    """array<struct<entity, kind, form>>: a person's names one by one, any other entity whole."""
+
+    def name(n: Column) -> Column:
+        # A name that is given with and without a gender is one name: the first place in the text decides.
+        known = F.filter(people, lambda p: p["token"] == F.lower(n))
+        form = F.coalesce(F.get(known, F.lit(0))["form"], F.concat(F.lit("s:"), F.lower(n)))
+        return F.struct(n.alias("entity"), F.lit("person").alias("kind"), form.alias("form"))
+
+    names = F.transform(F.split(F.regexp_replace(entity, _TITLED, ""), " "), name)
+    whole = F.array(F.struct(entity.alias("entity"), kind.alias("kind"), canonical(kind, entity).alias("form")))
+    return F.when(kind == "person", names).otherwise(whole)
+
+
+def _placed(docs: DataFrame, text: str, *more: Column) -> DataFrame:
+    """(more, kind, form): one row for each entity, or name of a person, at each of its places."""
+    t = whole_text(text)
+    found = docs.select(*more, _people(t).alias("_people"), F.explode(matches(t)).alias("entity")).withColumn("kind", kind_of(F.col("entity")))
+    names = [c for c in found.columns if c not in ("_people", "entity", "kind")]
+    pieces = found.select(*names, F.explode(_pieces(F.col("entity"), F.col("kind"), F.col("_people"))).alias("p"))
+    return pieces.select(*names, "p.kind", "p.form")
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, form, n): distinct entities of the table with their number of places."""
-    found = docs.select(F.explode(matches(whole_text(text))).alias("entity")).withColumn("kind", kind_of(F.col("entity")))
-    return found.groupBy("kind", canonical(F.col("kind"), F.col("entity")).alias("form")).agg(F.count("*").alias("n"))
+    """(kind, form, n): distinct entities of the table, persons name by name, with their number of places."""
+    return _placed(docs, text).groupBy("kind", "form").agg(F.count("*").alias("n"))
 
 
 def second_draws(real: DataFrame, how: Surrogates) -> DataFrame:
@@ -283,33 +371,34 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         rows, attempts = bare, F.create_map(*[F.lit(x) for p in pairs for x in (p.k, p.attempt)])
     else:
         at = F.sha2(whole_text(text), 256)
-        found = docs.select(at.alias("_text"), F.explode(matches(whole_text(text))).alias("entity")).withColumn("kind", kind_of(F.col("entity")))
-        placed = found.select("_text", "kind", canonical(F.col("kind"), F.col("entity")).alias("form")).distinct()
+        placed = _placed(docs, text, at.alias("_text")).distinct()
         by_text = placed.join(special, ["kind", "form"]).groupBy("_text").agg(
             F.map_from_entries(F.collect_set(F.struct(name(F.col("kind"), F.col("form")), F.col("attempt")))).alias("_attempts")
         )
         rows = bare.withColumn("_text", at).join(by_text, "_text", "left").drop("_text")
         attempts = F.col("_attempts")
 
+    def drawn(p: Column) -> Column:
+        kind, form = p["kind"], p["form"]
+        attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, name(kind, form)), F.lit(0))
+        return how.dressed(kind, p["entity"], how.draw(kind, form, attempt))
+
     def surrogate(entity: Column) -> Column:
         def of(kind: Column) -> Column:
-            def with_form(form: Column) -> Column:
-                attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, name(kind, form)), F.lit(0))
-                return how.dressed(kind, entity, how.draw(kind, form, attempt))
-
-            return _let(canonical(kind, entity), with_form)
+            title = F.when(kind == "person", F.regexp_extract(entity, _TITLED, 1)).otherwise("")
+            return F.concat(title, F.array_join(F.transform(_pieces(entity, kind, F.col("_people")), drawn), " "))
 
         return _let(kind_of(entity), of)
 
     t = F.col(text).cast("string")
-    found = F.coalesce(matches(t), F.array().cast("array<string>"))
-    gaps = F.split(t, ANY)
+    found = F.coalesce(matches(t), F.array().cast(_NO_STRINGS))
+    gaps = F.split(t, _pattern(t))
 
     def woven(m: Column) -> Column:
         new = F.concat(F.transform(m, surrogate), F.array(F.lit("")))
         return F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(a, b)), "")
 
-    out = rows.withColumn("_found", found)
+    out = rows.withColumn("_found", found).withColumn("_people", _people(t))
     changed = F.when(F.size("_found") > 0, woven(F.col("_found"))).otherwise(F.col(text))
     out = out.withColumn("n_entities", F.size("_found").cast("long")).withColumn(text, changed)
     return out.select(*[text if c == text else c for c in bare.columns], "n_entities")
