@@ -8,7 +8,7 @@ from importlib import import_module
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, hmm_lm, packing, pii, quality, rans, simhash, suffix_dedup, weak_quality
+from . import bpe, centroids, chat, exact_dedup, hmm_lm, packing, pii, quality, rans, simhash, spelling, suffix_dedup, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,18 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.cost_packing(documents(spark, sf_dir), JSON)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_formatting(spark.read.parquet(f"{sf_dir}/conversations.parquet"), JSON)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -75,9 +87,18 @@ QUERIES: dict[str, Query] = {
         op8_hmm_scores,
         op9_simhash_near_dedup,
         op10_cost_packing,
+        op11_spelling_variants,
+        op12_centroid_clusters,
+        op13_chat_formatting,
     )
 }
-SQL: dict[str, str] = {"op1_exact_dedup": exact_dedup.EXACT_DEDUP_SQL, "op4_quality_rules": quality.QUALITY_SQL}
+SQL: dict[str, str] = {
+    "op1_exact_dedup": exact_dedup.EXACT_DEDUP_SQL,
+    "op4_quality_rules": quality.QUALITY_SQL,
+    "op11_spelling_variants": spelling.SPELLING_SQL,
+    "op12_centroid_clusters": centroids.clusters_sql(),
+    "op13_chat_formatting": chat.CHAT_SQL,
+}
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
