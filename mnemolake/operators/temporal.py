@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -85,6 +85,119 @@ def latest_facts(rows: DataFrame, keys: DataFrame) -> DataFrame:
             return rows.join(kept, "memory_id", "left_semi")
 
 
+def latest_similar(rows: DataFrame, concepts: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Newest first, a row is dropped if its concept set overlaps a kept one's by ``threshold`` or more (Jaccard).
+
+    ``rows`` (memory_id, start), ``concepts`` (memory_id, concept). A row without concepts resembles no other and stays.
+    Of equal sets only the newest row can stay, so sets are compared once each; similar sets are found by the exact
+    similarity join and settled in rounds (``selection.dropped_by_order``).
+    """
+    from . import selection, similarity
+
+    own = concepts.select("memory_id", F.lower("concept").alias("concept")).join(rows.select("memory_id"), "memory_id", "left_semi")
+    # A row's own concepts: bounded by the text itself.
+    sets = own.groupBy("memory_id").agg(F.sort_array(F.collect_set("concept")).alias("words"))
+    newest = F.max_by("memory_id", F.struct("start", "memory_id"))
+    classes = (
+        sets.join(rows.select("memory_id", "start"), "memory_id")
+        .withColumn("digest", F.sha2(F.to_json("words"), 256))
+        .groupBy("digest")
+        .agg(newest.alias("rep"), F.max("start").alias("start"), F.first("words").alias("words"))
+    )
+    classes = cut_lineage(classes)
+    pairs = similarity.jaccard_pairs(classes.select("rep", "words"), threshold)
+    at = classes.select("rep", "start")
+    ends = pairs.join(at.toDF("a", "sa"), "a").join(at.toDF("b", "sb"), "b")
+    a_first = F.struct("sa", "a") > F.struct("sb", "b")
+    links = ends.select(
+        F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("later")
+    )
+    gone = selection.dropped_by_order(links)
+    kept = classes.select(F.col("rep").alias("memory_id")).join(gone.withColumnRenamed("id", "memory_id"), "memory_id", "left_anti")
+    bare = rows.join(sets.select("memory_id"), "memory_id", "left_anti")
+    return rows.join(kept, "memory_id", "left_semi").unionByName(bare)
+
+
+def latest_by_facts_or_concepts(rows: DataFrame, fact_keys: DataFrame, concepts: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Latest facts of a store: rows with fact keys (subject, predicate, head of object) by keys, the others by concepts.
+
+    ``rows`` (memory_id, start), ``fact_keys`` (memory_id, key), ``concepts`` (memory_id, concept). The two groups do not
+    compete with each other.
+    """
+    keyed = rows.join(fact_keys.select("memory_id").distinct(), "memory_id", "left_semi")
+    plain = rows.join(fact_keys.select("memory_id").distinct(), "memory_id", "left_anti")
+    return latest_facts(keyed, fact_keys).unionByName(latest_similar(plain, concepts, threshold))
+
+
+def ordered_chains(rows: DataFrame, key: str, time: str = "created_at", slice_seconds: float = 7 * 86400.0) -> DataFrame:
+    """Chains of rows of one key, each superseding the one before it in (time, memory_id) order.
+
+    (memory_id, key, time, chain_id, version, supersedes, superseded_by, current). Keys with a single row form no chain.
+    Neighbours and versions are found per time slice, so that a hot key is no single task's work.
+    """
+    from . import splits
+
+    base = rows.select("memory_id", key, time)
+    first = base.groupBy(key).agg(F.min_by("memory_id", F.struct(time, "memory_id")).alias("chain_id"), F.count("*").alias("_n"))
+    near = splits.with_neighbor(base, [key], time, "memory_id", ["memory_id"], slice_seconds=slice_seconds)
+    both = splits.with_neighbor(near, [key], time, "memory_id", ["memory_id"], forward=True, slice_seconds=slice_seconds)
+    placed = splits.with_position(both, [key], time, "memory_id", "version", slice_seconds)
+    return placed.join(first.filter("_n > 1"), key).select(
+        "memory_id", key, time, "chain_id", "version", F.col("prev_memory_id").alias("supersedes"),
+        F.col("next_memory_id").alias("superseded_by"), F.col("next_memory_id").isNull().alias("current"),
+    )
+
+
+def as_of_chain(versions: DataFrame, moments: DataFrame, bin_seconds: float = 30 * 86400.0) -> DataFrame:
+    """The version of its chain that held at each moment: the highest one created by then.
+
+    ``versions`` (memory_id, chain_id, version, created_at), ``moments`` (chain_id, at and any other columns). Returns the
+    moments with memory_id and version, null where the chain began later. Both sides meet in bins of time: a running
+    maximum per (chain, bin), and one over the bins' maxima per chain. Nothing is joined by inequality, and a chain that
+    holds a third of all rows is spread over its bins.
+    """
+    best = F.struct("version", "memory_id")
+    bin_of = F.floor(F.col("_t") / bin_seconds)
+    own = [c for c in moments.columns if c not in ("memory_id", "version")]
+    old = versions.select("chain_id", F.col("created_at").alias("_t"), best.alias("_v")).withColumn("_bin", bin_of)
+    asked = moments.select("chain_id", F.col("at").alias("_t"), F.struct(*own).alias("_m")).withColumn("_bin", bin_of)
+    both = old.unionByName(asked, allowMissingColumns=True)
+    # At one time, versions come before moments.
+    inside = Window.partitionBy("chain_id", "_bin").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_here", F.max("_v").over(inside)).filter("_m IS NOT NULL")
+    tops = both.groupBy("chain_id", "_bin").agg(F.max("_v").alias("_top"))
+    earlier = Window.partitionBy("chain_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select("chain_id", "_bin", F.max("_top").over(earlier).alias("_before"))
+    found = met.join(before, ["chain_id", "_bin"]).withColumn("_v", F.greatest("_here", "_before"))
+    return found.select("_m.*", F.col("_v.memory_id").alias("memory_id"), F.col("_v.version").alias("version"))
+
+
+def fact_history(matches: DataFrame, chains: DataFrame) -> DataFrame:
+    """Whole chain of each query's best match, oldest first by version: (query_id, memory_id, version, current).
+
+    ``matches`` (query_id, memory_id, rank) as ranked by any recall, ``chains`` (memory_id, chain_id, version, current). A
+    best match outside all chains is a chain of itself.
+    """
+    best = matches.filter("rank = 1").select("query_id", "memory_id")
+    found = best.join(chains.select("memory_id", "chain_id"), "memory_id", "left")
+    alone = found.filter("chain_id IS NULL").select("query_id", "memory_id", F.lit(1).cast("long").alias("version"), F.lit(True).alias("current"))
+    linked = found.filter("chain_id IS NOT NULL").select("query_id", "chain_id")
+    rows = linked.join(chains.select("chain_id", "memory_id", "version", "current"), "chain_id")
+    return rows.select("query_id", "memory_id", "version", "current").unionByName(alone)
+
+
+def chain_timeline(chains: DataFrame, bridge: DataFrame | None = None, concept: str | None = None) -> DataFrame:
+    """Changes of facts in time order: every row that supersedes or is superseded, optionally of one concept."""
+    out = chains
+    if concept is not None:
+        of = bridge.filter(F.lower("concept") == concept.lower()).select("memory_id").distinct()
+        out = out.join(of, "memory_id", "left_semi")
+    return out.select(
+        "memory_id", "supersedes", "superseded_by", F.concat(F.lit("chain-"), F.col("chain_id").cast("string")).alias("fact_chain_id"),
+        F.col("created_at").alias("timestamp"),
+    ).orderBy("timestamp", "memory_id")
+
+
 def temporal_chain(memories: DataFrame, bridge: DataFrame, topics: list[str]) -> DataFrame:
     """Memories on any of the topics in order of their start."""
     wanted = bridge.filter(F.lower("concept").isin([t.lower() for t in topics])).select("memory_id").distinct()
