@@ -46,9 +46,10 @@ ch AS (SELECT o_orderkey AS memory_id, o_custkey, epoch(o_orderdate) AS created_
 
 @query(
     "chain_as_of",
-    f"""WITH {CHAIN_SQL}, m AS (SELECT l_orderkey, l_linenumber, c.chain_id, epoch(l_shipdate) - 30 * 86400.0 AS at FROM lineitem JOIN ch c ON c.memory_id = l_orderkey)
-    SELECT m.l_orderkey, m.l_linenumber, m.chain_id, m.at, max(v.version) AS version, arg_max(v.memory_id, v.version) AS memory_id
-    FROM m LEFT JOIN ch v ON v.chain_id = m.chain_id AND v.created_at <= m.at GROUP BY ALL""",
+    f"""WITH {CHAIN_SQL}, m AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, c.chain_id, epoch(l_shipdate) - 30 * 86400.0 AS at FROM lineitem JOIN ch c ON c.memory_id = l_orderkey)
+    SELECT l_orderkey, l_linenumber, chain_id, "at", version, memory_id FROM (
+      SELECT m.*, max(v.version) AS version, arg_max(v.memory_id, v.version) AS memory_id
+      FROM m LEFT JOIN ch v ON v.chain_id = m.chain_id AND v.created_at <= m.at GROUP BY ALL)""",
 )
 def chain_as_of(spark, sf):
     """Which order of a customer was the newest thirty days before each shipment."""

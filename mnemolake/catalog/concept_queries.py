@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import concepts, graph, patterns, similarity
+from ..session import save, scratch_path
 from . import query
 from .similarity_queries import jaccard_sql
 from .views import NOW, ORDER_CONCEPTS_SQL, access_log, epoch, order_concepts, order_facts, table
@@ -294,6 +295,25 @@ def communities(spark, sf):
     )
 
 
+@query(
+    "communities_incremental",
+    f"""WITH RECURSIVE {jaccard_sql(0.5)}, e AS (SELECT a, b FROM pairs WHERE (a + b) % 5 > 0), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+    r AS (SELECT x, y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)
+    SELECT x AS node, least(x, min(y)) AS component FROM r GROUP BY x""",
+)
+def communities_incremental(spark, sf):
+    """Groups of similar documents when every fifth link goes and every seventh one comes: only touched groups are read."""
+    links = save(document_pairs(spark, sf).select("a", "b"), "links")
+    total = F.col("a") + F.col("b")
+    before = links.filter(total % 7 > 0)
+    labels = save(graph.connected_components(before), "labels")
+    path = scratch_path(spark, "edges")
+    graph.labelled_edges(before, labels).write.partitionBy("part").parquet(path)
+    return graph.update_components(
+        labels, spark.read.parquet(path), links.filter((total % 7 == 0) & (total % 5 > 0)), before.filter(total % 5 == 0)
+    )
+
+
 @query(
     "hub_degree",
     f"""WITH mc AS ({ORDER_CONCEPTS_SQL}), p AS ({PAIRS_SQL}), n AS (SELECT a AS c, weight FROM p UNION ALL SELECT b, weight FROM p)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import portable
 from ..session import scratch_path
+from ..sources.oplog import LoggedStore
 from ..sources.versions import VersionedTables
 from . import query
-from .views import NOW, table
+from .views import NOW, epoch, table
 
 
 def stores(spark, sf) -> tuple[portable.Store, portable.Store]:
@@ -161,3 +162,74 @@ def merge_keep_both(spark, sf):
     """A store merged into another with every row kept and duplicates named."""
     existing, incoming = stores(spark, sf)
     return _committed(spark, portable.merge_store(existing, incoming, keep_both=True, source="other")[0], existing)
+
+
+# What an event writes to the log, by the last digit of its number.
+LOG_SQL = """
+l AS (SELECT event_id AS seq, event_id % 10 AS r, user_id AS u, (props->>'$.k')::BIGINT AS k, event_type AS t, printf('%.2f', value) AS v FROM events),
+dead AS (SELECT u::VARCHAR AS key, max(seq) AS cut FROM l WHERE r = 3 AND k % 4 = 0 GROUP BY u),
+mem AS (SELECT 'memory' AS kind, u::VARCHAR AS key, arg_max(t, seq) FILTER (r < 2) AS c1, arg_max(v, seq) FILTER (r < 3) AS c2, arg_max(k::VARCHAR, seq) FILTER (r = 3) AS c3
+  FROM l JOIN (SELECT u, max(seq) FILTER (r < 2) AS born, max(seq) FILTER (r = 3 AND k % 4 = 0) AS died FROM l WHERE r < 4 GROUP BY u) USING (u)
+  WHERE r < 4 AND born IS NOT NULL AND (died IS NULL OR born > died) AND seq >= born GROUP BY u),
+edge AS (SELECT 'edge' AS kind, seq::VARCHAR AS key, u::VARCHAR AS c1, k::VARCHAR AS c2, t AS c3 FROM l
+  WHERE (r = 4 OR (r = 5 AND k % 2 = 1)) AND seq NOT IN (SELECT seq - 11 FROM l WHERE r = 5 AND k % 2 = 0)
+  AND NOT EXISTS (SELECT 1 FROM dead WHERE dead.key IN (l.u::VARCHAR, l.k::VARCHAR) AND dead.cut > l.seq)),
+epi AS (SELECT 'episode', k::VARCHAR, arg_max(t, seq), NULL, NULL FROM l WHERE r = 6 GROUP BY k),
+con AS (SELECT 'concept', t || u % 5, arg_max(v, seq), NULL, NULL FROM l WHERE r = 7 GROUP BY t, u % 5),
+card AS (SELECT 'card', 'c' || u, arg_max(t, seq) FILTER (r = 8), arg_max(v, seq) FILTER (r = 9), NULL
+  FROM l JOIN (SELECT u, max(seq) FILTER (r = 8 AND k % 3 > 0) AS born, max(seq) FILTER (r = 8 AND k % 3 = 0) AS died FROM l WHERE r > 7 GROUP BY u) USING (u)
+  WHERE r > 7 AND born IS NOT NULL AND (died IS NULL OR born > died) AND seq >= born GROUP BY u)"""
+
+
+def event_log(spark, sf) -> DataFrame:
+    """events as a log with all ten operations."""
+    r, u = F.col("event_id") % 10, F.col("user_id").cast("string")
+    k, t = F.get_json_object("props", "$.k"), F.col("event_type")
+    v, kn = F.format_string("%.2f", "value"), F.get_json_object("props", "$.k").cast("long")
+    seq = F.col("event_id").cast("string")
+    card = F.concat(F.lit("c"), u)
+
+    def entry(op: str, **fields) -> Column:
+        return F.struct(F.lit(op).alias("operation"), F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("data"))
+
+    edge = entry("insert_edge", id=seq, source_id=u, target_id=k, edge_type=t)
+    made = (
+        F.when(r < 2, entry("insert_memory", id=u, content=t, strength=v))
+        .when(r == 2, entry("update_memory", id=u, strength=v))
+        .when((r == 3) & (kn % 4 == 0), entry("delete_memory", id=u))
+        .when(r == 3, entry("update_memory", id=u, seen=k))
+        .when((r == 4) | ((r == 5) & (kn % 2 == 1)), edge)
+        .when(r == 5, entry("delete_edge", id=(F.col("event_id") - 11).cast("string")))
+        .when(r == 6, entry("insert_episode", id=k, name=t))
+        .when(r == 7, entry("insert_concept", name=F.concat(t, (F.col("user_id") % 5).cast("string")), category=v))
+        .when((r == 8) & (kn % 3 > 0), entry("insert_card", card_id=card, title=t))
+        .when(r == 8, entry("delete_card", card_id=card))
+        .otherwise(entry("update_card", card_id=card, score=v))
+    )
+    return table(spark, sf, "events").select(F.col("event_id").alias("seq"), epoch("ts").alias("timestamp"), made.alias("e")).select("seq", "timestamp", "e.*")
+
+
+@query(
+    "replay_all_ops",
+    f"""WITH {LOG_SQL} SELECT * FROM mem UNION ALL SELECT * FROM edge UNION ALL SELECT * FROM epi UNION ALL SELECT * FROM con UNION ALL SELECT * FROM card""",
+)
+def replay_all_ops(spark, sf):
+    """A log of ten operations in three segments; a snapshot is made after the first and the second one."""
+    log = event_log(spark, sf)
+    kept = LoggedStore(spark, scratch_path(spark, "log"))
+    kept.append(log.filter("seq < 3000"))
+    kept.compact()
+    kept.append(log.filter("seq >= 3000 AND seq < 7000"))
+    kept.compact()
+    kept.append(log.filter("seq >= 7000"))
+    names = {"memory": ["content", "strength", "seen"], "edge": ["source_id", "target_id", "edge_type"], "episode": ["name"],
+             "concept": ["category"], "card": ["title", "score"]}
+
+    def cell(i: int) -> Column:
+        out = F.lit(None).cast("string")
+        for kind, fields in names.items():
+            if i < len(fields):
+                out = F.when(F.col("kind") == kind, F.try_element_at("fields", F.lit(fields[i]))).otherwise(out)
+        return out.alias(f"c{i + 1}")
+
+    return kept.state().select("kind", "key", *[cell(i) for i in range(3)])

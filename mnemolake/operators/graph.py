@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, top_per_group
@@ -101,6 +101,52 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     return nodes.join(root, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+#: Folders over which labelled edges are spread by component.
+EDGE_PARTS = 64
+
+
+def _edge_part(component: str) -> Column:
+    return F.pmod(F.xxhash64(component), F.lit(EDGE_PARTS)).cast("int")
+
+
+def labelled_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, component, part): edges with their component, to be stored in one folder per ``part``."""
+    of = labels.select(F.col("node").alias("a"), "component")
+    return edges.select("a", "b").join(of, "a").withColumn("part", _edge_part("component"))
+
+
+def update_components(labels: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(node, component) after edges were added and removed, as a full run over the new graph would give it.
+
+    ``labels`` is the result before, ``edges`` the edges before as ``labelled_edges`` stores them, ``added`` and
+    ``removed`` are (a, b). Only components that lose an edge can fall apart: their edges alone are read, by folder, and
+    their nodes labelled anew; a node that has lost all edges leaves the graph. Added edges then join components: they are
+    contracted to edges between labels, and only labels that such an edge touches change.
+    """
+    lost = removed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    at = labels.select(F.col("node").alias("a"), "component")
+    torn = cut_lineage(lost.join(at, "a").select("component").distinct())
+    parts = [r[0] for r in torn.select(_edge_part("component").alias("p")).distinct().collect()]  # at most EDGE_PARTS
+    inner = edges.filter(F.col("part").isin(parts)).join(torn, "component", "left_semi")
+    inner = inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(lost, ["a", "b"], "left_anti")
+    again = connected_components(inner)
+    now = cut_lineage(labels.join(torn, "component", "left_anti").select("node", "component").unionByName(again))
+    ends = added.select("a", "b").filter("a <> b")
+    ca = now.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    cb = now.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    # A node that is new is a component of its own.
+    joined = ends.join(ca, "a", "left").join(cb, "b", "left").select(
+        "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")
+    )
+    joined = cut_lineage(joined)
+    merged = connected_components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("component", "low")
+    new = joined.select(F.col("a").alias("node")).union(joined.select("b")).distinct().join(now, "node", "left_anti")
+    nodes = now.unionByName(new.select("node", F.col("node").alias("component")))
+    return nodes.join(merged.withColumnRenamed("node", "component"), "component", "left").select(
+        "node", F.coalesce("low", "component").alias("component")
+    )
+
+
 def communities(pairs: DataFrame, min_size: int = 3, hubs: int = 3) -> DataFrame:
     """Component summaries: (component, size, total_weight, density, hub_concepts, label)."""
     comp = connected_components(pairs)

@@ -31,6 +31,72 @@ def replay(ops: DataFrame, insert: str = "insert_memory", update: str = "update_
     return alive.select("id").join(fields, "id", "left")
 
 
+# The ten operations of the log: what they change, how, and which field names the row.
+OPERATIONS = {
+    "insert_memory": ("memory", "insert", "id"),
+    "update_memory": ("memory", "update", "id"),
+    "delete_memory": ("memory", "delete", "id"),
+    "insert_edge": ("edge", "insert", "id"),
+    "delete_edge": ("edge", "delete", "id"),
+    "insert_episode": ("episode", "insert", "id"),
+    "insert_concept": ("concept", "insert", "name"),
+    "insert_card": ("card", "insert", "card_id"),
+    "update_card": ("card", "update", "card_id"),
+    "delete_card": ("card", "delete", "card_id"),
+}
+
+
+def entries(ops: DataFrame) -> DataFrame:
+    """(kind, action, key, seq, fields) of log rows (seq, op, data JSON object).
+
+    Unknown operations, data that is no JSON object and rows without a key are left out, as malformed lines are.
+    """
+    fields = F.from_json("data", "map<string,string>")
+    kind = action = key = F.lit(None).cast("string")
+    for op, (k, a, name) in OPERATIONS.items():
+        this = F.col("op") == op
+        kind = F.when(this, k).otherwise(kind)
+        action = F.when(this, a).otherwise(action)
+        key = F.when(this, F.try_element_at("fields", F.lit(name))).otherwise(key)
+    read = ops.withColumn("fields", fields).select(kind.alias("kind"), action.alias("action"), key.alias("key"), "seq", "fields")
+    return read.filter("kind IS NOT NULL AND key IS NOT NULL")
+
+
+def replay_all(log: DataFrame, snapshot: DataFrame | None = None, upto: int = -1) -> DataFrame:
+    """(kind, key, fields): the rows of all kinds after ``log`` (see ``entries``) on top of a snapshot.
+
+    ``snapshot`` (kind, key, fields) is the state after entry ``upto``; entries up to there are passed over, so replaying
+    a log whose head is already in the snapshot changes nothing. Inserts replace a row, updates overwrite single fields of
+    a living one, the last writer wins per field and an explicit null is a value. An edge is void if one of its ends was
+    deleted after the edge was inserted; edges inserted later count again. Only aggregates, and one join of the edges with
+    the deleted memories.
+    """
+    rows = log.filter(F.col("seq") > upto)
+    if snapshot is not None:
+        rows = rows.unionByName(snapshot.select("kind", F.lit("insert").alias("action"), "key", F.lit(upto).cast("long").alias("seq"), "fields"))
+    last = rows.groupBy("kind", "key").agg(
+        F.max(F.when(F.col("action") == "insert", F.col("seq"))).alias("born"),
+        F.max(F.when(F.col("action") == "delete", F.col("seq"))).alias("died"),
+    )
+    alive = last.filter("born IS NOT NULL AND (died IS NULL OR born > died)").select("kind", "key", "born")
+    cells = rows.filter("action <> 'delete'").select("kind", "key", "seq", F.explode("fields").alias("field", "value"))
+    newest = cells.groupBy("kind", "key", "field").agg(F.max("seq").alias("seq"), F.max_by(F.struct("value"), "seq").alias("v"))
+    kept = newest.join(alive, ["kind", "key"]).filter("seq >= born")
+    # A row's own fields come back together.
+    pairs = F.sort_array(F.collect_list(F.struct("field", "v.value")))
+    state = kept.groupBy("kind", "key", "born").agg(F.map_from_entries(pairs).alias("fields"))
+    deaths = last.filter("kind = 'memory' AND died IS NOT NULL").select(F.col("key").alias("end"), F.col("died").alias("cut"))
+    edges = state.filter("kind = 'edge'")
+    for end in ("source_id", "target_id"):
+        edges = (
+            edges.withColumn("end", F.try_element_at("fields", F.lit(end)))
+            .join(deaths, "end", "left")
+            .filter("cut IS NULL OR born > cut")
+            .drop("end", "cut")
+        )
+    return state.filter("kind <> 'edge'").unionByName(edges).select("kind", "key", "fields")
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Dict-style merge: columns present in ``changes`` overwrite, others stay; new keys are added."""
     marked = changes.withColumn("_c", F.lit(True)).select(

@@ -74,36 +74,25 @@ class VersionedTables:
     def table(self, name: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(self.manifest(version)["tables"][name])
 
-    def commit(
-        self, changed: Mapping[str, DataFrame], based_on: int | None = None, note: Mapping | None = None,
-        partition_by: Mapping[str, list[str]] | None = None,
-    ) -> int:
-        """Write the changed tables and make them the next version; the others stay as they are.
+    def stage(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> str:
+        """Write a table's new files; they are invisible until a manifest names the folder that is returned."""
+        folder = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
+        return folder
+
+    def publish(self, tables: Mapping[str, str], based_on: int, note: Mapping | None = None) -> int:
+        """Make ``tables`` (name: staged folder), and no others, the version after ``based_on``.
 
-        ``based_on`` is the version that the change was computed from, the newest by default: where the store has moved
-        on since, or another writer is first, Conflict is raised and nothing becomes visible. ``note`` is kept in the
-        manifest. The same ``note["batch"]`` as the newest version's is a repeated run: its version is returned.
+        Where the store has moved on since, or another writer is first, Conflict is raised and nothing becomes visible.
         """
-        now = self.manifest()
-        batch = (note or {}).get("batch")
-        if batch is not None and now["note"].get("batch") == batch:
-            return now["version"]
-        if based_on is not None and now["version"] != based_on:
-            raise Conflict(f"based on version {based_on}, but the store is at {now['version']}")
-        folders = {}
-        for name, df in changed.items():
-            folders[name] = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
-            writer = df.write.mode("errorifexists")
-            if partition_by and name in partition_by:
-                writer = writer.partitionBy(*partition_by[name])
-            writer.parquet(folders[name])
-        version = max([now["version"], *self._numbers()]) + 1
-        body = {"version": version, "tables": {**now["tables"], **folders}, "note": dict(note or {})}
-        if self.manifest()["version"] != now["version"]:
-            raise Conflict("another writer was first")
-        path = self._path(self._manifest(version))
+        now = self.manifest()["version"]
+        if now != based_on:
+            raise Conflict(f"based on version {based_on}, but the store is at {now}")
+        version = max([now, *self._numbers()]) + 1
+        body = {"version": version, "tables": dict(tables), "note": dict(note or {})}
         try:
-            out = self._fs.create(path, False)
+            out = self._fs.create(self._path(self._manifest(version)), False)
         except Exception as e:
             raise Conflict(f"version {version} is taken") from e
         try:
@@ -112,6 +101,18 @@ class VersionedTables:
             out.close()
         return version
 
+    def commit(self, changed: Mapping[str, DataFrame], based_on: int | None = None, note: Mapping | None = None) -> int:
+        """Write the changed tables and make them the next version; the others stay as they are.
+
+        ``based_on`` is the version that the change was computed from, the newest by default. ``note`` is kept in the
+        manifest.
+        """
+        now = self.manifest()
+        if based_on is not None and now["version"] != based_on:
+            raise Conflict(f"based on version {based_on}, but the store is at {now['version']}")
+        folders = {name: self.stage(name, df) for name, df in changed.items()}
+        return self.publish({**now["tables"], **folders}, now["version"], note)
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete data folders that none of the newest ``keep`` versions names; returns them. No writer may be at work."""
         kept = self.versions()[-keep:] if keep else []
