@@ -17,10 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.redaction import _STREETS
 from ..session import discard, save
 from .common import whole_text
 
+#: Words that end a street's name.
+STREETS = "street|st|avenue|ave|road|rd|lane|ln|drive|dr|boulevard|blvd|court|ct|place|pl|way|circle|cir"
+
 #: Second draws that are looked up in a literal map; more are joined by text.
 EXCEPTIONS = 10_000
 #: Draws per entity before the job gives up.
@@ -54,7 +56,7 @@ PATTERNS = {
     "ssn": _START + r"(?:\d{3}-\d{2}-\d{4}|(?!000|666|9\d{2})\d{3}[- ]?\d{2}[- ]?\d{4})" + _END,
     "iban": _START + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "card": _START + r"\d(?:[ -]?\d){12,18}" + _END,
-    "address": _START + r"(?:\d{1,6}[A-Za-z]?\s+(?:[A-Za-z0-9.'-]+|(?:\p{Lu}[\p{L}\d.'’-]*\s+){1,2}\p{Lu}[\p{L}\d.'’-]*)\s+(?i:" + _STREETS + ")"
+    "address": _START + r"(?:\d{1,6}[A-Za-z]?\s+(?:[A-Za-z0-9.'-]+|(?:\p{Lu}[\p{L}\d.'’-]*\s+){1,2}\p{Lu}[\p{L}\d.'’-]*)\s+(?i:" + STREETS + ")"
     + r"|\p{Lu}[\p{L}-]{2,40}(?:straße|strasse|weg|platz|allee|gasse) \d{1,4}[a-z]?"
     + r"|\d{1,4},? (?:bis |ter )?(?i:rue|avenue|boulevard|place|chemin|allée|quai|impasse) (?:(?:de |du |des |la |le |les )*(?:l['’]|d['’])?)\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*)?"
     + r"|(?i:calle|avenida|plaza|paseo) (?:de |del |la |las |los |el )*\p{Lu}[\p{L}-]*(?: \p{Lu}[\p{L}-]*)?,? (?:n\.?º ?)?\d{1,4})" + _END,
@@ -172,7 +174,7 @@ class Surrogates:
             range6 = F.regexp_extract(form, "^(fe[89ab]|f[cd]|)", 1)
             ip6 = F.array_join(F.transform(F.split(form, ":"), group), ":")
             ip6 = F.concat(range6, F.substring(ip6, F.char_length(range6) + 1, F.lit(39)))
-            kept = rf"^(?:{_STREETS}|{_ROADS})$"
+            kept = rf"^(?:{STREETS}|{_ROADS})$"
             ending = "(straße|strasse|weg|platz|allee|gasse|)$"
 
             def word(w: Column) -> Column:
