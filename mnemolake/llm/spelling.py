@@ -4,7 +4,9 @@ The vocabulary is a distributed trie, held as a table of edges (node, label, chi
 path, and only nodes that branch or end a word are kept, so an edge's label may be several code points long. A frontier
 of states (word, position, node, edits) is joined with that table level by level: a state without an edit follows its
 own word and branches off at every node by one replaced or one deleted code point; a state with its edit behind it only
-follows. States that reach the end of their word at the end of another word are neighbours.
+follows. States that reach the end of their word at the end of another word are neighbours. A state keeps the tail of its
+word from its position on, and an edge knows how many code points the words behind it have left, at least and at most:
+a state whose tail fits none of them ends at once.
 
 Near the root every word would meet every letter. So words are entered twice, forwards and from the back, and edits are
 made in the second half of the path only: an edit in a word's first half lies in the second half of its reversal. States
@@ -115,14 +117,15 @@ def _half(length: int, back: bool) -> int:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, entry, depth, next): the nodes of each entry's path from its half on; next is null at its end."""
-    names = ["node", "entry", "depth", "next"]
-    node, entry, depth, step = [], [], [], []
+    """(node, entry, depth, left, next): the nodes of each entry's path from its half on; next is null at its end."""
+    names = ["node", "entry", "depth", "left", "next"]
+    node, entry, depth, left, step = [], [], [], [], []
 
     def out() -> pa.RecordBatch:
-        cols = [np.array(node, dtype=np.uint64).view(np.int64), np.array(entry, dtype=np.int64), np.array(depth, dtype=np.int32)]
+        cols = [np.array(node, dtype=np.uint64).view(np.int64), np.array(entry, dtype=np.int64)]
+        cols += [np.array(depth, dtype=np.int32), np.array(left, dtype=np.int32)]
         batch = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(step, pa.int32())], names=names)
-        for x in (node, entry, depth, step):
+        for x in (node, entry, depth, left, step):
             x.clear()
         return batch
 
@@ -134,6 +137,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node.append(h.intdigest())
                 entry.append(k)
                 depth.append(d)
+                left.append(len(path) - d)
                 if d < len(path):
                     step.append(ord(path[d]))
                     h.update(path[d].encode())
@@ -148,94 +152,119 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trie(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The trie's edges and the states to start from.
 
-    Edges: (node, label, child, end, end_n), where ``end`` is the word that ends at the child and end_n its count.
-    States: (word, back, n, position, node, edits).
+    Edges: (node, first, rest, size, child, shortest, longest, end, end_n): the label is ``first`` and ``rest``, of
+    ``size`` code points; paths behind the child have ``shortest`` to ``longest`` more; ``end`` is the word that ends at
+    the child and end_n its count. States: (word, back, n, tail, own, node, edits), where the position is what ``tail``
+    leaves of the word and ``own`` its next code point.
     """
     entries = save(_entered(vocab).withColumn("entry", F.monotonically_increasing_id()), "entries")
     steps = save(
-        entries.select("entry", "path", "back").mapInArrow(_prefixes, "node long, entry long, depth int, next int"), "prefixes"
+        entries.select("entry", "path", "back").mapInArrow(
+            _prefixes, "node long, entry long, depth int, left int, next int"
+        ),
+        "prefixes",
     )
-    ends = F.max(F.col("next").isNull())
     nodes = (
         steps.groupBy("node")
-        .agg(F.count("*").alias("members"), F.min("next").alias("low"), F.max("next").alias("high"), ends.alias("is_end"))
-        .filter("is_end OR low <> high")
-        .select("node", "members")
+        .agg(
+            F.count("*").alias("members"),
+            F.min("next").alias("low"),
+            F.max("next").alias("high"),
+            F.min("left").alias("shortest"),
+            F.max("left").alias("longest"),
+        )
+        .filter("shortest = 0 OR low <> high")
+        .select("node", "members", "shortest", "longest")
     )
     nodes = save(nodes, "nodes")
     marked = attach(steps.select("node", "entry", "depth"), nodes, "node", "members")
-    stops = marked.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("stops"))
-    walked = save(entries.join(stops, "entry"), "stops")  # an entry has at most one stop per code point
+    stop = F.struct("depth", "node", "shortest", "longest")
+    stops = marked.groupBy("entry").agg(F.array_sort(F.collect_list(stop)).alias("stops"))
+    walked = save(entries.join(stops, "entry").filter(F.size("stops") > 1), "stops")  # at most one stop per code point
     discard(steps, nodes, entries)
     legs = F.transform(
         F.slice("stops", 1, F.size("stops") - 1),
         lambda s, i: F.struct(
             s["node"].alias("node"),
-            F.substring(F.col("path"), s["depth"] + 1, F.get("stops", i + 1)["depth"] - s["depth"]).alias("label"),
-            F.get("stops", i + 1)["node"].alias("child"),
+            F.substring(F.col("path"), s["depth"] + 1, F.lit(1)).alias("first"),
+            F.substring(F.col("path"), s["depth"] + 2, F.get("stops", i + 1)["depth"] - s["depth"] - 1).alias("rest"),
+            (F.get("stops", i + 1)["depth"] - s["depth"]).alias("size"),
+            F.get("stops", i + 1).alias("to"),
             (i + 2 == F.size("stops")).alias("last"),
         ),
     )
     edges = (
         walked.select("path", "n", F.explode(legs).alias("e"))
-        .groupBy("e.node", "e.label", "e.child")
+        .groupBy(
+            "e.node", "e.first", "e.rest", "e.size", F.col("e.to.node").alias("child"), "e.to.shortest", "e.to.longest"
+        )
         .agg(
             F.max(F.when(F.col("e.last"), F.col("path"))).alias("end"),
             F.max(F.when(F.col("e.last"), F.col("n"))).alias("end_n"),
         )
     )
-    states = walked.filter(F.size("stops") > 1).select(
+    start = F.col("stops")[0]
+    states = walked.select(
         F.col("path").alias("word"),
         "back",
         "n",
-        F.col("stops")[0]["depth"].alias("position"),
-        F.col("stops")[0]["node"].alias("node"),
+        _from(F.col("path"), start["depth"]).alias("tail"),
+        F.substring(F.col("path"), start["depth"] + 1, F.lit(1)).alias("own"),
+        start["node"].alias("node"),
         F.lit(0).alias("edits"),
     )
     return save(edges, "edges"), save(states, "frontier")
 
 
+def _from(text: Column, position: Column) -> Column:
+    """What follows the first ``position`` code points."""
+    return F.substring(text, position + 1, F.char_length(text))
+
+
 def _met(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every state with the edges of its node. A node has one edge per code point, so hot nodes' edges are few."""
-    sizes = frontier.groupBy("node").agg(F.count("*").alias("size"))
-    total, most = sizes.agg(F.sum("size"), F.max("size")).first()
-    if (most or 0) < HOT_STATES:
-        return frontier.join(edges, "node")
-    # At most HOT_SHARE nodes, each with at most one edge per letter.
-    hot = F.broadcast(sizes.filter(F.greatest(F.lit(HOT_STATES), F.lit(total / HOT_SHARE)) < F.col("size")).select("node"))
-    rest = frontier.join(hot, "node", "left_anti").join(edges, "node")
-    return frontier.join(F.broadcast(edges.join(hot, "node", "left_semi")), "node").unionByName(rest)
+    """Every state with the edges of its node, one with its edit behind it with the edge that its word takes only.
 
+    A node has one edge per code point, so hot nodes' edges are few.
+    """
+    on = (F.col("s.node") == F.col("e.node")) & ((F.col("s.edits") == 0) | (F.col("s.own") == F.col("e.first")))
 
-def _part(text: Column, start: Column, length: Column) -> Column:
-    """``length`` code points after the first ``start`` ones."""
-    return F.substring(text, start + 1, length)
+    def meet(states: DataFrame, ways: DataFrame) -> DataFrame:
+        return states.alias("s").join(ways.alias("e"), on).drop(F.col("e.node"))
+
+    sizes = frontier.groupBy("node").agg(F.count("*").alias("states"))
+    total, most = sizes.agg(F.sum("states"), F.max("states")).first()
+    if (most or 0) < HOT_STATES:
+        return meet(frontier, edges)
+    # At most HOT_SHARE nodes, each with at most one edge per letter.
+    hot = sizes.filter(F.col("states") > F.greatest(F.lit(HOT_STATES), F.lit(total / HOT_SHARE))).select("node")
+    rest = meet(frontier.join(F.broadcast(hot), "node", "left_anti"), edges)
+    return meet(frontier, F.broadcast(edges.join(F.broadcast(hot), "node", "left_semi"))).unionByName(rest)
 
 
 def _advance(met: DataFrame) -> DataFrame:
-    """The states that follow from states met with edges: (word, back, n, position, node, edits, end, end_n)."""
-    word, at, label = F.col("word"), F.col("position"), F.col("label")
-    size, long = F.char_length(label), F.char_length(word)
-    own, first = _part(word, at, F.lit(1)), F.substring(label, 1, 1)
-    fresh = F.col("edits") == 0
-    rest = F.substring(label, F.lit(2), size)
-    follows = _part(word, at, size) == label
+    """The states that follow from states met with edges, those at an end included: with end and end_n."""
+    tail, rest, size = F.col("tail"), F.col("rest"), F.col("size")
+    after = F.substring(tail, F.lit(2), F.char_length(tail))
+    fresh, same = F.col("edits") == 0, F.col("first") == F.col("own")
+    follows = same & F.startswith(after, rest)
     # Of a pair that differs in a code point, the word with the larger one makes the step.
-    replaces = fresh & (first < own) & (_part(word, at + 1, size - 1) == rest)
-    deletes = fresh & (own != _part(word, at + 1, F.lit(1))) & (_part(word, at + 1, size) == label)
+    replaces = fresh & (F.col("first") < F.col("own")) & F.startswith(after, rest)
+    deletes = fresh & ~same & F.startswith(after, F.concat("first", "rest"))
 
     def state(when: Column, used: Column, edits: Column) -> Column:
-        return F.when(when & (at + used <= long), F.struct((at + used).alias("position"), edits.alias("edits")))
+        left = F.char_length(tail) - used
+        fits = left.between(F.col("shortest"), F.col("longest")) | (edits == 0)
+        return F.when(when & fits, F.struct(used.alias("used"), edits.alias("edits")))
 
-    moves = F.array_compact(
-        F.array(
-            state(follows, size, F.col("edits")),
-            state(replaces, size, F.lit(1)),
-            state(deletes, size + 1, F.lit(1)),
-        )
-    )
-    moved = met.select("word", "back", "n", F.explode(moves).alias("m"), F.col("child").alias("node"), "end", "end_n")
-    return moved.select("word", "back", "n", "m.position", "node", "m.edits", "end", "end_n")
+    # Following and replacing exclude each other; only a deletion may come beside a replacement.
+    one = state(follows | replaces, size, F.when(same, F.col("edits")).otherwise(1))
+    moves = F.array_compact(F.array(one, state(deletes, size + 1, F.lit(1))))
+    moved = met.select("word", "back", "n", "tail", F.explode(moves).alias("m"), "child", "end", "end_n")
+    left = _from(tail, F.col("m.used"))
+    return moved.select(
+        "word", "back", "n", left.alias("tail"), F.substring(left, 1, 1).alias("own"), F.col("child").alias("node"),
+        "m.edits", "end", "end_n",
+    ).filter("tail <> '' OR edits = 1")
 
 
 def near_words(vocab: DataFrame) -> DataFrame:
@@ -255,9 +284,9 @@ def near_words(vocab: DataFrame) -> DataFrame:
         after = save(_advance(_met(frontier, edges)), "states")
         text = F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word"))
         other = F.when(F.col("back"), F.reverse("end")).otherwise(F.col("end"))
-        done = after.filter((F.col("position") == F.char_length("word")) & (F.col("edits") == 1) & F.col("end").isNotNull())
+        done = after.filter("tail = '' AND end IS NOT NULL")
         found.append(done.select(text.alias("word"), "n", other.alias("near"), F.col("end_n").alias("near_n")))
-        frontier = after.filter(F.col("position") < F.char_length("word")).drop("end", "end_n")
+        frontier = after.filter("tail <> ''").drop("end", "end_n")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
