@@ -19,7 +19,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -234,23 +234,26 @@ def write(docs: DataFrame, folder: str, path: str, id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         end = np.array([END_ID], dtype=c.dtype).tobytes()
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         raws: list[bytes] = []
         size = 0
 
         def segment() -> pa.RecordBatch:
+            nonlocal before
             ids = np.frombuffer(b"".join(raws), dtype=c.dtype)
             lengths = [len(r) // c.dtype.itemsize for r in raws]
             data = [
                 pa.array([part], pa.int32()),
                 pa.array([number], pa.int32()),
+                pa.array([before], pa.int64()),
                 pa.array([len(ids)], pa.int64()),
                 pa.array([keys], pa.list_(key_type)),
                 pa.array([lengths], pa.list_(pa.int64())),
                 pa.array([encode_segment(ids)], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(data, names=["part", "segment", "n_tokens", "ids", "lengths", "payload"])
+            before += len(ids)
+            return pa.RecordBatch.from_arrays(data, names=["part", "segment", "before", "n_tokens", "ids", "lengths", "payload"])
 
         for batch in batches:
             for first, texts in chunks(batch.column(1)):
@@ -266,15 +269,15 @@ def write(docs: DataFrame, folder: str, path: str, id: str = "doc_id", text: str
         if raws:
             yield segment()
 
-    schema = f"part int, segment int, n_tokens long, ids array<{kind.simpleString()}>, lengths array<long>, payload binary"
+    schema = f"part int, segment int, before long, n_tokens long, ids array<{kind.simpleString()}>, lengths array<long>, payload binary"
     ordered.mapInArrow(run, schema).write.parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(id, start, n_tokens, ids): the documents of the files in their order, ids as little-endian 32-bit integers.
 
-    ``start`` counts the ids of all documents before; the totals per part, one row for each task that wrote, are the
-    only rows that come to the driver.
+    ``start`` counts the ids of all documents before. A row knows the ids before it in its part, so segments are decoded
+    where they are read; the totals per part, one row for each task that wrote, are the only rows that come to the driver.
     """
     table = spark.read.parquet(folder)
     totals = table.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
@@ -282,34 +285,25 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     bases = spark.createDataFrame([(r.part, b) for r, b in zip(totals, before, strict=False)], "part int, base long")
     key = table.schema["ids"].dataType.elementType
     key_type = to_arrow_type(key)
-    sizes = table.select("part", "segment", "n_tokens")
-    # A part is what one task wrote: a handful of segments.
-    earlier = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sizes.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
-    starts = ahead.join(F.broadcast(bases), "part").select("part", "segment", (F.col("base") + F.col("ahead")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, number, keys, lengths, payload = (batch.column(k)[i].as_py() for k in range(5))
+                start, keys, lengths, payload = (batch.column(k)[i].as_py() for k in range(4))
                 ids = decode_segment(payload).astype("<u4")
                 ends = np.cumsum(lengths)
                 for k in range(0, len(keys), 2000):
                     some = range(k, min(k + 2000, len(keys)))
                     data = [
-                        pa.array([part] * len(some), pa.int32()),
-                        pa.array([number] * len(some), pa.int32()),
                         pa.array([keys[j] for j in some], key_type),
-                        pa.array([int(ends[j]) - lengths[j] for j in some], pa.int64()),
+                        pa.array([start + int(ends[j]) - lengths[j] for j in some], pa.int64()),
                         pa.array([lengths[j] for j in some], pa.int64()),
                         pa.array([ids[ends[j] - lengths[j] : ends[j]].tobytes() for j in some], pa.binary()),
                     ]
-                    yield pa.RecordBatch.from_arrays(data, names=["part", "segment", "id", "within", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays(data, names=["id", "start", "n_tokens", "ids"])
 
-    schema = f"part int, segment int, id {key.simpleString()}, within long, n_tokens long, ids binary"
-    found = table.select("part", "segment", "ids", "lengths", "payload").mapInArrow(run, schema)
-    placed = found.join(starts, ["part", "segment"])
-    return placed.select("id", (F.col("start") + F.col("within")).alias("start"), "n_tokens", "ids")
+    placed = table.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("start"), "ids", "lengths", "payload")
+    return placed.mapInArrow(run, f"id {key.simpleString()}, start long, n_tokens long, ids binary")
 
 
 def rans_files(docs: DataFrame, path: str) -> DataFrame:
