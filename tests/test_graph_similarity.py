@@ -98,6 +98,34 @@ def test_greedy_matching_is_the_sequential_one(spark):
     assert {r["a"]: r["b"] for r in similarity.greedy_one_to_one(df).collect()} == want
 
 
+def test_lsh_links_against_the_exact_join(spark):
+    """Families whose buckets are headed by sets that many members don't resemble."""
+    import random
+
+    rng = random.Random(17)
+    rows = []
+    for f in range(12):
+        base = [f"f{f}w{i}" for i in range(40)]
+        for _ in range(40):
+            t = list(base)
+            for _ in range(rng.randint(0, 7)):
+                t[rng.randrange(40)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), sorted(set(t))))
+    reps = spark.createDataFrame(rows, "rep long, words array<string>")
+    exact = similarity.jaccard_pairs(reps, 0.85).select("a", "b").cache()
+    links = similarity.lsh_links(reps, 0.85).select("a", "b").cache()
+    assert links.join(exact, ["a", "b"], "left_anti").count() == 0
+    members = {x for r in exact.collect() for x in r}
+    found = {x for r in links.collect() for x in r}
+    assert len(found) >= 0.95 * len(members) and links.count() < exact.count()
+    whole = {r["node"]: r["component"] for r in graph.connected_components(exact).collect()}
+    own = {r["node"]: r["component"] for r in graph.connected_components(links).collect()}
+    apart = sum(own.get(n) != own.get(c) for n, c in whole.items())
+    assert apart <= 0.15 * len(whole)
+    nothing = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "rep long, words array<string>")
+    assert similarity.lsh_links(nothing, 0.85).count() == 0
+
+
 def test_lsh_links_find_near_copies(spark):
     base = " ".join(f"word{i}" for i in range(80))
     near = base.replace("word7 ", "other ")
