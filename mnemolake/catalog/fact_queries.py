@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import facts as fx
 from ..functions import text as tx
 from ..operators import beliefs, conflicts, evidence, splits, temporal
+from ..operators.conflict_index import ConflictIndex
+from ..session import scratch_path
 from . import query
 from .text_queries import sql_lemma, sql_re
 from .views import NOW, ORDER_FACTS_SQL, epoch, order_facts, table
@@ -357,3 +359,69 @@ def contradiction_polarity(spark, sf):
     text = F.concat("subject", F.when(F.col("quality") == 0, " not ").otherwise(" "), "predicate", F.lit(" "), "object")
     claims = t.select((F.col("memory_id") * 1_000_000_000 + F.col("seq")).alias("memory_id"), text.alias("content"))
     return conflicts.polarity_conflicts(claims)
+
+
+def _offers(spark, sf):
+    """Statements of customers (the store) and of suppliers (the batch), with the concepts nation and goods."""
+    goods = F.array(*[F.lit(g) for g in GOODS])
+
+    def rows(name: str, key: str, nation: str, balance: str, which):
+        people = table(spark, sf, name).select(F.col(key).alias("memory_id"), F.col(nation).alias("nation"), F.col(balance).alias("bal"), which.alias("goods"))
+        pet = F.element_at(F.array(*[F.lit(p) for p in PETS]), (F.col("memory_id") % len(PETS) + 1).cast("int"))
+        text = F.concat(
+            F.lit("Buyers in nation"), F.col("nation").cast("string"), F.when(F.col("bal") < 0, " do not like ").otherwise(" like "),
+            F.col("goods"), F.lit(" goods and "), pet, F.lit(". Score: "), F.round(F.abs("bal") / 100).cast("int").cast("string"),
+        )
+        return people.select(
+            "memory_id", text.alias("content"), (NOW - (F.col("memory_id") * 37 % 400) * 7200.0).alias("created_at"), "nation", "goods"
+        )
+
+    store = rows("customer", "c_custkey", "c_nationkey", "c_acctbal", F.lower("c_mktsegment"))
+    batch = rows("supplier", "s_suppkey", "s_nationkey", "s_acctbal", F.element_at(goods, (F.col("s_suppkey") % len(GOODS) + 1).cast("int")))
+
+    def bridge(df):
+        return df.select("memory_id", F.explode(F.array(F.concat(F.lit("nation "), F.col("nation").cast("string")), "goods")).alias("concept"))
+
+    batch = batch.withColumn("memory_id", F.col("memory_id") + BATCH_IDS)
+    return store, bridge(store), batch, bridge(batch)
+
+
+GOODS = ["automobile", "building", "furniture", "household", "machinery"]
+PETS = ["a cat", "one dog", "a bird or a fish", "nothing else"]
+BATCH_IDS = 10_000_000_000
+
+
+def _offer_sql(name: str, key: str, nation: str, balance: str, goods: str, shift: int) -> str:
+    return f"""SELECT {key} + {shift} AS id, {nation} AS nation, {goods} AS goods, round(abs({balance}) / 100)::INT::DOUBLE AS number,
+      CASE {key} % 4 WHEN 0 THEN 'cat' WHEN 1 THEN 'dog' WHEN 2 THEN 'bird fish' END AS members, {NOW} - ({key} * 37 % 400) * 7200.0::DOUBLE AS t,
+      'Buyers in nation' || {nation} || CASE WHEN {balance} < 0 THEN ' do not like ' ELSE ' like ' END || {goods} || ' goods and '
+        || CASE {key} % 4 WHEN 0 THEN 'a cat' WHEN 1 THEN 'one dog' WHEN 2 THEN 'a bird or a fish' ELSE 'nothing else' END
+        || '. Score: ' || round(abs({balance}) / 100)::INT AS text FROM {name}"""
+
+
+@query(
+    "check_new_batch",
+    f"""WITH m AS ({_offer_sql('customer', 'c_custkey', 'c_nationkey', 'c_acctbal', 'lower(c_mktsegment)', 0)}
+      UNION ALL {_offer_sql('supplier', 's_suppkey', 's_nationkey', 's_acctbal', f"{GOODS}[s_suppkey % {len(GOODS)} + 1]", BATCH_IDS)}),
+    cl AS (SELECT id, regexp_extract_all(trim(regexp_replace(regexp_replace({_SIG_CLEAN}, '[^a-z0-9\\- ]+', ' ', 'g'), '\\s+', ' ', 'g')), '[a-z0-9\\-]+') AS ws FROM m),
+    sg AS (SELECT id, list_distinct(list_transform(list_filter(ws, lambda w: NOT list_contains({[*fx.SIGNATURE_SKIP, *fx.NEGATION_TOKENS]}, w)), lambda w: {_STEM_SQL})) AS words,
+       list_has_any(ws, {fx.NEGATION_TOKENS}) AS negated FROM cl),
+    a AS (SELECT * FROM m JOIN sg USING (id)),
+    p AS (SELECT x.id AS new_id, y.id AS rival_id, abs(x.t - y.t) AS age, abs(x.number - y.number) AS d, greatest(x.number, y.number, 1.0) AS base,
+       x.members <> y.members AS excluded, x.negated <> y.negated AS opposed, len(list_intersect(x.words, y.words)) AS common, len(x.words) + len(y.words) AS total
+       FROM a x JOIN a y ON x.id >= {BATCH_IDS} AND y.id < {BATCH_IDS} AND (x.nation = y.nation OR x.goods = y.goods)),
+    c AS (SELECT new_id, rival_id, age, 'numeric_range' AS kind, greatest(0.4, least(1.0, 0.5 + d / (base + d))) AS confidence, d FROM p WHERE d > 0
+      UNION ALL SELECT new_id, rival_id, age, 'mutual_exclusion', 0.95, 0 FROM p WHERE excluded
+      UNION ALL SELECT new_id, rival_id, age, 'polarity', 0.55 + 0.35 * (common / (total - common)), 0 FROM p WHERE opposed AND common / (total - common) >= 0.5),
+    f AS (SELECT * FROM c UNION ALL SELECT new_id, rival_id, age, 'temporal_conflict', confidence / (1 + age / 86400), 0 FROM c WHERE confidence / (1 + age / 86400) >= 0.1)
+    SELECT new_id, kind, rival_id, round(confidence, 6) AS confidence FROM f
+    QUALIFY row_number() OVER (PARTITION BY new_id, kind ORDER BY confidence DESC, d DESC, rival_id) = 1""",
+)
+def check_new_batch(spark, sf):
+    """What suppliers state, checked against a stored index of what customers stated, written in two steps."""
+    store, bridge, batch, batch_bridge = _offers(spark, sf)
+    index = ConflictIndex(spark, scratch_path(spark, "conflicts"))
+    early = F.col("created_at") < NOW - 15 * 86400.0
+    index.write(store.filter(early), bridge)
+    index.append(store.filter(~early), bridge)
+    return index.check(batch, batch_bridge)

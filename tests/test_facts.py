@@ -137,3 +137,71 @@ def test_evidence(spark):
     assert rows["tea is good"]["confidence"] == 0.9
     assert rows["tea not is good"]["confidence"] == 0.8
     assert evidence.query_triples(t, subject="the Tea").count() == 3
+
+
+def _conflict_rows(spark, rows):
+    """(memory_id, content, created_at, concepts) as memories and bridge."""
+    memories = spark.createDataFrame([r[:3] for r in rows], "memory_id long, content string, created_at double")
+    bridge = spark.createDataFrame([(r[0], c) for r in rows for c in r[3]], "memory_id long, concept string")
+    return memories, bridge
+
+
+def test_conflict_index_kinds(spark, tmp_path):
+    from mnemolake.operators.conflict_index import ConflictIndex
+
+    day = 86400.0
+    index = ConflictIndex(spark, str(tmp_path / "index"))
+    index.write(*_conflict_rows(spark, [
+        (1, "age: 30", 0.0, ["p", "q"]), (2, "age: 80", 20 * day, ["p"]), (3, "He is vegan", 19.5 * day, ["p"]),
+        (4, "I like spicy food", 20 * day, ["p"]), (5, None, 0.0, ["p"]), (6, "age: 99", None, ["p"]),
+    ]))
+    # Words that the stored term order does not know, and a text that is stored already.
+    index.append(*_conflict_rows(spark, [(7, "Zebras adore turnips", 20 * day, ["p"]), (8, "I like spicy food", 20 * day, ["p", "p"])]))
+    batch = _conflict_rows(spark, [
+        (11, "age: 40", 20 * day, ["p", "q"]), (12, "She is vegetarian", 20 * day, ["p"]), (13, "I do not like spicy food", 20 * day, ["p"]),
+        (14, "Zebras never adore turnips", 20 * day, ["p"]), (15, "I do not like spicy food", 20 * day, ["other"]),
+        (16, "", 20 * day, ["p"]), (17, "age: 40", 60 * day, ["p"]), (18, "vegan", 20 * day, ["p"]),
+    ])
+    got = {(r["new_id"], r["kind"]): (r["rival_id"], r["confidence"]) for r in index.check(*batch).collect()}
+    assert got == {
+        (11, "numeric_range"): (2, 0.833333), (11, "temporal_conflict"): (2, 0.833333),
+        (12, "mutual_exclusion"): (3, 0.95), (12, "temporal_conflict"): (3, round(0.95 / 1.5, 6)),
+        (13, "polarity"): (4, 0.9), (13, "temporal_conflict"): (4, 0.9),
+        (14, "polarity"): (7, 0.9), (14, "temporal_conflict"): (7, 0.9),
+        (17, "numeric_range"): (2, 0.833333),
+    }
+    assert index.check(*_conflict_rows(spark, [])).isEmpty()
+    empty = ConflictIndex(spark, str(tmp_path / "empty"))
+    empty.write(*_conflict_rows(spark, []))
+    assert empty.check(*batch).isEmpty()
+
+
+def test_conflict_index_against_pairs(spark, tmp_path):
+    """Random short statements, three quarters of them under one concept, against all pairs."""
+    from mnemolake.operators.conflict_index import ConflictIndex
+
+    rnd = random.Random(5)
+    words = "tea rice jazz rain wool corn".split()
+
+    def rows(start, n):
+        for i in range(start, start + n):
+            picked = rnd.sample(words, rnd.randint(1, 4))
+            yield i, ("never " if rnd.random() < 0.4 else "") + " ".join(picked), rnd.randint(0, 40) * 21600.0, ["hot" if rnd.random() < 0.75 else "cold"]
+
+    old, new = list(rows(0, 60)), list(rows(100, 25))
+    index = ConflictIndex(spark, str(tmp_path / "index"))
+    index.write(*_conflict_rows(spark, old[:20]))
+    index.append(*_conflict_rows(spark, old[20:]))
+    got = {(r["new_id"], r["kind"]): (r["rival_id"], r["confidence"]) for r in index.check(*_conflict_rows(spark, new)).collect()}
+    want = {}
+    for i, a, ta, ca in new:
+        for j, b, tb, cb in old:
+            x, y = set(a.split()) - {"never"}, set(b.split()) - {"never"}
+            overlap = len(x & y) / len(x | y)
+            if ca != cb or a.startswith("never") == b.startswith("never") or overlap < 0.5:
+                continue
+            base = 0.55 + 0.35 * overlap
+            for kind, c in (("polarity", base), ("temporal_conflict", base / (1 + abs(ta - tb) / 86400))):
+                if c >= 0.1:
+                    want.setdefault((i, kind), []).append((-c, j))
+    assert got == {k: (min(v)[1], round(-min(v)[0], 6)) for k, v in want.items()}
