@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts as fx
 from ..functions import text as tx
-from ..operators import beliefs, conflicts, evidence, splits, temporal
+from ..operators import beliefs, conflicts, evidence, references, splits, temporal
 from ..operators.conflict_index import ConflictIndex
 from ..session import scratch_path
 from . import query
@@ -425,3 +425,43 @@ def check_new_batch(spark, sf):
     index.write(store.filter(early), bridge)
     index.append(store.filter(~early), bridge)
     return index.check(batch, batch_bridge)
+
+
+# ---- pronouns --------------------------------------------------------------
+
+
+def _name_label_sql(raw: str) -> tuple[str, str]:
+    """Bare form and label of a name, its capitals kept."""
+    bare, label = _canon_sql(raw)
+    return bare, label.replace("lambda x: lower(regexp_replace(", "lambda x: (regexp_replace(").replace(
+        f"lambda x: {sql_lemma('x')}", f"lambda x: CASE WHEN regexp_matches(x, '^[A-Z][a-z]') THEN x ELSE list_transform([lower(x)], lambda y: {sql_lemma('y')})[1] END"
+    )
+
+
+_BARE_NAME_SQL, _NAME_LABEL_SQL = _name_label_sql("raw")
+_SPOKEN = [*references.PERSON_PRONOUNS, references.THING_PRONOUN]
+REFERENTS_SQL = f"""
+tx AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{C}}\\p{{M}}]', '_', 'g') AS text FROM conversations),
+nm AS (SELECT conv_id, turn, generate_subscripts(n, 1) AS i, unnest(n) AS raw FROM (SELECT conv_id, turn, regexp_extract_all(text, {sql_re(references.NAME)}) AS n FROM tx)),
+lb AS (SELECT *, {_NAME_LABEL_SQL} AS label FROM (SELECT *, {_BARE_NAME_SQL} AS bare FROM nm WHERE NOT list_contains({references.NEVER_NAMES}, lower(raw)))),
+ps AS (SELECT conv_id, turn, i, label, string_split(lower(label), ' ') AS ws,
+   CASE WHEN (label = lower(label) AND contains(label, ' ')) OR list_has_any(ws, {references.THING_WORDS}) THEN false
+     WHEN list_contains({references.PERSON_WORDS}, lower(label)) THEN true WHEN list_has_any(ws, {references.PERSON_WORDS}) THEN false
+     ELSE regexp_matches(raw, '^[A-Z][a-z]') AND ws[1] NOT IN ('the', 'a', 'an') AND length(label) > 1 END AS person FROM lb WHERE label <> ''),
+pt AS (SELECT conv_id, turn, max_by(label, i) FILTER (person) AS person, max_by(label, i) FILTER (NOT person) AS thing FROM ps GROUP BY ALL),
+cr AS (SELECT conv_id, turn, text, last_value(person IGNORE NULLS) OVER w AS person, last_value(thing IGNORE NULLS) OVER w AS thing
+   FROM tx LEFT JOIN pt USING (conv_id, turn) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+rf AS (SELECT conv_id, turn, pronoun, CASE pronoun WHEN 'it' THEN thing ELSE person END AS referent
+   FROM cr, (SELECT unnest({_SPOKEN}) AS pronoun) WHERE regexp_matches(lower(text), '\\b' || pronoun || '\\b') AND referent IS NOT NULL)"""
+
+
+@query("pronoun_referents", f"WITH {REFERENTS_SQL} SELECT conv_id, turn, pronoun, referent FROM rf")
+def pronoun_referents(spark, sf):
+    """What the pronouns of every turn refer to, by the names in the turns of its conversation so far."""
+    return references.referents(table(spark, sf, "conversations"), "conv_id", "turn")
+
+
+@query("pronouns_resolved", f"WITH {REFERENTS_SQL} SELECT conv_id, pronoun, max_by(referent, turn) AS referent FROM rf GROUP BY ALL")
+def pronouns_resolved(spark, sf):
+    """The referent of each pronoun at the end of its conversation."""
+    return references.resolved(references.referents(table(spark, sf, "conversations"), "conv_id", "turn"), "conv_id", "turn")

@@ -124,15 +124,22 @@ def _lemma_of(w: Column) -> Column:
     )
 
 
-def canonical(text: Column, extra_aliases: dict[str, str] | None = None) -> Column:
-    """Canonical entity label: no article, alias lookup, no 's, lemma per token."""
+def canonical(text: Column, extra_aliases: dict[str, str] | None = None, keep_names: bool = False) -> Column:
+    """Canonical entity label: no article, alias lookup, no 's, lemma per token.
+
+    With ``keep_names``, tokens written like a name (a capital, then a small letter) stay as they are.
+    """
+
+    def token(w: Column) -> Column:
+        return F.when(w.rlike("^[A-Z][a-z]"), w).otherwise(_lemma_of(F.lower(w))) if keep_names else _lemma_of(w)
+
     bare = F.regexp_replace(squeeze(text), "^[\"'`]+|[\"'`]+$", "")
     bare = squeeze(F.regexp_replace(bare, r"(?i)^(?:a|an|the)\s+", ""))
 
     def label(b: Column) -> Column:
         unowned = F.regexp_replace(b, "'s$", "")
-        words = F.transform(F.split(F.trim(unowned), " "), lambda w: _strip_marks(F.lower(w)))
-        words = F.transform(F.filter(words, lambda w: w != ""), _lemma_of)
+        words = F.transform(F.split(F.trim(unowned), " "), lambda w: _strip_marks(w if keep_names else F.lower(w)))
+        words = F.transform(F.filter(words, lambda w: w != ""), token)
         plain = squeeze(F.array_join(words, " "))
         known = F.try_element_at(alias_map(extra_aliases), F.lower(b))
         return F.when(F.length(known) > 0, known).otherwise(plain)

@@ -111,3 +111,33 @@ def test_redaction_changes_the_detected_span_only(spark):
     card = "4111 1111 1111 1111"
     got = one(spark, f"x-{card}-9 and {card}.", rd.redact_pii)
     assert got == f"x-{card}-9 and [REDACTED-CREDIT_CARD]."
+
+
+def _refs(spark, rows, **options):
+    from mnemolake.operators import references
+
+    texts = spark.createDataFrame(rows, "g long, p long, text string")
+    return sorted((r["g"], r["p"], r["pronoun"], r["referent"]) for r in references.referents(texts, "g", "p", **options).collect())
+
+
+def test_pronouns(spark):
+    from mnemolake.operators import references
+
+    rows = [
+        (1, 0, "Alice joined Orbit yesterday."), (1, 1, "She reviewed it."), (1, 2, None), (1, 3, ""), (1, 4, "The New York office heard it."),
+        (1, 5, "Bob Lee's plan: he and Alice met."), (1, 6, "They left."), (2, 0, "he said it."), (2, 1, "Ändern hilft, it is so"),
+        (None, 0, "Carol sings, she does"), (3, None, "Dan sings, he does"), (4, 0, "The customer called."),
+    ]
+    got = _refs(spark, rows, user_name="Riley", things=["orbit"])
+    assert got == [
+        (1, 1, "it", "Orbit"), (1, 1, "she", "Alice"), (1, 4, "it", "new york"), (1, 5, "he", "Alice"), (1, 6, "they", "Alice"),
+        (4, 0, "the customer", "Riley"),
+    ]
+    found = references.referents(spark.createDataFrame([], "g long, p long, text string"), "g", "p")
+    assert found.isEmpty() and references.resolved(found, "g", "p").isEmpty()
+
+
+def test_pronouns_over_slices(spark):
+    """A group longer than one slice keeps its names, and the newest one wins."""
+    rows = [(1, 0, "Alice came."), (1, 5000, "she left."), (1, 5001, "Bea came."), (1, 9000, "she left. Cleo stayed"), (1, 9001, "she slept")]
+    assert _refs(spark, rows) == [(1, 5000, "she", "Alice"), (1, 9000, "she", "Cleo"), (1, 9001, "she", "Cleo")]
