@@ -13,7 +13,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 MODULES = ["text_queries", "retrieval_queries", "concept_queries", "fact_queries", "lifecycle_queries",
-           "similarity_queries", "store_queries", "plan_queries", "stream_queries", "chain_queries", "portable_queries", "keeping_queries"]
+           "similarity_queries", "store_queries", "plan_queries", "stream_queries", "chain_queries", "portable_queries", "keeping_queries", "recall_queries"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -134,9 +134,9 @@ VISIBLE_SQL = "(NOT sensitive AND (scope = 'public' OR (scope = 'shared' AND (sh
 EFF_SQL = f"strength * pow(0.5, ({NOW} - last_accessed) / 604800.0) * (1 + 0.1 * ln(1 + access_count))"
 
 
-@query(
-    "recall_classic",
-    f"""WITH {BM25_SQL}, {BRIDGE_SQL}, {ITEM_CONCEPTS_SQL},
+#: The blend up to ``z``, the 20 best rows of each query with their final scores.
+RECALL_SQL = f"""
+    {BM25_SQL}, {BRIDGE_SQL}, {ITEM_CONCEPTS_SQL},
     m AS ({MEMORIES_SQL}),
     rows_ AS (SELECT * FROM m WHERE {VISIBLE_SQL}),
     tot AS (SELECT count(*) AS t FROM rows_),
@@ -156,14 +156,23 @@ EFF_SQL = f"strength * pow(0.5, ({NOW} - last_accessed) / 604800.0) * (1 + 0.1 *
     a AS (SELECT *, first_value(episode) OVER (PARTITION BY query_id ORDER BY place) AS anchor,
         first_value(created_at) OVER (PARTITION BY query_id ORDER BY place) AS anchor_at,
         sum(CASE WHEN place <= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, episode) - CASE WHEN place <= 10 THEN 1 ELSE 0 END AS mates FROM e),
-    z AS (SELECT query_id, memory_id, lexi, cn, temporal,
+    z AS (SELECT query_id, memory_id, created_at, lexi, cn, temporal,
        round((s + CASE WHEN episode = anchor THEN 0.10 ELSE 0 END) * pow(1.05, mates) * CASE WHEN abs(created_at - anchor_at) <= 3600 THEN 1.05 ELSE 1 END
-         * CASE memory_level WHEN 'pattern' THEN 1.3 ELSE 1.0 END, 6) AS score FROM a)
+         * CASE memory_level WHEN 'pattern' THEN 1.3 ELSE 1.0 END, 6) AS score FROM a)"""
+
+
+@query(
+    "recall_classic",
+    f"""WITH {RECALL_SQL}
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank, memory_id, score,
        round(lexi, 6) AS lexical, round(cn, 6) AS concept, round(temporal, 6) AS temporal FROM z QUALIFY rank <= 10""",
 )
 def recall_classic(spark, sf):
     """Full blend under scope 'shared' for the groups fr and en."""
+    return blended(spark, sf)
+
+
+def blended(spark, sf, **options):
     mem = memories(spark, sf)
     source_number = F.regexp_extract("source", r"(\d+)", 1).cast("long")
     episodes = table(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), source_number.alias("episode_id"))
@@ -177,6 +186,7 @@ def recall_classic(spark, sf):
         visible=access.visible("shared", ["fr", "en"]),
         min_strength=0.0,
         episodes=episodes,
+        **options,
     )
     return ranked.select(
         "query_id",

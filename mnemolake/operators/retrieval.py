@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as sc
 from ..functions import text as tx
+from ..functions.timeparse import temporal_mode
 from ..session import cut_lineage, top_per_group
+from . import temporal as tm
 from .index import corpus_stats, index_stats, lengths, read_postings, term_sets, tokenized
 
 
@@ -127,6 +129,8 @@ def recall(
     conflicted: DataFrame | None = None,
     exclude_conflicted: bool = False,
     graph_scores: DataFrame | None = None,
+    temporal: str | None = None,
+    fact_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Blended ranking of a query batch, without side effects.
 
@@ -137,14 +141,17 @@ def recall(
     * ``vectors``: (query_id, memory_id, cosine), already top ``5 x limit``.
     * ``conflicted``: (memory_id); penalised, or dropped before the limit.
     * ``graph_scores``: (query_id, memory_id, score) replaces the lexical stage.
+    * ``temporal``: all, latest, as_of:<moment>, during:<start>:<end>, a month or a moment; applied to the ``2 x limit`` best
+      rows of a query before the limit. ``fact_keys`` (memory_id, key) tell which rows state the same fact.
 
     Reinforcement is a separate job: see ``lifecycle.access_delta``.
     """
     live = ~F.coalesce(F.col("consolidated"), F.lit(False))
     allowed = live if visible is None else live & visible
     rows = memories.filter(allowed).select(
-        "memory_id", "strength", "access_count", "last_accessed", "created_at", "memory_level"
-    )
+        "memory_id", "strength", "access_count", "last_accessed", "created_at", "memory_level",
+        tm.start_of(memories).alias("_start"), tm.end_of(memories).alias("_end"),
+    )
     graph_mode = graph_scores is not None
     if graph_mode:
         scored = graph_scores
@@ -239,6 +246,8 @@ def recall(
     level = F.when(F.col("memory_level") == "pattern", 1.3).when(F.col("memory_level") == "profile", 1.5)
     final = F.col("score") * F.col("boost") * F.coalesce(level, F.lit(1.0))
     cand = cand.withColumn("score", F.round(final, 6))
+    if temporal is not None:
+        cand = tm.in_mode(cut_lineage(cand), temporal_mode(temporal, now), fact_keys, bridge)
     return top_per_group(cand, ["query_id"], order, limit).select(
         "query_id", "rank", "memory_id", "score", "lexical", "cn", "emb", "temporal", "heat", "episode"
     )

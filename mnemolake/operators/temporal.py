@@ -129,6 +129,62 @@ def latest_by_facts_or_concepts(rows: DataFrame, fact_keys: DataFrame, concepts:
     return latest_facts(keyed, fact_keys).unionByName(latest_similar(plain, concepts, threshold))
 
 
+def latest_ranked(ranked: DataFrame, fact_keys: DataFrame | None, concepts: DataFrame) -> DataFrame:
+    """Latest facts within each query's short ranking; the other rows go.
+
+    ``ranked`` (query_id, memory_id, _start and any other columns) holds few rows per query, as after a candidate cut, so
+    the sequential pass is a fold over one array per query. Newest first (later id on ties), a row with fact keys goes if it
+    shares one with a kept row; a row without goes if its concepts overlap those of a kept row by half or more (Jaccard);
+    a row with neither stays. The two kinds don't compete.
+    """
+    ids = ranked.select("memory_id").distinct()
+
+    def sets(rows: DataFrame | None, col: str) -> DataFrame:
+        # Bounded by what one memory's text holds.
+        own = rows.select("memory_id", F.col(col).alias("_x")).join(ids, "memory_id", "left_semi") if rows is not None else ids.select("memory_id", F.lit(None).cast("string").alias("_x"))
+        return own.groupBy("memory_id").agg(F.collect_set("_x").alias(f"_{col}s"))
+
+    none = F.array().cast("array<string>")
+    held = ranked.select("query_id", "memory_id", "_start").join(sets(fact_keys, "key"), "memory_id", "left").join(sets(concepts, "concept"), "memory_id", "left")
+    row = F.struct("_start", "memory_id", F.coalesce("_keys", none).alias("keys"), F.coalesce("_concepts", none).alias("concepts"))
+    lists = held.groupBy("query_id").agg(F.sort_array(F.collect_list(row), asc=False).alias("rows"))
+    first = F.struct(
+        F.array().cast(f"array<{ranked.schema['memory_id'].dataType.simpleString()}>").alias("kept"),
+        none.alias("keys"), F.array().cast("array<array<string>>").alias("seen"),
+    )
+
+    def step(acc: Column, r: Column) -> Column:
+        keyed = F.size(r["keys"]) > 0
+        alike = F.exists(acc["seen"], lambda s: F.size(F.array_intersect(s, r["concepts"])) / F.size(F.array_union(s, r["concepts"])) >= 0.5)
+        keep = F.when(keyed, ~F.arrays_overlap(acc["keys"], r["keys"])).otherwise(~alike)
+        marks = keep & ~keyed & (F.size(r["concepts"]) > 0)
+        return F.struct(
+            F.when(keep, F.concat(acc["kept"], F.array(r["memory_id"]))).otherwise(acc["kept"]).alias("kept"),
+            F.when(keep & keyed, F.concat(acc["keys"], r["keys"])).otherwise(acc["keys"]).alias("keys"),
+            F.when(marks, F.concat(acc["seen"], F.array(r["concepts"]))).otherwise(acc["seen"]).alias("seen"),
+        )
+
+    kept = lists.select("query_id", F.explode(F.aggregate("rows", first, step)["kept"]).alias("memory_id"))
+    return ranked.join(kept, ["query_id", "memory_id"], "left_semi")
+
+
+def in_mode(
+    ranked: DataFrame, mode: tuple[str, float | None, float | None], fact_keys: DataFrame | None, concepts: DataFrame
+) -> DataFrame:
+    """A short ranking (query_id, memory_id, created_at, _start, _end, ...) under a mode of ``timeparse.temporal_mode``."""
+    kind, t0, t1 = mode
+    if kind == "as_of" and t0 is not None:
+        return latest_ranked(ranked.filter(F.col("_start") <= t0), fact_keys, concepts)
+    if kind == "latest":
+        return latest_ranked(ranked, fact_keys, concepts)
+    if kind == "during":
+        low, high = min(t0, t1), max(t0, t1)
+        return ranked.filter((F.col("_start") < high) & (F.col("_end") > low))
+    if kind == "month":
+        return ranked.filter((F.col("created_at") >= t0) & (F.col("created_at") < t1))
+    return ranked
+
+
 def ordered_chains(rows: DataFrame, key: str, time: str = "created_at", slice_seconds: float = 7 * 86400.0) -> DataFrame:
     """Chains of rows of one key, each superseding the one before it in (time, memory_id) order.
 

@@ -205,3 +205,37 @@ def test_conflict_index_against_pairs(spark, tmp_path):
                 if c >= 0.1:
                     want.setdefault((i, kind), []).append((-c, j))
     assert got == {k: (min(v)[1], round(-min(v)[0], 6)) for k, v in want.items()}
+
+
+def test_latest_ranked_against_the_sequential_pass(spark):
+    rnd = random.Random(11)
+    ranked, keys, concepts = [], {}, {}
+    for q in range(12):
+        for m in rnd.sample(range(60), 20):
+            ranked.append((q, m, float(m * 7 % 23)))
+    for m in range(60):
+        if rnd.random() < 0.4:
+            keys[m] = {f"k{rnd.randint(0, 9)}" for _ in range(2)}
+        if rnd.random() < 0.8:
+            concepts[m] = {f"c{rnd.randint(0, 5)}" for _ in range(3)}
+    want = set()
+    for q in range(12):
+        seen_keys, seen = set(), []
+        for _, m in sorted(((t, m) for g, m, t in ranked if g == q), reverse=True):
+            mine = concepts.get(m, set())
+            if keys.get(m):
+                if keys[m] & seen_keys:
+                    continue
+                seen_keys |= keys[m]
+            elif any(len(mine & s) / len(mine | s) >= 0.5 for s in seen):
+                continue
+            elif mine:
+                seen.append(mine)
+            want.add((q, m))
+    rows = spark.createDataFrame(ranked, "query_id long, memory_id long, _start double")
+    pairs = [[(m, v) for m, vs in d.items() for v in vs] for d in (keys, concepts)]
+    k = spark.createDataFrame(pairs[0], "memory_id long, key string")
+    c = spark.createDataFrame(pairs[1], "memory_id long, concept string")
+    assert {(r["query_id"], r["memory_id"]) for r in temporal.latest_ranked(rows, k, c).collect()} == want
+    assert len(want) < len(ranked)
+    assert temporal.latest_ranked(rows, None, c.limit(0)).count() == len(ranked)
