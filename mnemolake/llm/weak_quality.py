@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on each of two questions: is the text of low quality, is it
 toxic. Expectation-maximisation estimates each labeller's accuracies from how often the vote patterns of all documents
-occur (at most 3^labellers patterns, whatever the corpus). The posterior of a document's pattern is its label, with which
+occur (at most 3^labellers patterns of a question, whatever the corpus). The posterior of a document's pattern is its label, with which
 a linear scorer over hashed features is fitted; the scorer then judges every document.
 
 The fit reads at most about SAMPLE_ROWS documents, chosen by a hash of the text. Votes, patterns and scores cover all.
@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,17 @@ _ABUSE = re.compile(
     r"|(?:pedazo|trozo) de \w+|(?:no )?eres (?:más que )?una? (?:completo|completa|verdadero|verdadera|maldito|maldita|total)\b|no eres más que|cállate|vete al (?:diablo|infierno))",
     re.IGNORECASE,
 )
+#: Words without which no threat, or no abuse to the face, can match: one word of each set of a row must be in the text.
+#: A trailing star stands for any end.
+THREAT_WORDS = [
+    ("kill hurt destroy beat find hunt", "you"), ("yourself",), ("go", "die"), ("you", "die"), ("dich",),
+    ("tuer buter frapper crève crever mourir",), ("matar pegar destruir morir mátate muérete",),
+]
+ABUSE_WORDS = [
+    ("you", "nothing such complete total absolute utter real pathetic bloody little fucking"), ("shut nobody screw",),
+    ("go", "hell*"), ("get", "lost*"), ("bist halt geh verpiss",), ("du", "elend* verdammt* mies* erbärmlich*"),
+    ("espèce espèces ferme",), ("tu", "es"), ("ta", "gueule*"), ("va", "te"), ("pedazo trozo eres vete cállate*",),
+]
 #: Words that address the reader.
 _ADDRESS = frozenset("you your yours yourself u du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes eres".split())
 #: Frequent function words of running text in the languages of the table.
@@ -92,32 +103,62 @@ GOOD, NONE, BAD = 1, 0, -1
 _SPLIT = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1+")
 _LEET = str.maketrans("013457@$", "oieastas")
-
-
-def flags_of(word: str) -> int:
-    """Bits of the lexicons that know the word, and ADDRESS."""
-    core = "".join(_SPLIT.findall(word)).lower()
-    found = _WORDS.get(core, 0)
-    if not found and core:
-        plain = "".join(_SPLIT.findall(word.lower().translate(_LEET)))
-        found = _WORDS.get(plain, 0) or _WORDS.get(_RUN.sub(r"\1", plain), 0) or _WORDS.get(_RUN.sub(r"\1\1", plain), 0)
-    return found | (ADDRESS if core in _ADDRESS else 0)
+_DIGIT = re.compile("[013457@$]")
 
 
 ADDRESS = 1 << len(LEXICONS)
+CAPITAL = ADDRESS << 1
+FUNCTION = ADDRESS << 2
+#: One bit for each set of the rows of THREAT_WORDS and ABUSE_WORDS.
+_SETS = sorted({words for row in THREAT_WORDS + ABUSE_WORDS for words in row})
+_BIT = {words: ADDRESS << 3 + i for i, words in enumerate(_SETS)}
+_WHOLE: dict[str, int] = {}
+_STARTS: dict[str, int] = {}
+for _list, _bit in _BIT.items():
+    for _w in _list.split():
+        _to = _STARTS if _w.endswith("*") else _WHOLE
+        _to[_w.rstrip("*")] = _to.get(_w.rstrip("*"), 0) | _bit
+_START = re.compile("|".join(_STARTS))
+_THREAT_GATES, _ABUSE_GATES = ([sum(_BIT[words] for words in row) for row in rows] for rows in (THREAT_WORDS, ABUSE_WORDS))
 
 
-def quality_votes(text: str, words: list[str]) -> list[int]:
-    """Votes of the labellers of low quality."""
-    n = len(words)
+def flags_of(word: str) -> int:
+    """Bits of the lexicons that know the word, ADDRESS, CAPITAL, FUNCTION, and those of the words that the gates ask for."""
+    runs = _SPLIT.findall(word)
+    core = "".join(runs).lower()
+    found = _WORDS.get(core, 0)
+    if not found and core:
+        plain = "".join(_SPLIT.findall(word.lower().translate(_LEET))) if _DIGIT.search(word) else core
+        found = _WORDS.get(plain, 0)
+        if not found and _RUN.search(plain):
+            found = _WORDS.get(_RUN.sub(r"\1", plain), 0) or _WORDS.get(_RUN.sub(r"\1\1", plain), 0)
+    for run in runs:
+        # As an expression that ignores case compares letters.
+        low = run.lower() if run.isascii() else run.casefold().replace("ı", "i").replace("i\u0307", "i")
+        found |= _WHOLE.get(low, 0)
+        start = _START.match(low)
+        if start:
+            found |= _STARTS[start.group()]
+    if core in _ADDRESS:
+        found |= ADDRESS
+    if len(word) > 1 and word.isupper():
+        found |= CAPITAL
+    if word.strip(".,;:!?").lower() in FUNCTION_WORDS:
+        found |= FUNCTION
+    return found
+
+
+def quality_votes(text: str, flags: np.ndarray, numbers: np.ndarray) -> list[int]:
+    """Votes of the labellers of low quality, from the flags of the words and from numbers that are equal for equal words."""
+    n = len(flags)
     if not n:
         return [BAD] + [NONE] * 5
     marks = sum(map(text.count, "#*$%&|<>"))
     bangs = text.count("!")
-    capitals = sum(w.isupper() and len(w) > 1 for w in words)
-    stutter = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    function = sum(w.strip(".,;:!?").lower() in FUNCTION_WORDS for w in words)
-    different = len(set(words))
+    capitals = np.count_nonzero(flags & CAPITAL)
+    stutter = np.count_nonzero(numbers[1:] == numbers[:-1])
+    function = np.count_nonzero(flags & FUNCTION)
+    different = len(np.unique(numbers))
     return [
         BAD if marks > 0.1 * n else GOOD if marks < 0.02 * n else NONE,
         BAD if bangs > 0.2 * n else GOOD if bangs < 0.02 * n and capitals < 0.1 * n else NONE,
@@ -128,28 +169,32 @@ def quality_votes(text: str, words: list[str]) -> list[int]:
     ]
 
 
-def toxic_votes(text: str, words: list[str], flags: list[int] | None = None) -> list[int]:
-    """Votes of the labellers of toxic language; BAD means toxic. A list without a hit is silent.
+def toxic_votes(text: str, flags: np.ndarray) -> list[int]:
+    """Votes of the labellers of toxic language, from the flags of the words; BAD means toxic. A list without a hit is silent.
 
-    Threats, abuse to the face and a calm tone need no list of insults; only the last one votes GOOD.
+    Threats, abuse to the face and a calm tone need no list of insults; only the last one votes GOOD. The two long
+    expressions run only where the words that they need occur.
     """
-    flags = [flags_of(w) for w in words] if flags is None else flags
-    every = 0
-    for f in set(flags):
-        every |= f
-    hits = sum(f & (ADDRESS - 1) > 0 for f in flags)
-    loud = text.count("!") > 0.02 * len(words) or sum(w.isupper() and len(w) > 1 for w in words) > 0.1 * len(words)
+    n = len(flags)
+    every = int(np.bitwise_or.reduce(flags)) if n else 0
+    hits = np.count_nonzero(flags & (ADDRESS - 1))
+    loud = text.count("!") > 0.02 * n or np.count_nonzero(flags & CAPITAL) > 0.1 * n
+
+    def found(form: re.Pattern, gates: list[int]) -> bool:
+        return any(every & g == g for g in gates) and form.search(text) is not None
+
     return [
         *(BAD if every & _FLAG[k] else NONE for k in LEXICONS),
-        BAD if hits > 1 or 25 * hits > len(words) else NONE,
-        BAD if _THREATS.search(text) else NONE,
-        BAD if _ABUSE.search(text) else NONE,
-        GOOD if words and not every & ADDRESS and not loud else NONE,
+        BAD if hits > 1 or 25 * hits > n else NONE,
+        BAD if found(_THREATS, _THREAT_GATES) else NONE,
+        BAD if found(_ABUSE, _ABUSE_GATES) else NONE,
+        GOOD if n and not every & ADDRESS and not loud else NONE,
     ]
 
 
 TOXIC = len(LEXICONS) + 4
-LABELLERS = {"quality": (quality_votes, 6), "toxic": (toxic_votes, TOXIC)}
+#: Labellers of each question.
+LABELLERS = {"quality": 6, "toxic": TOXIC}
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -179,50 +224,90 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROU
     return posterior, table
 
 
+class _Classes(dict):
+    """Code point -> its class, filled as code points occur."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = ("X" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c
+        return self[code]
+
+
+_CLASSES = _Classes()
+
+
 def _shape(word: str) -> str:
     """Letters, capitals and digits as classes, runs cut to one: "Word###" -> "Xx#"."""
-    kinds = (("X" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c for c in word)
-    return _RUN.sub(r"\1", "".join(kinds))
+    if word.isalpha() and word.islower():
+        return "x"
+    return _RUN.sub(r"\1", word.translate(_CLASSES))
 
 
 #: Buckets of the BAD votes on toxicity.
 VOTED = [zlib.crc32(b"vote%d" % i) % BUCKETS for i in range(TOXIC)]
+_BIAS, _SAME = (zlib.crc32(k) % BUCKETS for k in (b"bias", b"same"))
+
+
+class Words:
+    """What is known of each distinct word: its number, and by number the buckets of the word and its shape, and its flags."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.table = np.empty((1024, 3), dtype=np.int64)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words, good until the next call."""
+        if len(self.numbers) > CACHE_WORDS:
+            self.numbers.clear()
+        numbers = self.numbers
+        new = []
+        for w in set(words).difference(numbers):
+            core = "".join(_SPLIT.findall(w)).lower()
+            new.append((zlib.crc32(b"w" + core.encode()) % BUCKETS, zlib.crc32(b"s" + _shape(w).encode()) % BUCKETS, flags_of(w)))
+            numbers[w] = len(numbers)
+        if new:
+            first = len(numbers) - len(new)
+            if len(numbers) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty((len(numbers), 3), dtype=np.int64)])
+            self.table[first : len(numbers)] = new
+        return np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 class Features:
-    """Hashed features of a text: how often its word shapes and repetitions occur for quality; for toxicity its words and
-    the labellers that call it toxic."""
+    """Votes and hashed features of a text: how often its word shapes and repetitions occur for quality; for toxicity its
+    words and the labellers that call it toxic."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.words = Words()
 
-    def _of(self, word: str) -> tuple[int, int, int]:
-        core = "".join(_SPLIT.findall(word)).lower()
-        return zlib.crc32(b"w" + core.encode()) % BUCKETS, zlib.crc32(b"s" + _shape(word).encode()) % BUCKETS, flags_of(word)
+    def votes(self, text: str) -> dict[str, list[int]]:
+        """Question -> votes."""
+        numbers = self.words(text.split())
+        flags = self.words.table[numbers, 2]
+        return {"quality": quality_votes(text, flags, numbers), "toxic": toxic_votes(text, flags)}
 
-    def __call__(self, text: str, words: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    def __call__(self, text: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """Question -> (buckets, values)."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = self._of(w)
-        n = max(len(words), 1)
-        pairs = np.array([known[w] for w in words], dtype=np.int64).reshape(-1, 3)
-        has = np.unique(pairs[:, 0])
-        shapes, times = np.unique(pairs[:, 1], return_counts=True)
-        same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-        extra = [(b"bias", 1.0), (b"same", 4 * same / n)]
-        buckets = np.r_[shapes, [zlib.crc32(k) % BUCKETS for k, _ in extra]]
-        bias = zlib.crc32(b"bias") % BUCKETS
-        voted = [b for b, v in zip(VOTED, toxic_votes(text, words, pairs[:, 2].tolist()), strict=True) if v == BAD]
-        has = np.setdiff1d(has, VOTED)
+        numbers = self.words(text.split())
+        n = max(len(numbers), 1)
+        of_word, of_shape, flags = self.words.table[numbers].T
+        shapes, times = np.unique(of_shape, return_counts=True)
+        same = np.count_nonzero(numbers[1:] == numbers[:-1])
+        voted = [b for b, v in zip(VOTED, toxic_votes(text, flags), strict=True) if v == BAD]
+        has = np.unique(of_word)
+        has = has[~np.isin(has, VOTED)]
         return {
-            "quality": (buckets, np.r_[4 * times / (n + 10), [v for _, v in extra]]),
-            "toxic": (np.r_[has, voted, bias].astype(np.int64), np.r_[np.full(len(has), 1 / np.sqrt(len(has) + 1)), np.ones(len(voted) + 1)]),
+            "quality": (np.r_[shapes, _BIAS, _SAME], np.r_[4 * times / (n + 10), 1.0, 4 * same / n]),
+            "toxic": (np.r_[has, voted, _BIAS].astype(np.int64), np.r_[np.full(len(has), 1 / np.sqrt(len(has) + 1)), np.ones(len(voted) + 1)]),
         }
 
 
+@cache
+def _features() -> Features:
+    """Those of a worker, which knows the words of the tasks before."""
+    return Features()
+
+
 def fit_scorer(
     rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, share: np.ndarray | float = 1.0
 ) -> np.ndarray:
@@ -253,33 +338,27 @@ def _voted(docs: DataFrame, text: str) -> DataFrame:
     """Votes on each question, as short strings of the digits 0, 1, 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        features = _features()
         for batch in batches:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            cols: dict[str, list[str]] = {k: [] for k in LABELLERS}
-            for t in batch.column(0):
-                value = t.as_py()
-                words = value.split()
-                for w in set(words).difference(known):
-                    known[w] = flags_of(w)
-                cast = {"quality": quality_votes(value, words), "toxic": toxic_votes(value, words, [known[w] for w in words])}
-                for k in LABELLERS:
-                    cols[k].append("".join(str(v + 1) for v in cast[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[k], pa.string()) for k in LABELLERS], names=list(LABELLERS))
+            cast = [features.votes(t.as_py()) for t in batch.column(0)]
+            data = [pa.array([_pattern(v[k]) for v in cast], pa.string()) for k in LABELLERS]
+            yield pa.RecordBatch.from_arrays(data, names=list(LABELLERS))
 
     return docs.select(whole_text(text).alias("text")).mapInArrow(run, ", ".join(f"{k} string" for k in LABELLERS))
 
 
+def _pattern(votes: list[int]) -> str:
+    return "".join(str(v + 1) for v in votes)
+
+
 def labeller_posteriors(docs: DataFrame, text: str = "text") -> dict[str, dict[str, float]]:
     """For each question: vote pattern -> posterior of BAD, from the patterns of all documents."""
-    # At most 3^labellers rows come to the driver.
-    votes = _voted(docs, text).groupBy(*LABELLERS).agg(F.count("*").alias("n")).collect()
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("question"), F.col(k).alias("votes")) for k in LABELLERS)))
+    # At most 3^labellers rows of each question come to the driver.
+    found = _voted(docs, text).select(each.alias("v")).groupBy("v.question", "v.votes").agg(F.count("*").alias("n")).collect()
     out = {}
-    for k, (_, n) in LABELLERS.items():
-        totals = Counter()
-        for r in votes:
-            totals[r[k]] += r.n
+    for k, n in LABELLERS.items():
+        totals = {r.votes: r.n for r in found if r.question == k}
         patterns = np.array([[int(c) - 1 for c in p] for p in totals], dtype=np.int64).reshape(-1, n)
         posterior, _ = fit_labellers(patterns, np.array(list(totals.values()), dtype=float))
         out[k] = dict(zip(totals, posterior.tolist(), strict=True))
@@ -294,17 +373,16 @@ def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) ->
     take = F.pmod(F.xxhash64("text"), F.lit(scale)) < int(min(1.0, sample_rows / max(total, 1)) * scale)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = _features()
         for batch in batches:
             cols: list[list] = [[] for _ in range(3 * len(LABELLERS) + 1)]
             for t in batch.column(0):
                 value = t.as_py()
-                words = value.split()
                 row = []
-                found = features(value, words)
-                for k, (votes, _) in LABELLERS.items():
+                found, votes = features(value), features.votes(value)
+                for k in LABELLERS:
                     buckets, values = found[k]
-                    pattern = "".join(str(v + 1) for v in votes(value, words))
+                    pattern = _pattern(votes[k])
                     row += [buckets.astype("<i4").tobytes(), values.astype("<f4").tobytes(), posteriors[k][pattern]]
                 row.append(pattern)
                 for c, x in zip(cols, row, strict=True):
@@ -346,12 +424,11 @@ def score(docs: DataFrame, weights: dict[str, np.ndarray], id: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        features = Features()
+        features = _features()
         for batch in batches:
             out: dict[str, list[float]] = {k: [] for k in LABELLERS}
             for t in batch.column(1):
-                value = t.as_py()
-                found = features(value, value.split())
+                found = features(t.as_py())
                 for k in LABELLERS:
                     buckets, values = found[k]
                     margin = float(np.clip(w[k][buckets] @ values, -30, 30))
