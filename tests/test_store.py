@@ -256,3 +256,16 @@ def test_table_digest_tells_repeated_rows_apart(spark):
     once = spark.createDataFrame([(1, "a"), (2, None)], "id long, x string")
     assert store.table_digest(once, "id").first() == store.table_digest(once.orderBy("x"), "id").first()
     assert store.table_digest(once.union(once), "id").first()["digest"] != store.table_digest(once.union(once).union(once), "id").first()["digest"]
+
+
+def test_streams_read_a_table_of_one_file_or_of_many(spark, tmp_path):
+    from mnemolake.streaming import windows
+
+    spark.range(6).coalesce(1).write.parquet(str(tmp_path / "many" / "t.parquet"))
+    part = next((tmp_path / "many" / "t.parquet").glob("part-*.parquet"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "t.parquet").write_bytes(part.read_bytes())
+    for kind in ("many", "one"):
+        rows = windows.read_table(spark, str(tmp_path / kind), "t.parquet")
+        got = windows.run_available(rows, str(tmp_path / f"out_{kind}"), str(tmp_path / f"ck_{kind}"))
+        assert sorted(r["id"] for r in got.collect()) == list(range(6))
