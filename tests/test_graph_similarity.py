@@ -98,6 +98,41 @@ def test_greedy_matching_is_the_sequential_one(spark):
     assert {r["a"]: r["b"] for r in similarity.greedy_one_to_one(df).collect()} == want
 
 
+def test_sets_that_share_a_rare_word_only_do_not_meet(spark):
+    """Bitmaps rule pairs out before they leave the task; copies with a word or two changed still meet."""
+    rows = [(i, ["rare"] + [f"w{i}_{k}" for k in range(200)]) for i in range(60)]
+    rows += [(100 + i, rows[i][1][2:] + [f"v{i}"]) for i in range(10)]
+    reps = spark.createDataFrame(rows, "rep long, words array<string>")
+    sets = similarity._hashed(reps.withColumnRenamed("rep", "id"))
+    counts = spark.sparkContext.broadcast(similarity._sketch(sets))
+    met = similarity._meeting(similarity._prefixes(sets, counts, 0.5), 0.5, False)
+    assert met.count() == 10
+    assert {(r["a"], r["b"]) for r in similarity.jaccard_pairs(reps, 0.5).collect()} == {(i, 100 + i) for i in range(10)}
+
+
+def test_jaccard_joins_of_all_sizes_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [[f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(rng.choice([1, 2, 5, 9, 20, 60, 200, 500]))] for _ in range(40)]
+    sets = []
+    for words in base:
+        for _ in range(3):
+            kept = [w for w in words if rng.random() > 0.12] + [f"w{rng.randrange(400)}" for _ in range(int(len(words) * rng.random() * 0.3))]
+            sets.append(sorted(set(kept)))
+    reps = spark.createDataFrame(list(enumerate(sets)), "rep long, words array<string>")
+    both = reps.withColumnRenamed("rep", "id")
+    for t in (0.5, 0.85):
+        want = {
+            (i, j) for j in range(len(sets)) for i in range(j)
+            if sets[i] and sets[j] and len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= t
+        }
+        assert sorted((r["a"], r["b"]) for r in similarity.jaccard_pairs(reps, t).collect()) == sorted(want)
+        matches = similarity.jaccard_matches(both.filter("id % 3 = 0"), both.filter("id % 3 > 0"), t)
+        across = {(a, b) if a % 3 == 0 else (b, a) for a, b in want if (a % 3 == 0) != (b % 3 == 0)}
+        assert sorted((r["a"], r["b"]) for r in matches.collect()) == sorted(across)
+
+
 def test_lsh_links_against_the_exact_join(spark):
     """Families whose buckets are headed by sets that many members don't resemble."""
     import random
