@@ -245,7 +245,8 @@ def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: floa
     """(a, b, similarity): ids of the saved ``pairs`` (a, b) of ids, or nodes, that reach the threshold."""
 
     def side(sets: DataFrame, k: str) -> DataFrame:
-        return sets.select(F.col(by).alias(k), F.col("id").alias(f"id_{k}"), F.col("size").alias(f"n{k}"), F.col("terms").alias(f"t{k}"))
+        rows = sets.join(pairs.select(F.col(k).alias(by)).distinct(), by, "left_semi")  # few pairs move few sets
+        return rows.select(F.col(by).alias(k), F.col("id").alias(f"id_{k}"), F.col("size").alias(f"n{k}"), F.col("terms").alias(f"t{k}"))
 
     both = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
     sim = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
