@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -271,3 +272,18 @@ def test_index_with_batches_and_removals(spark, tmp_path):
     assert same(df)
     index.remove_from_index(df.filter("memory_id = 1"), path)
     assert set(same(df.filter("memory_id <> 1"))) == {2, 3}
+
+
+def test_bm25_scores_are_summed_where_a_row_lies(spark):
+    memories = spark.createDataFrame([(i, f"red fox number{i % 3} red") for i in range(30)], "memory_id long, content string")
+    queries = spark.createDataFrame([(1, "red fox"), (2, "number1")], "query_id long, query string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = retrieval.bm25(memories, queries)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        # A term that all rows hold is not one task's, and no (query, row) pair is shuffled.
+        assert not re.search(r"hashpartitioning\(query_id#\w+, memory_id#", plan) and re.search(r"hashpartitioning\(memory_id#\w+, \d+\), REPARTITION", plan)
+        found = {(r["query_id"], r["memory_id"]) for r in scored.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {(1, i) for i in range(30)} | {(2, i) for i in range(30) if i % 3 == 1}
