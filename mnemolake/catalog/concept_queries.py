@@ -70,7 +70,7 @@ def concept_idf_topk(spark, sf):
     parts = table(spark, sf, "part").filter("p_size >= 45")
     q = parts.select(F.col("p_brand").alias("query_id"), F.col("p_name").alias("concept")).distinct()
     total = table(spark, sf, "orders").agg(F.count("*").alias("n")).scalar()
-    scored = concept_idf(order_concepts(spark, sf), q, total).withColumn("score", F.round("score", 6))
+    scored = concept_idf(order_concepts(spark, sf), q, total, 10).withColumn("score", F.round("score", 6))
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("memory_id")], 10)
 
 

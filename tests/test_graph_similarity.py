@@ -287,3 +287,23 @@ def test_bm25_scores_are_summed_where_a_row_lies(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == {(1, i) for i in range(30)} | {(2, i) for i in range(30) if i % 3 == 1}
+
+
+def test_concept_idf_scores_only_what_may_be_best(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = {(m if m else None, f"c{rng.randint(0, 30)}") for m in range(2000) for _ in range(rng.randint(1, 6))}
+    bridge = spark.createDataFrame(sorted(rows, key=str), "memory_id long, concept string")
+    asked = {(q, f"c{rng.randint(0, 30)}") for q in range(6) for _ in range(12)} | {(9, "c1"), (10, "unknown"), (None, "c2")}
+    queries = spark.createDataFrame(sorted(asked, key=str), "query_id long, concept string")
+    total = spark.range(2000).agg(F.count("*")).scalar()
+
+    def best(limit):
+        scored = retrieval.concept_idf(bridge, queries, total, limit).withColumn("score", F.round("score", 6))
+        top = retrieval.top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("memory_id")], 10)
+        return {(r["query_id"], r["rank"], r["memory_id"], r["score"]) for r in top.collect()}, scored.count()
+
+    (few, n_few), (full, n_full) = best(10), best(None)
+    assert few == full and len(full) == 80
+    assert n_few <= n_full
+    wide = bridge.select("concept").distinct().crossJoin(spark.range(3).toDF("query_id")).select("query_id", "concept")
+    assert retrieval.concept_idf(bridge, wide, total, 10).count() * 4 < retrieval.concept_idf(bridge, wide, total).count()
