@@ -141,3 +141,15 @@ def test_pronouns_over_slices(spark):
     """A group longer than one slice keeps its names, and the newest one wins."""
     rows = [(1, 0, "Alice came."), (1, 5000, "she left."), (1, 5001, "Bea came."), (1, 9000, "she left. Cleo stayed"), (1, 9001, "she slept")]
     assert _refs(spark, rows) == [(1, 5000, "she", "Alice"), (1, 9000, "she", "Cleo"), (1, 9001, "she", "Cleo")]
+
+
+def test_redaction_reads_a_text_once_per_type(spark):
+    rows = [(1, "mail a.b@c.org or 555-123-4567, card 4111 1111 1111 1111, SSN 123-45-6789, 12 Oak Street"), (2, None), (3, ""), (4, "plain")]
+    df = spark.createDataFrame(rows, "id long, t string").select("id", rd.redact_pii(F.col("t")).alias("r"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == len(rd.PII_PATTERNS)
+    got = {r["id"]: r["r"] for r in df.collect()}
+    assert got == {
+        1: "mail [REDACTED-EMAIL] or [REDACTED-PHONE], card [REDACTED-CREDIT_CARD], SSN [REDACTED-SSN], [REDACTED-ADDRESS]",
+        2: None, 3: "", 4: "plain",
+    }
