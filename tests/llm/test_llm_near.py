@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from mnemolake.llm import jaccard_dedup as jd
+from mnemolake.llm import simhash
 
 from test_llm_documents import lowest_of_similar
 
@@ -77,3 +78,32 @@ def test_odd_rows(spark):
     assert {(2, 1), (4, 3), (5, 3), (None, 6), (8, 7)} <= groups
     nothing = spark.createDataFrame([], schema)
     assert jd.near_dedup(nothing).count() == 0 and jd.near_groups(nothing).count() == 0
+
+
+def test_fingerprints_link_before_shingles(spark):
+    """The links by SimHash span what all pairs of fingerprints within four bits join; blank texts take no part."""
+    rng = np.random.default_rng(11)
+    words = np.array([f"w{i}" for i in range(3000)])
+    texts = [""] * 2
+    for _ in range(8):
+        base = rng.choice(words, 900)
+        for step in range(5):
+            copy = base.copy()
+            copy[rng.integers(0, 900, step)] = rng.choice(words, step)
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = jd.filed(docs, jd.sketch(docs)).collect()
+    nodes = spark.createDataFrame([(r.node, r.text_hash, r.size) for r in {r.node: r for r in rows}.values()], "node long, text_hash long, size int")
+    fps = {r.node: simhash.fingerprint(texts[r.doc_id]) for r in rows if r.size}
+    got = [(r.a, r.b) for r in jd.linked_prints(docs, nodes).collect()]
+    want = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4]
+
+    def parts(pairs):
+        root = {n: n for n in fps}
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = {n: min(x, y) if r in (x, y) else r for n, r in root.items()}
+        return root
+
+    assert want and parts(got) == parts(want)
+    assert all(a < b for a, b in got) and len(got) < 2 * len(fps)
