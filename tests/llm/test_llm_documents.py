@@ -37,7 +37,8 @@ def ids(texts):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = con.execute(queries.SQL[name])
     columns = [d[0] for d in want.description]
