@@ -274,7 +274,7 @@ def proximity_band(spark, sf):
 def document_pairs(spark, sf):
     """Near-duplicate pairs of distinct document token sets, as a weighted graph."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"))
-    reps, _ = similarity.collapse_copies(similarity.token_sets(docs))
+    reps, _ = similarity.collapse_copies(similarity.token_sets(docs, hashed=True))
     return similarity.jaccard_pairs(reps, 0.5).select("a", "b", F.round("similarity", 6).alias("weight"))
 
 

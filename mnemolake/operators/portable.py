@@ -30,9 +30,10 @@ Store = dict[str, DataFrame]
 
 
 def _classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal token sets (rep, words) and members (memory_id, rep). Texts without tokens are one class."""
+    """Classes of equal token sets (rep, words as hashes) and members (memory_id, rep). Texts without tokens are one class."""
     words = memories.select("memory_id", tx.token_set(F.coalesce("content", F.lit(""))).alias("words"))
-    sets = save(words.withColumn("digest", F.sha2(F.array_join("words", " "), 256)), "token_sets")
+    sets = words.withColumn("digest", F.sha2(F.array_join("words", " "), 256)).withColumn("words", similarity.hashes(F.col("words")))
+    sets = save(sets, "token_sets")
     reps, members = similarity.collapse_copies(sets)
     return save(reps.select("rep", "words"), "classes"), members
 
