@@ -50,3 +50,38 @@ def test_a_set_takes_its_bitmap_to_each_part_once(spark):
     found = similarity._prefixes(sets, counts, 0.7, parts=16).collect()
     assert len({(r.node, r.part) for r in found}) == len(found) <= 6 * 16
     assert sum(len(r.marks) for r in found) > 6 * 200  # the prefix itself is whole
+
+
+def _sequential(matches):
+    taken, out = set(), {}
+    for a in sorted({m[0] for m in matches}):
+        options = sorted((-s, b) for x, b, s in matches if x == a and b not in taken)
+        if options:
+            out[a] = options[0][1]
+            taken.add(options[0][1])
+    return out
+
+
+@pytest.mark.parametrize("last", [0, 20, 100_000])
+def test_matching_in_rounds_and_in_one_walk_is_the_sequential_one(spark, last):
+    rng = random.Random(5)
+    matches = [(a, b, rng.choice([0.85, 0.9, 1.0])) for a in range(12) for b in range(100, 112) if rng.random() < 0.3]
+    df = spark.createDataFrame(matches, "a long, b long, similarity double")
+    assert {r.a: r.b for r in similarity.greedy_one_to_one(df, last).collect()} == _sequential(matches)
+    assert similarity.greedy_one_to_one(df.limit(0), last).collect() == []
+
+
+def test_a_family_of_rivals_is_matched_in_one_walk(spark, monkeypatch):
+    # Every left row wants the same right rows in the same order: refused one at a time, a round each.
+    rounds = []
+    kept = similarity.best_match
+    monkeypatch.setattr(similarity, "best_match", lambda m: rounds.append(1) or kept(m))
+    matches = [(a, 100 + b, 1.0 - b / 1000) for a in range(30) for b in range(30)]
+    df = spark.createDataFrame(matches, "a long, b long, similarity double")
+    got = {r.a: r.b for r in similarity.greedy_one_to_one(df).collect()}
+    assert got == {a: 100 + a for a in range(30)} and len(rounds) < 5
+
+
+def test_rows_without_an_id_match_nothing(spark):
+    df = spark.createDataFrame([(None, 1, 0.9), (1, None, 0.9), (2, 3, 0.9)], "a long, b long, similarity double")
+    assert [(r.a, r.b) for r in similarity.greedy_one_to_one(df, 0).collect()] == [(2, 3)]
