@@ -116,6 +116,9 @@ def test_latest_facts_is_the_sequential_pass(spark):
     base = spark.createDataFrame([(i, s) for i, s, _ in rows], "memory_id long, start double")
     keys = spark.createDataFrame([(i, k) for i, _, ks in rows for k in ks], "memory_id long, key string")
     assert sorted(r["memory_id"] for r in temporal.latest_facts(base, keys).collect()) == sorted(kept)
+    # Few rows of a key a pass, in rounds or by one task.
+    for newest, last in ((1, 0), (2, 1000), (4, 10)):
+        assert sorted(r["memory_id"] for r in temporal.latest_facts(base, keys, newest, last).collect()) == sorted(kept)
 
 
 def test_as_of_and_during(spark):
