@@ -25,6 +25,10 @@ BUCKETS = 64
 OVERLAP = 0.5
 #: A faded conflict below 0.1 does not count, so no two rows further apart than this can have one.
 FADES_WITHIN = 9 * 86400.0
+#: The most similar signature is looked for among those that reach the first of these, then the next.
+LEVELS = [0.75, OVERLAP]
+#: Over how many tasks a term is dealt that many statements of a concept hold.
+SALTS = 8
 
 
 #: Columns of the stored tables, named because a table without rows has no file to tell them.
@@ -32,7 +36,6 @@ TABLES = {
     "values": "concept string, slot string, number double, members string, created_at double, memory_id long, bucket int",
     "holders": "digest string, negated boolean, concept string, created_at double, memory_id long, bucket int",
     "signatures": "digest string, negated boolean, words array<string>, bucket int",
-    "terms": "digest string, negated boolean, size int, term string, bucket int",
     "order": "term string, df long",
 }
 
@@ -41,6 +44,15 @@ def _bucket(col: str) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(BUCKETS)).cast("int")
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many parts as the session shuffles to, however few bytes it has: what follows is work per row, not per byte."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _salts() -> Column:
+    return F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)]))
+
+
 def _of(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -66,6 +78,7 @@ def read_statements(memories: DataFrame, bridge: DataFrame) -> Statements:
     """
     number = F.col("memory_id").cast("long").alias("memory_id")
     dated = memories.select(number, "content", F.col("created_at").cast("double").alias("created_at")).filter("created_at IS NOT NULL")
+    dated = _dealt(dated)
     links = bridge.select(number, "concept").filter("concept IS NOT NULL").distinct()
     held = links.join(dated.select("memory_id", "created_at"), "memory_id")
     numbers = numeric_statements(dated).select(
@@ -85,21 +98,31 @@ def read_statements(memories: DataFrame, bridge: DataFrame) -> Statements:
     )
 
 
-def _prefixes(signatures: DataFrame, order: DataFrame) -> DataFrame:
-    """(digest, negated, size, term): the first terms of each signature, rarest first by the stored order.
+def _ranked(signatures: DataFrame, order: DataFrame) -> DataFrame:
+    """(digest, negated, words): the terms of each signature, rarest first by the stored order.
 
-    Terms that the order does not know come first. Two signatures with a Jaccard similarity of OVERLAP or more share one
-    of these terms under any fixed order, so a stale order costs time and loses nothing.
+    Terms that the order does not know come first. Two signatures with a Jaccard similarity of t or more share one of the
+    first ``size - ceil(size * t) + 1`` terms of each under any fixed order, so a stale order costs time and loses nothing.
     """
-    terms = signatures.select("digest", "negated", F.size("words").alias("size"), F.explode("words").alias("term"))
-    ranked = terms.join(order, "term", "left").groupBy("digest", "negated", "size").agg(
-        # A signature's own terms: bounded by its text.
-        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("ranked")
-    )
-    length = (F.col("size") - F.ceil(F.col("size") * OVERLAP - 1e-9) + 1).cast("int")
-    return ranked.select("digest", "negated", "size", F.explode(F.slice("ranked", F.lit(1), length)).alias("t")).select(
-        "digest", "negated", "size", F.col("t.term").alias("term")
-    )
+    terms = signatures.select("digest", "negated", F.explode("words").alias("term"))
+    # A signature's own terms: bounded by its text.
+    ranked = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")))
+    rows = terms.join(order, "term", "left").groupBy("digest", "negated").agg(ranked.alias("ranked"))
+    return rows.select("digest", "negated", F.col("ranked.term").alias("words"))
+
+
+def _by_term(rows: DataFrame, words: str, threshold: float) -> DataFrame:
+    """``rows`` once per term that a set of ``threshold`` or more similarity shares with theirs."""
+    length = (F.size(words) - F.ceil(F.size(words) * threshold - 1e-9) + 1).cast("int")
+    return rows.withColumn("term", F.explode(F.slice(words, F.lit(1), length)))
+
+
+def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (words, rival_words) that reach the threshold, with their similarity."""
+    mine, rival = F.size("words"), F.size("rival_words")
+    close = pairs.filter((rival >= mine * threshold - 1e-9) & (mine >= rival * threshold - 1e-9))
+    common = F.size(F.array_intersect("words", "rival_words"))
+    return close.withColumn("similarity", common / (mine + rival - common)).filter(F.col("similarity") >= threshold)
 
 
 class ConflictIndex:
@@ -137,26 +160,17 @@ class ConflictIndex:
         order = self._table("order")
         one = F.min("memory_id").alias("memory_id")
         self._write(stated.values.groupBy("concept", "slot", "number", "members", "created_at").agg(one), "values", "concept", mode)
-        self._write(stated.signed.groupBy("digest", "negated", "concept", "created_at").agg(one), "holders", "digest", mode)
-        self._write(stated.signatures, "signatures", "digest", mode)
-        self._write(_prefixes(stated.signatures, order), "terms", "term", mode)
-
-    def _opposed(self, signatures: DataFrame) -> DataFrame:
-        """(digest, negated, rival_digest, similarity): stored signatures of the other polarity with enough overlap."""
-        mine = cut_lineage(_prefixes(signatures, self._table("order")))
-        stored = self._read("terms", mine, "term").select(
-            "term", (~F.col("negated")).alias("negated"), F.col("digest").alias("rival_digest"), F.col("size").alias("rival_size")
-        )
-        close = (F.col("rival_size") >= F.col("size") * OVERLAP - 1e-9) & (F.col("size") >= F.col("rival_size") * OVERLAP - 1e-9)
-        # Batches may have stored one signature several times; the distinct keeps one.
-        pairs = cut_lineage(mine.join(stored, ["term", "negated"]).filter(close).select("digest", "negated", "rival_digest").distinct())
-        words = self._read("signatures", pairs, "rival_digest").groupBy(F.col("digest").alias("rival_digest")).agg(
-            F.first("words").alias("rival_words")
+        self._write(stated.signed.groupBy("digest", "negated", "concept", "created_at").agg(one), "holders", "concept", mode)
+        self._write(_ranked(stated.signatures, order), "signatures", "digest", mode)
+
+    def _rivals(self, signed: DataFrame) -> DataFrame:
+        """(concept, negated, rival_words, created_at, rival): stored statements under the batch's concepts, ``negated`` as their opposite."""
+        holders = self._read("holders", signed, "concept").join(signed.select("concept").distinct(), "concept", "left_semi")
+        # Batches may have stored one signature several times.
+        words = self._table("signatures").groupBy("digest").agg(F.first("words").alias("rival_words"))
+        return holders.join(words, "digest").select(
+            "concept", (~F.col("negated")).alias("negated"), "rival_words", "created_at", F.col("memory_id").alias("rival")
         )
-        both = pairs.join(words, "rival_digest").join(signatures, ["digest", "negated"])
-        common = F.size(F.array_intersect("words", "rival_words"))
-        alike = common / (F.size("words") + F.size("rival_words") - common)
-        return both.select("digest", "negated", "rival_digest", alike.alias("similarity")).filter(F.col("similarity") >= OVERLAP)
 
     def check(self, batch: DataFrame, bridge: DataFrame) -> DataFrame:
         """(new_id, kind, rival_id, confidence): per batch row and kind its strongest conflict with a stored row.
@@ -167,16 +181,13 @@ class ConflictIndex:
         another, nor a row with its own id.
         """
         stated = read_statements(batch, bridge)
-        values, signed = save(stated.values, "values"), save(stated.signed, "signed")
-        stored = cut_lineage(self._read("values", values, "concept").join(values.select("concept", "slot").distinct(), ["concept", "slot"], "left_semi"))
-        opposed = cut_lineage(self._opposed(stated.signatures))
-        holders = self._read("holders", opposed, "rival_digest").withColumnRenamed("digest", "rival_digest")
-        holders = cut_lineage(holders.join(opposed.select("rival_digest").distinct(), "rival_digest", "left_semi"))
-        asked = signed.join(opposed, ["digest", "negated"]).select(
-            "memory_id", "concept", "created_at", "rival_digest", (~F.col("negated")).alias("negated"),
-            fx.polarity_conflict(F.col("similarity")).alias("confidence"),
-        )
-        found = _of([_numeric(values, stored), _exclusive(values, stored), _polarity(asked, holders), _faded(values, stored, asked, holders)])
+        values = save(stated.values, "values")
+        signed = save(stated.signed.join(_ranked(stated.signatures, self._table("order")), ["digest", "negated"]), "signed")
+        stored = save(self._read("values", values, "concept").join(values.select("concept", "slot").distinct(), ["concept", "slot"], "left_semi"), "stored")
+        rivals = save(self._rivals(signed), "rivals")
+        polar = save(_polarity(signed, rivals), "polar")
+        faded = save(_faded_values(values, stored), "faded")
+        found = _of([_numeric(values, stored), _exclusive(values, stored), polar, faded, _faded_polarity(signed, rivals, polar, faded)])
         best = F.struct("confidence", "distance", (-F.col("rival_id")).alias("first"))
         top = found.filter("rival_id <> new_id").groupBy("new_id", "kind").agg(F.max(best).alias("b"))
         return top.select("new_id", "kind", (-F.col("b.first")).alias("rival_id"), F.round("b.confidence", 6).alias("confidence"))
@@ -207,34 +218,82 @@ def _exclusive(values: DataFrame, stored: DataFrame) -> DataFrame:
     return met.select(*_row("mutual_exclusion", F.col("rival"), F.lit(0.95)))
 
 
-def _polarity(asked: DataFrame, holders: DataFrame) -> DataFrame:
-    first = holders.groupBy("rival_digest", "negated", "concept").agg(F.min("memory_id").alias("rival"))
-    met = asked.join(first, ["rival_digest", "negated", "concept"])
-    return met.select(*_row("polarity", F.col("rival"), F.col("confidence")))
-
+def _polarity(signed: DataFrame, rivals: DataFrame) -> DataFrame:
+    """The most similar signature of the other polarity under each concept; equal signatures of a concept look for it once.
 
-def _faded(values: DataFrame, stored: DataFrame, asked: DataFrame, holders: DataFrame) -> DataFrame:
-    """Of one class of rivals the nearest in time fades least; it is looked up before and after the row's time.
-
-    Work grows with the distinct values near in time, not with the rows that state them.
+    A signature that finds a rival at a level needs no lower one, as every rival of that level is met there. What meets is
+    compared and reduced where it meets, so what moves on is one row per signature and concept.
     """
-    span = values.select("created_at").union(asked.select("created_at")).agg(
-        (F.min("created_at") - FADES_WITHIN).alias("since"), (F.max("created_at") + FADES_WITHIN).alias("until")
-    )
+    again = signed.select("memory_id").join(rivals.select(F.col("rival").alias("memory_id")), "memory_id", "left_semi").distinct()
+    # A row whose id is stored may not meet itself, so it looks alone.
+    asked = signed.join(again.withColumn("own", F.col("memory_id")), "memory_id", "left")
+    asked = asked.withColumn("unit", F.sha2(F.concat_ws("\x00", "digest", F.col("negated").cast("string"), "concept", F.col("own").cast("string")), 256))
+    asked = save(asked.select("memory_id", "unit", "own", "concept", "negated", "words"), "asked")
+    open_ = save(asked.drop("memory_id").dropDuplicates(["unit"]), "units")
+    classes = save(rivals.groupBy("concept", "negated", "rival_words").agg(F.min("rival").alias("rival")), "classes")
+    keys = ["concept", "negated", "term", "salt"]
+    best = []
+    for level in LEVELS:
+        mine = _by_term(open_.withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(SALTS))), "words", level)
+        theirs = _by_term(classes, "rival_words", level).withColumn("salt", _salts())
+        met = _dealt(mine, *keys).join(_dealt(theirs, *keys), keys).filter("own IS NULL OR rival <> own")
+        met = _similar(met, level)
+        top = met.groupBy("unit").agg(F.max(F.struct("similarity", (-F.col("rival")).alias("first"))).alias("b"))
+        best.append(save(top, "best"))
+        open_ = open_.join(best[-1].select("unit"), "unit", "left_anti")
+    return asked.join(_of(best), "unit").select(*_row("polarity", -F.col("b.first"), fx.polarity_conflict(F.col("b.similarity"))))
+
+
+def _faded_values(values: DataFrame, stored: DataFrame) -> DataFrame:
+    """Faded conflicts of numbers and exclusive sets, the strongest per row among the numbers and per class among the sets."""
+    span = values.agg((F.min("created_at") - FADES_WITHIN).alias("since"), (F.max("created_at") + FADES_WITHIN).alias("until"))
     # One row; it prunes by time.
     near = stored.join(F.broadcast(span), F.col("created_at").between(F.col("since"), F.col("until"))).drop("since", "until")
-    near = cut_lineage(near.withColumn("chain_id", F.sha2(F.concat_ws("\x00", "concept", "slot", F.col("number").cast("string"), "members"), 256)))
-    classes = near.groupBy("chain_id", "concept", "slot", F.col("number").alias("other"), F.col("members").alias("others")).agg(F.lit(1).alias("one"))
-    conf = F.when(F.col("number") != F.col("other"), fx.numeric_conflict(F.col("number"), F.col("other"))).when(
-        F.col("members") != F.col("others"), 0.95
+    return _faded_numbers(values, near).unionByName(_faded_sets(values, near))
+
+
+def _faded_numbers(values: DataFrame, near: DataFrame) -> DataFrame:
+    """Of the numbers of one time the lowest or the highest conflicts most, so a row meets those of each time, never all numbers.
+
+    Zero conflicts fully with every number from 1 on, of which the smallest id counts. The second of each kind stands in
+    where the first is the row itself.
+    """
+    rows = near.filter("number IS NOT NULL").select("concept", "slot", F.col("created_at").alias("then"), "number", "memory_id")
+    orders = {
+        "low": F.struct(F.col("number").alias("by"), "memory_id", "number"),
+        "high": F.struct((-F.col("number")).alias("by"), "memory_id", "number"),
+        "any": F.when(F.col("number") >= 1, F.struct(F.col("memory_id").alias("by"), "memory_id", "number")),
+    }
+    first = rows.groupBy("concept", "slot", "then").agg(*[F.min(o).alias(k) for k, o in orders.items()])
+    others = [F.min(F.when(F.col("memory_id") != F.col(f"{k}.memory_id"), o)).alias(f"{k}_2") for k, o in orders.items()]
+    second = rows.join(first, ["concept", "slot", "then"]).groupBy("concept", "slot", "then").agg(*others)
+    ends = save(first.join(second, ["concept", "slot", "then"]), "ends")
+    mine = values.filter("number IS NOT NULL").select(
+        F.col("memory_id").alias("new_id"), "concept", "slot", F.col("created_at").alias("now"), F.col("number").alias("own")
     )
-    of_values = values.join(classes, ["concept", "slot"]).select("memory_id", "created_at", "chain_id", conf.alias("confidence"))
-    signed_chain = F.sha2(F.concat_ws("\x00", "rival_digest", F.col("negated").cast("string"), "concept"), 256).alias("chain_id")
-    moments = of_values.filter("confidence IS NOT NULL").unionByName(asked.select("memory_id", "created_at", signed_chain, "confidence"))
-    moments = moments.select(F.col("memory_id").alias("new_id"), F.col("created_at").alias("now"), "chain_id", "confidence").distinct()
-    times = near.select("chain_id", "created_at", "memory_id").unionByName(holders.select(signed_chain, "created_at", "memory_id"))
-    times = cut_lineage(times.groupBy("chain_id", "created_at").agg(F.min("memory_id").alias("memory_id")))
-    moments = cut_lineage(moments)
+    keys = ["concept", "slot", "salt"]
+    mine = mine.withColumn("salt", F.pmod(F.xxhash64("new_id"), F.lit(SALTS)))
+    met = _dealt(mine, *keys).join(_dealt(ends.withColumn("salt", _salts()), *keys), keys).filter(F.abs(F.col("now") - F.col("then")) <= FADES_WITHIN)
+
+    def rival(kind: str) -> Column:
+        one = F.when(F.col(f"{kind}.memory_id") == F.col("new_id"), F.col(f"{kind}_2")).otherwise(F.col(kind))
+        one = one if kind != "any" else F.when(F.col("own") == 0, one)
+        conf = F.when(one["number"] != F.col("own"), fx.numeric_conflict(F.col("own"), one["number"]))
+        faded = fx.faded_conflict(conf, F.col("now"), F.col("then"))
+        return F.when(faded.isNotNull(), F.struct(faded.alias("confidence"), (-one["memory_id"]).alias("first")))
+
+    top = met.groupBy("new_id").agg(F.max(F.greatest(*[rival(k) for k in orders])).alias("b")).filter("b IS NOT NULL")
+    return top.select(F.col("new_id").alias("memory_id"), "b").select(*_row("temporal_conflict", -F.col("b.first"), F.col("b.confidence")))
+
+
+def _faded_sets(values: DataFrame, near: DataFrame) -> DataFrame:
+    """Of one class of rivals the nearest in time fades least; it is looked up before and after the row's time."""
+    chain = F.sha2(F.concat_ws("\x00", "concept", "slot", "others"), 256).alias("chain_id")
+    held = save(near.filter("members IS NOT NULL").withColumnRenamed("members", "others").select(chain, "concept", "slot", "others", "created_at", "memory_id"), "held")
+    classes = held.select("chain_id", "concept", "slot", "others").distinct()
+    moments = values.filter("members IS NOT NULL").join(classes, ["concept", "slot"]).filter("members <> others")
+    moments = save(moments.select(F.col("memory_id").alias("new_id"), F.col("created_at").alias("now"), "chain_id").distinct(), "moments")
+    times = save(held.groupBy("chain_id", "created_at").agg(F.min("memory_id").alias("memory_id")), "times")
 
     def nearest(sign: int) -> DataFrame:
         versions = times.select("chain_id", "memory_id", (F.col("created_at") * sign).alias("created_at"))
@@ -242,7 +301,32 @@ def _faded(values: DataFrame, stored: DataFrame, asked: DataFrame, holders: Data
         return as_of_chain(versions, moments.withColumn("at", F.col("now") * sign), 86400.0).withColumn("then", F.col("version") * sign)
 
     met = nearest(1).unionByName(nearest(-1)).filter("memory_id IS NOT NULL")
-    faded = met.withColumn("confidence", fx.faded_conflict(F.col("confidence"), F.col("now"), F.col("then"))).filter("confidence IS NOT NULL")
-    return faded.select(
-        "new_id", F.lit("temporal_conflict").alias("kind"), F.col("memory_id").alias("rival_id"), "confidence", F.lit(0.0).alias("distance")
+    faded = met.withColumn("confidence", fx.faded_conflict(F.lit(0.95), F.col("now"), F.col("then"))).filter("confidence IS NOT NULL")
+    return faded.select(F.col("memory_id").alias("rival"), F.col("new_id").alias("memory_id"), "confidence").select(
+        *_row("temporal_conflict", F.col("rival"), F.col("confidence"))
+    )
+
+
+def _faded_polarity(signed: DataFrame, rivals: DataFrame, polar: DataFrame, faded: DataFrame) -> DataFrame:
+    """Faded conflicts of polarity, for the rows where one may be stronger than what their values gave.
+
+    None is stronger than the row's strongest conflict of polarity, and with that one's strength it has to lie near enough in
+    time to come up to the faded conflict that the row has already.
+    """
+    have = faded.filter("rival_id <> new_id").groupBy("new_id").agg(F.max("confidence").alias("have"))
+    most = polar.groupBy("new_id").agg(F.max("confidence").alias("most")).join(have, "new_id", "left")
+    # What rounding may hide is searched as well.
+    reach = (F.col("most") / F.coalesce(F.greatest("have", F.lit(0.1)), F.lit(0.1)) - 1 + 1e-9) * 86400.0
+    open_ = most.select(F.col("new_id").alias("memory_id"), reach.alias("reach")).filter("reach >= 0")
+    keys = ["concept", "negated", "term", "salt"]
+    mine = signed.join(open_, "memory_id").select("memory_id", "concept", "negated", "words", F.col("created_at").alias("now"), "reach")
+    mine = save(mine, "open")
+    theirs = rivals.join(mine.select("concept").distinct(), "concept", "left_semi").withColumn("salt", F.pmod(F.col("rival"), F.lit(SALTS)))
+    mine = _by_term(mine, "words", OVERLAP).withColumn("salt", _salts())
+    met = _dealt(mine, *keys).join(_dealt(_by_term(theirs, "rival_words", OVERLAP), *keys), keys)
+    met = _similar(met.filter((F.abs(F.col("now") - F.col("created_at")) <= F.col("reach")) & (F.col("rival") != F.col("memory_id"))), OVERLAP)
+    conf = fx.faded_conflict(fx.polarity_conflict(F.col("similarity")), F.col("now"), F.col("created_at"))
+    top = met.withColumn("confidence", conf).filter("confidence IS NOT NULL").groupBy("memory_id").agg(
+        F.max(F.struct("confidence", (-F.col("rival")).alias("first"))).alias("b")
     )
+    return top.select(*_row("temporal_conflict", -F.col("b.first"), F.col("b.confidence")))

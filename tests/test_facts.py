@@ -210,6 +210,50 @@ def test_conflict_index_against_pairs(spark, tmp_path):
     assert got == {k: (min(v)[1], round(-min(v)[0], 6)) for k, v in want.items()}
 
 
+def test_conflict_index_of_numbers_meets_times_not_values(spark, tmp_path):
+    """Random ages, zero among them, some under ids that are stored already, against all pairs."""
+    from mnemolake.operators import conflict_index
+
+    rnd = random.Random(9)
+    day = 86400.0
+
+    def rows(ids):
+        return [(i, f"age: {rnd.choice([0, 0, 1, 5, 30, 31, 80])}", rnd.randint(0, 12) * 43200.0, ["p"]) for i in ids]
+
+    old, new = rows(range(60)), rows([*range(100, 120), 3, 7])
+    index = conflict_index.ConflictIndex(spark, str(tmp_path / "index"))
+    index.write(*_conflict_rows(spark, old))
+    got = {r["new_id"]: (r["rival_id"], r["confidence"]) for r in index.check(*_conflict_rows(spark, new)).filter("kind = 'temporal_conflict'").collect()}
+    want = {}
+    for i, a, ta, _ in new:
+        for j, b, tb, _ in old:
+            x, y = float(a[5:]), float(b[5:])
+            # Stored rows of one number and time stand for the one with the smallest id.
+            if x == y or i == min(k for k, c, tc, _ in old if c == b and tc == tb):
+                continue
+            faded = min(1.0, 0.5 + abs(x - y) / (max(x, y, 1.0) + abs(x - y))) / (1 + abs(ta - tb) / day)
+            if faded >= 0.1:
+                want.setdefault(i, []).append((-faded, j))
+    assert got == {i: (min(v)[1], round(-min(v)[0], 6)) for i, v in want.items()}
+    # Forty numbers of one time come to one row that a batch meets.
+    crowd = [(i, f"age: {i}", 0.0, ["p"]) for i in range(1, 41)]
+    values = conflict_index.read_statements(*_conflict_rows(spark, crowd)).values
+    batch = conflict_index.read_statements(*_conflict_rows(spark, [(90, "age: 50", 0.0, ["p"])])).values
+    assert conflict_index._faded_values(batch, values).count() == 1
+
+
+def test_conflict_index_compares_a_signature_once(spark):
+    """Rows that state the same under one concept look for their rival together, and one row per row comes out."""
+    from mnemolake.operators import conflict_index
+
+    schema = "memory_id long, concept string, created_at double, digest string, negated boolean, words array<string>"
+    signed = spark.createDataFrame([(i, "p", 0.0, "d", False, ["tea", "rice"]) for i in range(5)], schema)
+    stored = [("p", False, ["tea", "rice", *([w] if w else [])], 0.0, 10 + k) for k, w in enumerate(["", "jazz", "rain", "wool"])]
+    rivals = spark.createDataFrame(stored, "concept string, negated boolean, rival_words array<string>, created_at double, rival long")
+    found = conflict_index._polarity(signed, rivals).collect()
+    assert [(r["rival_id"], round(r["confidence"], 6)) for r in found] == [(10, 0.9)] * 5
+
+
 def test_latest_ranked_against_the_sequential_pass(spark):
     rnd = random.Random(11)
     ranked, keys, concepts = [], {}, {}
