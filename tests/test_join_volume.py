@@ -85,3 +85,19 @@ def test_a_family_of_rivals_is_matched_in_one_walk(spark, monkeypatch):
 def test_rows_without_an_id_match_nothing(spark):
     df = spark.createDataFrame([(None, 1, 0.9), (1, None, 0.9), (2, 3, 0.9)], "a long, b long, similarity double")
     assert [(r.a, r.b) for r in similarity.greedy_one_to_one(df, 0).collect()] == [(2, 3)]
+
+
+def test_contained_words_looks_at_pairs_with_a_rare_word(spark):
+    """Against brute force, with repeated and missing ids; common words alone bring no pair together."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i % 9, sorted(rng.sample(words, rng.randint(1, 6)))) for i in range(12)] + [(None, ["w1"])]
+    docs = [(i if i % 10 else 5, sorted(rng.sample(words, rng.randint(0, 30)))) for i in range(60)] + [(None, words), (None, ["w2"])]
+    q = spark.createDataFrame(items, "item_id long, words array<string>")
+    d = spark.createDataFrame(docs, "doc_id long, words array<string>")
+    want: dict = {}
+    for i, x in items:
+        for j, y in docs:
+            want[i, j, len(x)] = want.get((i, j, len(x)), 0) + len(set(x) & set(y))
+    got = {(r.item_id, r.doc_id, r.size): r.common for r in similarity.contained_words(q, d, 0.8).collect()}
+    assert got == {k: n for k, n in want.items() if n and n / k[2] >= 0.8}
