@@ -44,6 +44,8 @@ def test_latest_similar_and_facts(spark):
     r = spark.createDataFrame(rows, "memory_id long, start double")
     c = spark.createDataFrame([(i, x.upper()) for i, cs in own.items() for x in cs] + [(999, "a")], "memory_id long, concept string")
     assert sorted(x["memory_id"] for x in temporal.latest_similar(r, c).collect()) == sorted(want)
+    # In passes over the newest open sets.
+    assert sorted(x["memory_id"] for x in temporal.latest_similar(r, c, first=5).collect()) == sorted(want)
     keys = spark.createDataFrame([(0, "u|likes|tea"), (1, "u|likes|tea")], "memory_id long, key string")
     both = temporal.latest_by_facts_or_concepts(r, keys, c.filter("memory_id > 1"))
     newest = max((0, 1), key=lambda i: (rows[i][1], i))
