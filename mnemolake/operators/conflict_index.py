@@ -3,7 +3,7 @@
 What can conflict with a row is a small value (a number of an attribute, members
 of an exclusive set) or a signature of the other polarity. The index keeps these
 per concept, collapsed over rows of one time, in folders by hash; a batch reads
-the folders of its own concepts, terms and signatures and no text.
+the folders of its own concepts, the distinct signatures and no text.
 """
 
 from __future__ import annotations
