@@ -289,7 +289,7 @@ def document_pairs(spark, sf):
     SELECT component, size, round(total, 4) AS total_weight, round(least(1, total / (size * (size - 1) / 2)), 4) AS density FROM z JOIN w USING (component)""",
 )
 def communities(spark, sf):
-    found = graph.communities(document_pairs(spark, sf))
+    found = graph.communities(save(document_pairs(spark, sf), "links"))
     return found.select(
         "component", "size", F.round("total_weight", 4).alias("total_weight"), F.round("density", 4).alias("density")
     )
