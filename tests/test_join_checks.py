@@ -68,3 +68,26 @@ def test_communities_finds_its_pairs_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(concept_queries, "document_pairs", counted)
     assert {(r.component, r.size) for r in concept_queries.communities(spark, str(tmp_path)).collect()} == {(0, 10), (10, 10), (20, 10), (30, 10)}
     assert found.value == 4 * 45
+
+
+def test_small_buckets_take_all_rounds_in_one_task(spark, monkeypatch):
+    """The links are those of rounds over whole tables, ids that come with two sets included."""
+    rng = random.Random(9)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(30)]
+        for _ in range(14):
+            rows.append((f"n{len(rows)}", sorted({*rng.sample(base, 28), *(f"x{rng.randrange(99)}" for _ in range(rng.randrange(3)))})))
+    rows += [("n1", rows[3][1]), ("n5", rows[20][1]), ("one", ["w"])]
+    reps = spark.createDataFrame(rows, "rep string, words array<string>").coalesce(1)
+
+    def links(most):
+        monkeypatch.setattr(similarity, "BUCKET", most)
+        return sorted((r.a, r.b, r.similarity) for r in similarity.lsh_links(reps, 0.85).collect())
+
+    want = links(8)
+    kept = similarity._verify
+    monkeypatch.setattr(similarity, "_verify", lambda *a: 1 / 0)
+    assert links(4096) == want and len(want) > 20
+    monkeypatch.setattr(similarity, "_verify", kept)
+    assert links(1) == want
